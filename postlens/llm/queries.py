@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .ann import search
 from .common import table
+from .embdedup import near_duplicates
 from .mixing import mix_digest
 from .packing import pack_documents
+from .simhash import simhash_components
 from .tokens import count_tokens
 
 QUERIES = {
+    "op1_simhash": lambda spark, d: simhash_components(table(spark, d, "documents")),
+    "op2_ann": lambda spark, d: search(table(spark, d, "embeddings")),
     "op3_token_counts": lambda spark, d: count_tokens(table(spark, d, "documents")),
     "op4_mixing": lambda spark, d: mix_digest(table(spark, d, "documents")),
+    "op8_embedding_near_dedup": lambda spark, d: near_duplicates(table(spark, d, "embeddings")),
     "op9_packing": lambda spark, d: pack_documents(table(spark, d, "documents")),
 }
 
