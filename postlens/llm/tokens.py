@@ -11,17 +11,19 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows sampled for tier one, the pieces it holds, and the most that a worker's cache holds.
-SAMPLE_ROWS, FREQUENT, CACHE = 2_000, 20_000, 400_000
+SAMPLE_ROWS, FREQUENT, CACHE = 2_000, 20_000, 1_000_000
+#: Fixed value: how a byte-level pre-tokenizer splits a text.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Python's white space holds all of the tokenizer's, so a cut is never inside a run of it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r" \s|\s ")
@@ -50,21 +52,50 @@ def _library(path: str):
     plain = all(not any(t[k] for k in ("single_word", "lstrip", "rstrip")) for t in spec.get("added_tokens", ()))
     cut = bool(byte_level and plain and not spec.get("normalizer"))
     added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())} if cut else {}
-    return (lambda text: tokenizer.encode(text, add_special_tokens=False).ids), added, cut
+    encode = _by_rank(spec, added) if cut else None
+    return encode or (lambda text: tokenizer.encode(text, add_special_tokens=False).ids), added, cut
+
+
+def _by_rank(spec: dict, added: dict[str, int]):
+    """The same ids by a merger of byte ranks, or None if the vocabulary's order isn't that of its merges."""
+    model = spec["model"]
+    vocab, merges = model.get("vocab", {}), [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", ())]
+    made = [vocab.get("".join(m), -1) for m in merges]
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or made != sorted(set(made)) or sum(x not in added for x in vocab) - len(made) != 256 or min(made, default=0) < 256:
+        return None
+    import tiktoken
+
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    ranks = {bytes(byte[c] for c in piece): k for piece, k in vocab.items() if piece not in added}
+    return tiktoken.Encoding("ranks", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def _bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class _Tier(dict):
-    """Frequent pieces first, then a bounded cache of what was encoded on a miss."""
+    """Frequent pieces first, then a bounded cache, in two generations, of what was encoded on a miss."""
 
     def __init__(self, encode, lead: str, frequent: dict):
         super().__init__(frequent)
-        self.encode, self.lead, self.frequent = encode, lead, frequent
+        self.encode, self.lead, self.old = encode, lead, dict(frequent)
 
     def __missing__(self, piece: str):
-        if len(self) > len(self.frequent) + CACHE:
+        if len(self) > CACHE // 2:
+            self.old = dict(self)
             self.clear()
-            self.update(self.frequent)
-        found = self[piece] = self.encode(self.lead + piece)
+        found = self.old.get(piece)
+        if found is None:
+            end = piece[-1:]
+            if end in (",", ".") and piece[:-1].isalpha():  # letters and a mark are pre-tokens of their own
+                found = self[piece[:-1]] + self.encode(end)
+            else:
+                found = self.encode(self.lead + piece)
+        self[piece] = found
         return found
 
 
@@ -80,7 +111,7 @@ class Counter2:
 
     def _value(self, text: str):
         ids = self.ids(text)
-        return len(ids) if self.of == "n" else np.array(ids, "<u4").tobytes()
+        return len(ids) if self.of == "n" else _bytes(ids)
 
     def _plain(self, text: str):
         pieces = _CUT.split(text) if _RUN.search(text) else text.split(" ")
@@ -92,7 +123,7 @@ class Counter2:
             return self._value(text)
         if self.special is None or not self.special.search(text):
             return self._plain(text)
-        one = (lambda x: 1) if self.of == "n" else (lambda x: np.array([self.added[x]], "<u4").tobytes())
+        one = (lambda x: 1) if self.of == "n" else (lambda x: _bytes([self.added[x]]))
         parts = [one(x) if k % 2 else self._plain(x) for k, x in enumerate(self.special.split(text))]
         return sum(parts) if self.of == "n" else b"".join(parts)
 

@@ -35,6 +35,15 @@ def test_pieces_equal_the_library(tokenizer):
         assert np.frombuffer(ids(text), "<u4").tolist() == want
 
 
+def test_ranks_equal_the_library_on_its_whole_vocabulary(tokenizer):
+    from postlens.llm.tokens import _library
+
+    encode = _library(default_vocabulary())[0]
+    texts = [tokenizer.decode([k]) for k in range(0, 50256)]
+    for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert encode(text) == want.ids
+
+
 def test_count_tokens(spark, tokenizer):
     got = {r.doc_id: r for r in count_tokens(rows(spark)).collect()}
     for k, x in enumerate(TEXTS):
