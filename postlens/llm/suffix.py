@@ -8,7 +8,8 @@ they agree on every executor without a global sort.
 Not every position is dealt out. Each string is filed under the q-gram in it whose identifier is
 least, so neighbours share an entry and equal strings meet in the same bucket. Inside a bucket,
 entries are refined by the identifiers of the whole range they stand for: equal ones but the first
-are repeats at once; what differs goes on, string by string, only where its bucket has company.
+are repeats at once. What differs, and has company in its bucket, goes on in cells of a few strings,
+filed under what all strings of a cell share, and only what still has company string by string.
 Buckets are read as sorted streams, whatever their size.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM, CELL = 100, 32, 8
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
 _PLACE = (1 << 24) - 1
 _CHUNK = 1 << 22
@@ -39,8 +41,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 
 
-def identifiers(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket identifiers of the q-gram (GRAM bytes) and of the whole string at each position.
+def identifiers(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket identifiers at each position: of the q-gram (GRAM bytes), of the whole string, of its largest power of two.
 
     The arrays end where a string would pass the end of data.
     """
@@ -54,7 +56,7 @@ def identifiers(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.
             gram = _mix(at)
     rest = length - size
     whole = _mix(_mix(at[: len(at) - rest]) * _BASE + at[rest:])
-    return gram, whole
+    return gram, whole, at
 
 
 def entries(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -65,7 +67,7 @@ def entries(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[n
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none.view(np.uint64), none.view(np.uint64), none, none
-    gram, whole = identifiers(data, length)
+    gram, whole, _ = identifiers(data, length)
     span, n = length - GRAM + 1, len(data) - length + 1
     low = (gram & ~np.uint64(_PLACE)) | np.arange(len(gram), dtype=np.uint64)
     size = 1
@@ -152,24 +154,55 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = tuple(c[first[-1]] for c in cols)
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tie, text, [(bucket, packed)]) to a row for each string of those entries."""
-    for b in batches:
-        docs = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        ties = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        lists = b.column(3)
-        starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        bucket = lists.flatten().field(0).to_numpy(zero_copy_only=False)
-        packed = lists.flatten().field(1).to_numpy(zero_copy_only=False)
-        for k, text in enumerate(b.column(2).to_pylist()):
-            bk, pk = bucket[starts[k] : starts[k + 1]], packed[starts[k] : starts[k + 1]]
-            lo, count = pk >> 16 & ((1 << 31) - 1), pk & 0xFFFF
-            p = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
-            _, whole = identifiers(np.frombuffer(text, np.uint8))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(bk, count)), pa.array(whole[p].view(np.int64)), pa.array(np.full(len(p), docs[k])), pa.array((ties[k] << 47) | (p << 16) | 1)],
-                ["bucket", "refined", "doc", "packed"],
-            )
+def _again(single: bool):
+    """(doc_id, tie, text, [(bucket, packed)]) to finer entries: cells, or single strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            docs = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ties = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            lists = b.column(3)
+            starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            bucket = lists.flatten().field(0).to_numpy(zero_copy_only=False)
+            packed = lists.flatten().field(1).to_numpy(zero_copy_only=False)
+            for k, text in enumerate(b.column(2).to_pylist()):
+                bk, pk = bucket[starts[k] : starts[k + 1]], packed[starts[k] : starts[k + 1]]
+                found = (_single if single else _cells)(np.frombuffer(text, np.uint8), bk, pk >> 16 & ((1 << 31) - 1), pk & 0xFFFF)
+                out, refined, lo, count = found
+                yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(refined.view(np.int64)), pa.array(np.full(len(lo), docs[k])), pa.array((ties[k] << 47) | (lo << 16) | count)], ["bucket", "refined", "doc", "packed"])
+
+    return run
+
+
+def _spread(count: np.ndarray) -> np.ndarray:
+    """0, 1, ... count - 1 for each count in turn."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _single(data, bucket, lo, count):
+    _, whole, _ = identifiers(data)
+    p = np.repeat(lo, count) + _spread(count)
+    return np.repeat(bucket, count), whole[p], p, np.ones_like(p)
+
+
+def _cells(data, bucket, lo, count):
+    """Entries cut along a grid of CELL places before their q-gram, filed by what a cell's strings share."""
+    gram, whole, half = identifiers(data)
+    low = gram & ~np.uint64(_PLACE)
+    anchor = np.concatenate([lo[i : i + 4096] + low[lo[i : i + 4096][:, None] + np.arange(LENGTH - GRAM + 1)].argmin(axis=1) for i in range(0, len(lo), 4096)])
+    far, near = anchor - lo, anchor - lo - count + 1  # of a string's start before the q-gram
+    cells = far // CELL - near // CELL + 1
+    cell = np.repeat(near // CELL, cells) + _spread(cells)
+    anchor = np.repeat(anchor, cells)
+    top = np.minimum(np.repeat(far, cells), cell * CELL + CELL - 1)
+    bottom = np.maximum(np.repeat(near, cells), cell * CELL)
+    lo, count = anchor - top, top - bottom + 1
+    shared = anchor - cell * CELL  # LENGTH - CELL + 1 bytes from here are in every string of the cell
+    size = 1 << (LENGTH.bit_length() - 1)
+    core = _mix(half[shared] * _BASE + half[shared + LENGTH - CELL + 1 - size])
+    filed = _mix(core * _BASE + cell.astype(np.uint64)) ^ np.repeat(bucket, cells).view(np.uint64)
+    refined = _mix(whole[lo] * _BASE + whole[lo + count - 1] + count.astype(np.uint64))
+    return filed.view(np.int64), refined, lo, count
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,10 +232,13 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     schema = "bucket long, refined long, doc long, packed long"
     filed = long_enough.mapInArrow(_file_entries, schema).repartition("bucket").sortWithinPartitions(*order)
     met = materialize(filed.mapInArrow(_refine, "kind int, bucket long, doc long, packed long"))
-    firsts = met.where("kind = 1").groupBy("doc", F.shiftright("packed", 47).alias("tie")).agg(F.collect_list(F.struct("bucket", "packed")).alias("entries"))
-    strings = long_enough.join(firsts, ["doc", "tie"]).select("doc", "tie", "text", "entries").mapInArrow(_strings, schema)
-    again = strings.repartition("bucket", "refined").sortWithinPartitions(*order).mapInArrow(_refine, "kind int, bucket long, doc long, packed long")
-    return met.where("kind = 0").select("doc", "packed").unionByName(again.where("kind = 0").select("doc", "packed"))
+    found = [met]
+    for single in (False, True):
+        firsts = met.where("kind = 1").groupBy("doc", F.shiftright("packed", 47).alias("tie")).agg(F.collect_list(F.struct("bucket", "packed")).alias("entries"))
+        finer = long_enough.join(firsts, ["doc", "tie"]).select("doc", "tie", "text", "entries").mapInArrow(_again(single), schema)
+        met = materialize(finer.repartition("bucket").sortWithinPartitions(*order).mapInArrow(_refine, "kind int, bucket long, doc long, packed long"))
+        found.append(met)
+    return reduce(DataFrame.unionByName, [x.where("kind = 0").select("doc", "packed") for x in found])
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
