@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +51,27 @@ def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def lean(run, rows: int = 1_000):
+    """run over slices of the batches; gives freed memory back to the system when it has ended.
+
+    Workers serve one stage after another, so what an allocator holds back would add up.
+    """
+
+    def sliced(batches):
+        for b in batches:
+            for k in range(0, max(1, b.num_rows), rows):
+                yield b.slice(k, rows)
+
+    def whole(batches):
+        yield from run(sliced(batches))
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 class Forest:
     """Union-find over integers that appear in it; the root is the smallest member."""
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize
 
 #: A subtree is template from so many pages of its host and this share of them.
 PAGES, SHARE = 3, 0.2
@@ -196,7 +196,7 @@ def main_text(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE)
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     parsed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    parsed = parsed.mapInArrow(_parse_all, "page_id long, url string, texts array<string>, around array<array<long>>, main array<boolean>, hashes array<long>")
+    parsed = parsed.mapInArrow(lean(_parse_all), "page_id long, url string, texts array<string>, around array<array<long>>, main array<boolean>, hashes array<long>")
     parsed = materialize(parsed.withColumn("host", host).withColumn("row", F.monotonically_increasing_id()))
     subtrees = parsed.select("host", "row", F.explode("hashes").alias("hash"))
     seen = subtrees.groupBy("host", "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, edge_batch, materialize, runs
+from .common import Forest, edge_batch, lean, materialize, runs
 from .components import connected_components
 
 #: Shingle words, similarity, recall of the bands at it, rows of a band.
@@ -32,7 +32,7 @@ BUCKET = 1_024
 _WORD = re.compile(r"\S+")
 _STOPS = frozenset(".!?…。！？")
 _M = np.uint64(0xD6E8FEB86659FD93)
-_CACHE = 300_000
+_CACHE = 150_000
 
 
 def tune(similar: float = SIMILAR, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -352,7 +352,7 @@ def passages(docs: DataFrame) -> DataFrame:
     """
     docs = _numbered(docs).select(F.col("_row").alias("row"), F.col("_doc").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     schema = "digest long, doc long, row long, start int, end int, n int, seq int, bands array<long>"
-    units = docs.mapInArrow(_units_in_bulk, schema)
+    units = docs.mapInArrow(lean(_units_in_bulk), schema)
     order = ["digest", F.col("seq") >= 0, "doc", "row", "start"]
     met = materialize(units.repartition("digest").sortWithinPartitions(*order).mapInArrow(_equal, "kind int, " + schema))
 
@@ -360,7 +360,7 @@ def passages(docs: DataFrame) -> DataFrame:
     keys = firsts.select(F.explode("bands").alias("key"), "digest").repartition("key").sortWithinPartitions("key", "digest")
     buckets = materialize(keys.mapInArrow(_buckets, "bucket long, digest long").distinct())
     asked = firsts.join(buckets.select("digest").distinct(), "digest", "left_semi").groupBy("doc", "row").agg(F.collect_list(F.struct("digest", "start", "end")).alias("asked"))
-    sets = docs.join(asked, ["doc", "row"]).select("text", "asked").mapInArrow(_sets, "digest long, set array<long>").dropDuplicates(["digest"])
+    sets = docs.join(asked, ["doc", "row"]).select("text", "asked").mapInArrow(lean(_sets), "digest long, set array<long>").dropDuplicates(["digest"])
     parts = buckets.groupBy("bucket").agg(F.ceil(F.count("*") / (BUCKET // 2)).cast("int").alias("k")).select("bucket", F.when(F.col("k") <= 2, 1).otherwise(F.col("k")).alias("k"))
     dealt = buckets.join(parts, "bucket").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "digest").join(sets, "digest").select("bucket", "i", "j", "digest", "set")
@@ -384,7 +384,7 @@ def passages(docs: DataFrame) -> DataFrame:
         .unionByName(met.where("kind = 2").withColumn("cluster", F.col("digest")).withColumn("first", F.lit(False)).select(*cols))
     )
     grouped = found.groupBy("row", "doc").agg(F.collect_list(F.struct("start", "end", "n", "seq", "cluster", "first")).alias("found"))
-    return grouped.select("row", "doc", "found").mapInArrow(_spans, "row long, doc long, start int, end int, n_words int, cluster long, kept boolean")
+    return grouped.select("row", "doc", "found").mapInArrow(lean(_spans), "row long, doc long, start int, end int, n_words int, cluster long, kept boolean")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -427,7 +427,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
             kept = b.drop_columns(["_gone"]).set_column(at, "text", pa.array(texts, pa.string()))
             yield kept.filter(pa.array(ok, pa.bool_()))
 
-    out = both.mapInArrow(cut, docs.schema)
+    out = both.mapInArrow(lean(cut), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

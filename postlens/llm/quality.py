@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Bounds of the labelled and the unlabelled sample, rounds, pseudo-labels a round and class.
 LABELLED, UNLABELLED, ROUNDS, GIVEN = 8_000, 4_000, 4, 200
 #: Hashed features of each view; a document is kept at this probability or more.
 CONTENT, META, KEEP_AT = 4_096, 1_024, 0.5
 _SHAPE = [(re.compile(p), r) for p, r in ((r"[^\W\d_]", "a"), (r"\d", "0"))]
-_CACHE = 200_000
+_CACHE = 100_000
 
 
 def _bucket(text: str, size: int) -> int:
@@ -203,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled:
     pool = docs.select("doc_id").orderBy(order, "doc_id").limit(2 * unlabelled).join(F.broadcast(y), "doc_id", "left_anti").limit(unlabelled)
     pool = docs.join(F.broadcast(pool.distinct()), "doc_id").withColumn("y", F.lit(None).cast("double"))
     both = known.select("y", "text", "source", "lang", "length").unionByName(pool.select("y", "text", "source", "lang", "length"))
-    rows = both.mapInArrow(_views, "y double, ci array<int>, cv array<float>, mi array<int>").toPandas()
+    rows = both.mapInArrow(lean(_views), "y double, ci array<int>, cv array<float>, mi array<int>").toPandas()
     if not rows.y.notna().any():
         return None
     rows = rows.assign(key=[zlib.crc32(np.asarray(a).tobytes() + np.asarray(b).tobytes()) for a, b in zip(rows.ci, rows.mi)]).sort_values(["key", "y"], kind="stable")
@@ -227,7 +229,7 @@ def score(docs: DataFrame, model: CoTrained | None, keep_at: float = KEEP_AT) ->
                 p = known.score([make.content(x) for x in c["text"]], [make.meta(*x) for x in zip(c["source"], c["lang"], c["length"])])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p), pa.array(p >= keep_at)], ["doc_id", "quality", "keep"])
 
-    return _plain(docs).mapInArrow(run, "doc_id long, quality double, keep boolean")
+    return _plain(docs).mapInArrow(lean(run), "doc_id long, quality double, keep boolean")
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
@@ -255,4 +257,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) -> D
             p = known.score([make.content(x) for x in c["text"]], [make.meta(*x) for x in zip(c["source"], c["lang"], size)])
             yield b.filter(pa.array(p >= keep_at))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, edge_batch, materialize, runs
+from .common import Forest, edge_batch, lean, materialize, runs
 from .components import connected_components
 
 BITS, SEGMENTS, TAU, WORDS, SEED = 64, 9, 4, 4, 42
@@ -223,7 +223,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = [_signed(fingerprint(x)) if x else 0 for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.encode(F.col("text").cast("string"), "utf-8")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.encode(F.col("text").cast("string"), "utf-8")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:

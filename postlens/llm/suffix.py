@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize
 
 LENGTH, GRAM, CELL = 100, 32, 8
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
@@ -230,12 +230,12 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     order = ["bucket", "refined", "doc", "packed"]
     long_enough = docs.where(F.length("text") >= LENGTH)
     schema = "bucket long, refined long, doc long, packed long"
-    filed = long_enough.mapInArrow(_file_entries, schema).repartition("bucket").sortWithinPartitions(*order)
+    filed = long_enough.mapInArrow(lean(_file_entries), schema).repartition("bucket").sortWithinPartitions(*order)
     met = materialize(filed.mapInArrow(_refine, "kind int, bucket long, doc long, packed long"))
     found = [met]
     for single in (False, True):
         firsts = met.where("kind = 1").groupBy("doc", F.shiftright("packed", 47).alias("tie")).agg(F.collect_list(F.struct("bucket", "packed")).alias("entries"))
-        finer = long_enough.join(firsts, ["doc", "tie"]).select("doc", "tie", "text", "entries").mapInArrow(_again(single), schema)
+        finer = long_enough.join(firsts, ["doc", "tie"]).select("doc", "tie", "text", "entries").mapInArrow(lean(_again(single)), schema)
         met = materialize(finer.repartition("bucket").sortWithinPartitions(*order).mapInArrow(_refine, "kind int, bucket long, doc long, packed long"))
         found.append(met)
     return reduce(DataFrame.unionByName, [x.where("kind = 0").select("doc", "packed") for x in found])
@@ -256,5 +256,5 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     tie = F.shiftright("packed", 47)
     gone = repeated_strings(docs).groupBy("doc", tie.alias("tie")).agg(F.collect_list("packed").alias("gone"))
     done = docs.join(gone, ["doc", "tie"], "left").select("doc", "text", "gone")
-    done = done.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    done = done.mapInArrow(lean(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return done.withColumn("doc_id", F.when(F.col("doc_id") != (1 << 63) - 1, F.col("doc_id")))

@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Rows sampled for tier one, the pieces it holds, and the most that a worker's cache holds.
-SAMPLE_ROWS, FREQUENT, CACHE = 2_000, 20_000, 1_000_000
+SAMPLE_ROWS, FREQUENT, CACHE = 2_000, 20_000, 500_000
 #: Fixed value: how a byte-level pre-tokenizer splits a text.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Python's white space holds all of the tokenizer's, so a cut is never inside a run of it.
@@ -169,4 +171,4 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024) ->
 
     import pyarrow.compute  # noqa: F401
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(count), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
