@@ -100,11 +100,11 @@ class Units:
         return h, starts, ends, paragraphs, sentences
 
 
-def _digests(h: np.ndarray, ranges: list[tuple[int, int]]) -> np.ndarray:
+def _digests(h: np.ndarray, ranges) -> np.ndarray:
     """A 64-bit digest of each range of words."""
-    if not ranges:
+    if not len(ranges):
         return np.zeros(0, np.int64)
-    r = np.array(ranges)
+    r = np.asarray(ranges)
     n = r[:, 1] - r[:, 0]
     place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     part = _mix(h[np.repeat(r[:, 0], n) + place] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -123,20 +123,32 @@ def shingles(h: np.ndarray) -> np.ndarray:
 
 def signatures(h: np.ndarray, ranges: list[tuple[int, int]]) -> np.ndarray:
     """[range, band] keys of the ranges' MinHash bands."""
+    out = np.zeros((len(ranges), BANDS), np.int64)
     if not ranges:
-        return np.zeros((0, BANDS), np.int64)
-    s = shingles(h)
-    r = np.array(ranges)
+        return out
+    s, r = shingles(h), np.array(ranges)
     n = np.maximum(1, r[:, 1] - r[:, 0] - WIDTH + 1)
-    at = np.repeat(r[:, 0], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    x = s[np.minimum(at, len(s) - 1)]
-    low = np.empty((len(ranges), BANDS * ROWS), np.uint64)
-    for k in range(BANDS * ROWS):
-        low[:, k] = np.minimum.reduceat((x ^ _XOR[k]) * _MUL[k], np.cumsum(n) - n)
-    key = np.zeros((len(ranges), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
-        key = _mix(key * np.uint64(31) + low[:, k::ROWS])
-    return key.view(np.int64)
+    ends = np.cumsum(n)
+    for i, j in _chunks(ends):
+        m = n[i:j]
+        first = np.cumsum(m) - m
+        x = s[np.minimum(np.repeat(r[i:j, 0] - first, m) + np.arange(m.sum()), len(s) - 1)]
+        low = np.empty((j - i, BANDS * ROWS), np.uint64)
+        for k in range(BANDS * ROWS):
+            low[:, k] = np.minimum.reduceat((x ^ _XOR[k]) * _MUL[k], first)
+        key = np.zeros((j - i, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
+        for k in range(ROWS):
+            key = _mix(key * np.uint64(31) + low[:, k::ROWS])
+        out[i:j] = key.view(np.int64)
+    return out
+
+
+def _chunks(ends: np.ndarray, size: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, side="right")))
+        yield i, j
+        i = j
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,34 +156,30 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     make = Units()
     names = ["digest", "doc", "row", "start", "end", "n", "seq", "bands"]
     for b in batches:
-        for row, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            h, starts, ends, paragraphs, sentences = make.cut(text)
-            both = paragraphs + sentences
-            if not both:
+        words, starts, ends, para, sent, of_para, of_sent, seq, at = [], [], [], [], [], [], [], [], 0
+        for k, text in enumerate(b.column(2).to_pylist()):
+            h, s, e, paragraphs, sentences = make.cut(text)
+            if not paragraphs and not sentences:
                 continue
-            r = np.array(both)
-            bands = signatures(h, paragraphs).tolist() + [None] * len(sentences)
-            seq = [-1] * len(paragraphs) + list(range(len(sentences)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_digests(h, both)), pa.array(np.full(len(r), doc, np.int64)), pa.array(np.full(len(r), row, np.int64)), pa.array(starts[r[:, 0]].astype("i4")), pa.array(ends[r[:, 1] - 1].astype("i4")), pa.array((r[:, 1] - r[:, 0]).astype("i4")), pa.array(seq, pa.int32()), pa.array(bands, pa.list_(pa.int64()))],
-                names,
-            )
-
-
-def _gather(batches: Iterator[pa.RecordBatch], size: int = 65_536) -> Iterator[pa.RecordBatch]:
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= size:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
-def _units_in_bulk(batches):
-    yield from _gather(_units(batches), 8_192)
+            para += [(x + at, y + at) for x, y in paragraphs]
+            sent += [(x + at, y + at) for x, y in sentences]
+            of_para += [k] * len(paragraphs)
+            of_sent += [k] * len(sentences)
+            seq += range(len(sentences))
+            words.append(h)
+            starts.append(s)
+            ends.append(e)
+            at += len(h)
+        if not words:
+            continue
+        h, starts, ends, both = np.concatenate(words), np.concatenate(starts), np.concatenate(ends), np.array(para + sent)
+        of = pa.array(of_para + of_sent)
+        keys = signatures(h, para)
+        bands = pa.ListArray.from_arrays(pa.array(np.append(np.arange(len(para) + 1) * BANDS, np.full(len(sent), len(para) * BANDS)), pa.int32()), pa.array(keys.ravel()), mask=pa.array(np.arange(len(both)) >= len(para)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(_digests(h, both)), b.column(1).take(of), b.column(0).take(of), pa.array(starts[both[:, 0]].astype("i4")), pa.array(ends[both[:, 1] - 1].astype("i4")), pa.array((both[:, 1] - both[:, 0]).astype("i4")), pa.array([-1] * len(para) + seq, pa.int32()), bands],
+            names,
+        )
 
 
 def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +360,7 @@ def passages(docs: DataFrame) -> DataFrame:
     """
     docs = _numbered(docs).select(F.col("_row").alias("row"), F.col("_doc").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     schema = "digest long, doc long, row long, start int, end int, n int, seq int, bands array<long>"
-    units = docs.mapInArrow(lean(_units_in_bulk), schema)
+    units = docs.mapInArrow(lean(_units), schema)
     order = ["digest", F.col("seq") >= 0, "doc", "row", "start"]
     met = materialize(units.repartition("digest").sortWithinPartitions(*order).mapInArrow(_equal, "kind int, " + schema))
 
