@@ -41,7 +41,7 @@ def materialize(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEAN)
     spark.conf.set(_CLEAN, "true")  # the copy is what is read from now on
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -202,7 +202,7 @@ def main_text(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE)
     seen = subtrees.groupBy("host", "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
     size = parsed.groupBy("host").agg(F.count("*").alias("of"))
     template = seen.join(size, "host").where(F.col("pages") >= share * F.col("of")).select("host", "hash")
-    hit = subtrees.join(template, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone"))
+    hit = materialize(subtrees.join(template, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone")))  # of known size: sent whole only if small
     none = F.array().cast("array<long>")
     kept = parsed.join(hit, "row", "left").withColumn("gone", F.coalesce("gone", none))
     has_main = F.exists("main", lambda m: m)
