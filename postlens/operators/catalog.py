@@ -48,6 +48,17 @@ def when(condition: Column, *args, **more) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), signal(*args, **more))
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once for each row, however often they are used.
+
+    The optimiser puts an expression wherever its column stands, inside lambdas too, where it would
+    run for each element; a generator of one row is a wall it keeps to.
+    """
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
+    df = df.select(*[c for c in df.columns if c not in columns], made)
+    return df.select(*[c for c in df.columns if c != "_once"], "_once.*")
+
+
 def signals(*items: Column) -> Column:
     """Those of the items that are there, in order."""
     return F.filter(F.array(*items), lambda s: s.isNotNull())

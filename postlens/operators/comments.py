@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as P
 from ..functions import text as X
-from .catalog import signals, when
+from .catalog import once, signals, when
 from .posts import COMMENT
 
 SIMILAR, SHORT = 0.7, 200
@@ -29,21 +29,22 @@ def with_comment_facts(df: DataFrame) -> DataFrame:
     comments = F.when(F.coalesce("isDetailPage", F.lit(False)), F.filter(F.coalesce("visibleComments", none), lambda c: c["text"].isNotNull())).otherwise(none)
     author = F.lower(F.coalesce("author", F.lit("")))
     own = lambda c: F.coalesce(c["isOp"], F.lit(False)) | ((author != "") & (F.lower(F.coalesce(c["author"], F.lit(""))) == author))
-    df = df.withColumns({"f_ops": F.filter(comments, own), "f_others": F.filter(comments, lambda c: ~own(c))})
-    df = df.withColumns({"f_accusing": _matching(F.col("f_others"), P.ACCUSATION), "f_repeats": _matching(F.col("f_others"), P.REPEAT_MENTION)})
+    df = once(df, {"f_ops": F.filter(comments, own), "f_others": F.filter(comments, lambda c: ~own(c))})
+    df = once(df, {"f_accusing": _matching(F.col("f_others"), P.ACCUSATION), "f_repeats": _matching(F.col("f_others"), P.REPEAT_MENTION)})
     op_text = X.ascii_shadow(X.spaces(F.array_join(F.transform("f_ops", lambda c: c["text"]), "\n")))
     named = F.array_distinct(F.filter(F.transform("f_accusing", lambda c: c["author"]), lambda a: a.isNotNull()))
     nameless = F.filter("f_accusing", lambda c: c["author"].isNull())
     praise = F.filter(_matching(F.col("f_others"), P.POSITIVE), lambda c: F.length(c["text"]) < SHORT)
     texts = lambda c: F.transform(c, lambda x: x["text"])
-    return df.withColumns(
+    return once(
+        df,
         {
             "f_op_text": op_text,
             "f_accusers": F.size(named) + F.size(nameless),
             "f_copied": (F.size("f_accusing") >= 2) & (similar_pairs(texts(F.col("f_accusing"))) >= 1),
             "f_praise": similar_pairs(texts(praise)),
             "f_op_links": F.size(F.filter("f_ops", lambda c: F.exists(X.extract_urls(c["text"]), lambda u: F.array_contains(F.col("_hosts"), X.host_of(u))))),
-        }
+        },
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.fixed import FAMILIAR_TOOLS
 from ..functions.names import with_names
+from .catalog import once
 from .posts import conform
 
 
@@ -43,8 +44,8 @@ def with_context(posts: DataFrame) -> DataFrame:
     best = F.aggregate(others, F.lit(None).cast("struct<name: string, mentions: int>"), lambda a, n: F.when(a.isNull() | (n["mentions"] > a["mentions"]), n).otherwise(a))
     linked = F.filter(others, lambda n: F.array_contains(labels, F.lower(n["name"])))
     best_linked = F.aggregate(linked, F.lit(None).cast("struct<name: string, mentions: int>"), lambda a, n: F.when(a.isNull() | (n["mentions"] > a["mentions"]), n).otherwise(a))
-    df = df.withColumns({"_familiar": F.transform(known, lambda n: n["name"]), "_others": F.transform(others, lambda n: n["name"]), "_primary": F.coalesce(best_linked, best)})
+    df = once(df, {"_familiar": F.transform(known, lambda n: n["name"]), "_others": F.transform(others, lambda n: n["name"]), "_primary": F.coalesce(best_linked, best)})
     shadow = X.ascii_shadow
-    df = df.withColumns({"_st": shadow(F.col("_title")), "_sb": shadow(F.col("_body"))})
-    df = df.withColumn("_sx", F.concat("_st", F.lit("\n"), "_sb"))
-    return df.withColumns({"_lx": F.lower("_sx"), "_lb": F.lower("_sb"), "_words": X.word_count(F.col("_text")), "_sentences": X.split_sentences(F.col("_sb"))})
+    df = once(df, {"_st": shadow(F.col("_title")), "_sb": shadow(F.col("_body"))})
+    df = once(df, {"_sx": F.concat("_st", F.lit("\n"), "_sb")})
+    return once(df, {"_lx": F.lower("_sx"), "_lb": F.lower("_sb"), "_words": X.word_count(F.col("_text")), "_sentences": X.split_sentences(F.col("_sb"))})

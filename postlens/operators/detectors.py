@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as P
 from ..functions import text as X
 from ..functions.gate import hit
-from .catalog import signals, when
+from .catalog import once, signals, when
 from .comments import comment_signals, with_comment_facts
 from .context import with_context
 from .history import history_signals, with_history_facts
@@ -53,7 +53,7 @@ def with_facts(ctx: DataFrame) -> DataFrame:
     facts["f_tracked"] = F.try_element_at(F.filter("_product", lambda u: u.rlike(P.AFFILIATE_PARAM) | u.rlike(P.AFFILIATE_PATH) | (F.endswith(X.host_of(u), F.lit("amazon.com")) & u.rlike(BENEFIT_TAG))), F.lit(1))
     redirects = "(?:" + "|".join(h.replace(".", r"\.") for h in P.REDIRECT_HOSTS) + ")"
     facts["f_redirect"] = F.try_element_at(F.filter(hosts, lambda h: h.rlike(rf"(?:\A|\.){redirects}\z")), F.lit(1))
-    df = ctx.withColumns(facts)
+    df = once(ctx, facts)
     has_product = (F.col("f_at") >= 0) | _has("_product")
     return df.withColumns({"f_has_product": has_product, "f_offer": has_product | F.col("f_dm") | F.col("f_interested") | F.col("f_cta")})
 
@@ -154,7 +154,7 @@ def with_disclosure(df: DataFrame) -> DataFrame:
     about = f("_primary").isNotNull() | _has("_product")
     plain = F.regexp_replace(x, P.GENERIC_POSSESSIVE, " ").rlike(P.CLEAR_CREATOR)
     by = F.when(f("f_named"), 1).when(f("f_relative"), 2).when(f("f_creator") & (about | plain), 3).otherwise(0)
-    df = df.withColumn("f_creator_by", by)
+    df = once(df, {"f_creator_by": by})
     late = lambda at: ((f("_words") > 150) & (at > 0.85)) | ((f("_words") > 300) & (at > 0.5))
     place = lambda p: X.position(x, p)
     maker = F.when(f("f_creator_by") == 1, place(P.CREATOR_NAMED)).when(f("f_creator_by") == 2, place(P.CREATOR_RELATIVE)).when(f("f_creator_by") == 3, place(P.CLEAR_CREATOR)).otherwise(-1.0)
@@ -162,7 +162,7 @@ def with_disclosure(df: DataFrame) -> DataFrame:
     for fact, p in (("f_employment", P.CLEAR_EMPLOYMENT), ("f_benefit", P.CLEAR_BENEFIT), ("f_affiliate", P.CLEAR_AFFILIATE)):
         buried = buried | F.when(f(fact), late(place(p))).otherwise(False)
     said = (f("f_creator_by") > 0) | f("f_employment") | f("f_benefit") | f("f_affiliate")
-    return df.withColumns({"f_clear": said | F.coalesce("brandAffiliateLabel", F.lit(False)), "f_buried": (f("_words") > 150) & said & buried})
+    return once(df, {"f_clear": said | F.coalesce("brandAffiliateLabel", F.lit(False)), "f_buried": (f("_words") > 150) & said & buried})
 
 
 def disclosure() -> Column:
@@ -223,8 +223,8 @@ def detect(posts: DataFrame, as_of: Column | None = None) -> DataFrame:
     df = with_disclosure(with_facts(with_context(posts)))
     df = with_history_facts(with_comment_facts(df))
     kinds = {"s_direct": direct(), "s_links": links(), "s_workflow": workflow(), "s_narrative": narrative(), "s_language": language(), "s_disclosure": disclosure(), "s_account": account()}
-    df = df.withColumns(kinds | {"s_comments": comment_signals()})
-    df = df.withColumns({"s_counter": counter(), "s_history": history_signals(F.unix_timestamp().cast("double") if as_of is None else as_of)})
+    df = once(df, kinds | {"s_comments": comment_signals()})
+    df = once(df, {"s_counter": counter(), "s_history": history_signals(F.unix_timestamp().cast("double") if as_of is None else as_of)})
     f = F.col
     admitted = F.exists("s_comments", lambda s: s["id"] == "community.author-admission")
     told = f("f_clear") | f("f_working_on") | f("f_involved") | f("f_friends")
@@ -234,5 +234,5 @@ def detect(posts: DataFrame, as_of: Column | None = None) -> DataFrame:
         when(admitted & ~f("f_clear"), "disclosure.comments-only", explanation="The connection is disclosed only in the comments, not in the post"),
     )
     order = [*kinds, "s_comments", "s_counter", "s_history"]
-    df = df.withColumn("signals", F.concat(*order, more, reach(), availability()))
+    df = once(df, {"signals": F.concat(*order, more, reach(), availability())})
     return df.drop(*[c for c in df.columns if c[:2] in ("f_", "s_")])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as P
 from ..functions import text as X
-from .catalog import signals, when
+from .catalog import once, signals, when
 
 NEAR = 0.6
 # How a missing history is explained.
@@ -63,7 +63,7 @@ def with_history_facts(df: DataFrame) -> DataFrame:
     other = lambda s: ~F.coalesce((F.col("id") != "") & (s["id"] != "") & (bare_id(F.col("id")) == bare_id(s["id"])), F.lit(False)) & (F.lower(X.normalize_whitespace(F.coalesce(s["title"], F.lit("")))) != title)
     none = lambda c: F.slice(c, 1, 0)
     subs = F.coalesce(F.filter(h["submissions"], other), none(h["submissions"]))
-    df = df.withColumns({"f_there": there, "f_subs": F.when(there, subs), "f_coms": F.when(there, h["comments"]), "f_names": F.filter("_others", lambda n: F.length(n) >= 3)})
+    df = once(df, {"f_there": there, "f_subs": F.when(there, subs), "f_coms": F.when(there, h["comments"]), "f_names": F.filter("_others", lambda n: F.length(n) >= 3)})
     hosts = F.col("_hosts")
     has = F.size("f_names") + F.size(hosts) > 0
 
@@ -72,14 +72,15 @@ def with_history_facts(df: DataFrame) -> DataFrame:
         return F.exists("f_names", lambda n: X.mentions(plain, n)) | F.exists(hosts, lambda d: F.contains(F.lower(text), d)) | F.arrays_overlap(own, hosts)
 
     coms_hosts = lambda c: F.transform(F.coalesce(c["linkDomains"], F.array().cast("array<string>")), F.lower)
-    df = df.withColumns(
+    df = once(
+        df,
         {
             "f_has_targets": has,
             "f_product_subs": F.filter("f_subs", lambda s: has & about(_own_words(s), _submission_hosts(s))),
             "f_product_coms": F.filter("f_coms", lambda c: has & about(F.coalesce(c["excerpt"], F.lit("")), coms_hosts(c))),
             "f_host_subs": F.filter("f_subs", lambda s: F.arrays_overlap(_submission_hosts(s), hosts)),
             "f_host_coms": F.filter("f_coms", lambda c: F.arrays_overlap(coms_hosts(c), hosts)),
-        }
+        },
     )
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
     return df.withColumns({f"f_n_{c}": F.when(F.col("f_there"), F.greatest(F.lit(0), size(f"f_{c}"))).otherwise(0) for c in ("subs", "coms", "product_subs", "product_coms", "host_subs", "host_coms")})

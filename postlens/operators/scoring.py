@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as P
 from ..functions import text as X
-from .catalog import SIGNAL
+from .catalog import SIGNAL, once
 from .detectors import detect
 
 _VERIFY = [r[0] for r in P.CRITERIA if r[8]]
@@ -131,11 +131,11 @@ def reasons(weighted: Column, signals: Column, disclosure: Column, score: Column
 
 def score_signals(df: DataFrame, source: str = "local") -> DataFrame:
     """df (a post's columns and signals) with the result's columns, and points by category."""
-    df = df.withColumn("_weighted", effective(F.col("signals")))
-    df = df.withColumn("categoryPoints", category_points(F.col("_weighted")))
-    df = df.withColumn("_promotion", promotion(F.col("categoryPoints"), F.col("signals")))
+    df = once(df, {"_weighted": effective(F.col("signals"))})
+    df = once(df, {"categoryPoints": category_points(F.col("_weighted"))})
+    df = once(df, {"_promotion": promotion(F.col("categoryPoints"), F.col("signals"))})
     df = df.withColumns({"promoLikelihood": F.col("_promotion.score"), "styleOnlyCapApplied": F.col("_promotion.capped")})
-    df = df.withColumn("disclosure", disclosure_status(F.col("signals"), F.col("promoLikelihood")))
+    df = once(df, {"disclosure": disclosure_status(F.col("signals"), F.col("promoLikelihood"))})
     df = df.withColumns(
         {
             "label": X.score_label(F.col("promoLikelihood")),
