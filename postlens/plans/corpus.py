@@ -37,6 +37,9 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("url").alias("link"))
     d = F.col("doc_id")
     phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (d % len(PHRASES) + 1).cast("int"))
+    few = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < few:  # one small file would be read by one task
+        docs = docs.repartition(few)
     df = docs.join(pages, d == F.col("page_id"), "left")
     return df.select(
         "doc_id",
