@@ -36,4 +36,12 @@ QUERIES = {
     "pipeline": lambda spark, d: _pipeline().run(spark, d),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_inner_product(e, e) > 0),
+links AS (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.r <> b.r WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(r, s) AS (SELECT r, r FROM v UNION SELECT reach.r, l.b FROM reach JOIN links l ON reach.s = l.a),
+found AS (SELECT reach.r, min(o.vec_id) AS component_id FROM reach JOIN v o ON o.r = reach.s GROUP BY reach.r)
+SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.a = v.r) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN found USING (r)""",
+}
