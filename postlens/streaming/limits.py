@@ -118,7 +118,9 @@ def plan_of(license_status: Column) -> Column:
     return F.when(license_status.isin("valid", "provider_error"), "plus").otherwise("free")
 
 
-INSTALL_ID = r"\A[A-Za-z0-9_-]{8,64}\z"
+# What an install's id and a licence key look like.
+INSTALL_ID = r"(?i)\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
+LICENSE_KEY = r"\A[A-Za-z0-9-]{16,80}\z"
 
 
 def quota(requests: DataFrame, free_initial: int = 20, free_monthly: int = 5, plus_monthly: int = 500) -> DataFrame:
@@ -156,3 +158,10 @@ def quota_with_refunds(requests: DataFrame, free_initial: int = 20, free_monthly
 def active_installs(usage: DataFrame, as_of: Column) -> DataFrame:
     """Installs (month of last use, licensed) to keep: licensed ones, and those used this month or the last."""
     return usage.where(F.col("licensed") | (F.col("month") >= F.date_format(F.add_months(as_of, -1), "yyyy-MM")))
+
+def is_install_id(x: Column) -> Column:
+    return x.rlike(INSTALL_ID)
+
+
+def is_license_key(x: Column) -> Column:
+    return x.rlike(LICENSE_KEY)

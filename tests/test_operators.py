@@ -141,3 +141,26 @@ def test_pages(spark):
     assert [(p["title"], p["body"], p["anchors"]) for p in posts] == [("A b", "x\ny", ["/u"])]
     assert comments == [{"author": "c", "text": "hi", "depth": 2}]
     assert one(spark, parse_integer(F.col("t")), t="1,2 34") == 1234
+
+
+def test_content_keys(spark):
+    from postlens.operators.cache import known, unknown, with_key
+
+    posts = with_key(spark.createDataFrame([("a", "t", 5), ("a", "t", 9), ("b", "t", 5)], "id string, title string, upvotes long"))
+    keys = [r.contentHash for r in posts.orderBy("id", "upvotes").collect()]
+    assert keys[0] == keys[1] != keys[2] and len(keys[0]) == 16
+    done = posts.where("id = 'b'").select("contentHash", F.lit(7).alias("score"))
+    assert known(posts, done).count() == 1 and unknown(posts, done).count() == 1
+
+
+def test_case_files(spark, tmp_path):
+    from postlens.sources.evaluation import posts_of, read_cases, write_report
+
+    case = lambda i: {"id": i, "expected": {"min": 0, "max": 19, "disclosure": "unknown"}, "post": {"title": "t"}}
+    (tmp_path / "a.json").write_text(json.dumps({"cases": [case("x"), case("y")]}))
+    cases = read_cases(spark, str(tmp_path / "a.json"))
+    assert posts_of(cases).count() == 2 and cases.first().high == 19
+    write_report(cases.select("case_id"), str(tmp_path / "out"))
+    (tmp_path / "b.json").write_text(json.dumps({"cases": [case("x")]}))
+    with pytest.raises(ValueError, match="repeated case ids: x"):
+        read_cases(spark, str(tmp_path / "a.json"), str(tmp_path / "b.json"))
