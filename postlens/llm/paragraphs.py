@@ -183,32 +183,39 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units sorted by digest, kind, doc, row, start: firsts of paragraphs (with bands), and what repeats another document's.
+    """Units sorted by digest, kind, doc, row, start: firsts of paragraphs (with bands), and what repeats.
 
     kind 0: a paragraph's first; kind 1: another occurrence of it; kind 2: a sentence that occurs
-    in an earlier document.
+    in an earlier document; kind 3: the first occurrence of such a sentence.
     """
     names = ["kind", "digest", "doc", "row", "start", "end", "n", "seq", "bands"]
-    last = None
+    first, told = None, False
     for b in batches:
         if not b.num_rows:
             continue
+        carried = first is not None
         c = [b.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+        if carried:
+            c = [np.append(x, y).astype(y.dtype) for x, y in zip(first, c)]
         digest, doc, row, start, seq = c[0], c[1], c[2], c[3], c[6]
         para = seq < 0
-        if last is not None:
-            digest, doc, row, start, para = (np.append(x, y) for x, y in zip(last, (digest, doc, row, start, para)))
         new = np.append(True, (digest[1:] != digest[:-1]) | (para[1:] != para[:-1]))
-        of = np.flatnonzero(new)[np.cumsum(new) - 1]
+        heads = np.flatnonzero(new)
+        of = heads[np.cumsum(new) - 1]
         other = (doc != doc[of]) | (row != row[of])
         kind = np.where(para, np.where(other | (start != start[of]), 1, 0), np.where(other, 2, -1))
-        if last is not None:
-            kind = kind[1:]
-        last = tuple(x[of[-1] : of[-1] + 1] for x in (digest, doc, row, start, para))
+        shared = np.logical_or.reduceat(other, heads) & ~para[heads]
+        if carried:
+            kind[0] = -1
+            shared[0] &= not told
+        kind[heads[shared]] = 3
+        told = bool(shared[-1] or (carried and len(heads) == 1 and told))
+        first = [x[heads[-1] : heads[-1] + 1] for x in c]
         keep = np.flatnonzero(kind >= 0)
-        t = b.take(pa.array(keep))
-        bands = pa.array([x if k == 0 else None for k, x in zip(kind[keep], t.column(7).to_pylist())], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(kind[keep].astype("i4")), *[t.column(k) for k in range(7)], bands], names)
+        at = keep - carried  # the carried row, if it is told, has no bands
+        bands = b.column(7).take(pa.array(np.where((kind[keep] == 0) & (at >= 0), at, -1), mask=(kind[keep] != 0)))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(kind[keep].astype("i4")), *[pa.array(x[keep], t) for x, t in zip(c, kinds)], bands], names)
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,15 +329,16 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for row, doc, found in zip(*[b.column(k).to_pylist() for k in range(3)]):
             spans = [(x["start"], x["end"], x["n"], x["cluster"], x["first"]) for x in found if x["seq"] < 0 and x["n"] >= PASSAGE]
-            seqs = sorted((x["seq"], x["start"], x["end"], x["n"], x["cluster"]) for x in found if x["seq"] >= 0)
-            run: list | None = None
-            for seq, start, end, n, cluster in [*seqs, (-9, 0, 0, 0, 0)]:
-                if run and seq == run[0] + 1:
-                    run = [seq, run[1], end, run[3] + n, run[4]]
-                    continue
-                if run and run[3] >= PASSAGE:
-                    spans.append((run[1], run[2], run[3], run[4], False))
-                run = [seq, start, end, n, cluster]
+            for kept in (False, True):
+                seqs = sorted((x["seq"], x["start"], x["end"], x["n"], x["cluster"]) for x in found if x["seq"] >= 0 and x["first"] == kept)
+                run: list | None = None
+                for seq, start, end, n, cluster in [*seqs, (-9, 0, 0, 0, 0)]:
+                    if run and seq == run[0] + 1:
+                        run = [seq, run[1], end, run[3] + n, run[4]]
+                        continue
+                    if run and run[3] >= PASSAGE:
+                        spans.append((run[1], run[2], run[3], run[4], kept))
+                    run = [seq, start, end, n, cluster]
             removed = sorted(s for s in spans if not s[4])
             merged: list[tuple] = []
             for s in removed:
@@ -389,7 +397,7 @@ def passages(docs: DataFrame) -> DataFrame:
         clustered.select(*cols)
         .unionByName(alone.withColumn("cluster", F.col("digest")).withColumn("first", F.lit(True)).select(*cols))
         .unionByName(again.withColumn("first", F.lit(False)).select(*cols))
-        .unionByName(met.where("kind = 2").withColumn("cluster", F.col("digest")).withColumn("first", F.lit(False)).select(*cols))
+        .unionByName(met.where("kind in (2, 3)").withColumn("cluster", F.col("digest")).withColumn("first", F.col("kind") == 3).select(*cols))
     )
     grouped = found.groupBy("row", "doc").agg(F.collect_list(F.struct("start", "end", "n", "seq", "cluster", "first")).alias("found"))
     return grouped.select("row", "doc", "found").mapInArrow(lean(_spans), "row long, doc long, start int, end int, n_words int, cluster long, kept boolean")
@@ -398,8 +406,8 @@ def passages(docs: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end, n_words, cluster_id, kept) for each passage that other documents repeat.
 
-    Passages have PASSAGE words or more. kept marks a paragraph cluster's first occurrence, by the
-    smallest doc_id; all other rows are removed by remove_passages(). Null and empty texts have no
+    Passages have PASSAGE words or more. kept marks a cluster's first occurrence, by the smallest
+    doc_id; all other rows are removed by remove_passages(). Null and empty texts have no
     passages; a null doc_id comes after all others; rows equal in doc_id and text are one
     document. Other columns are ignored; no rows give no rows.
     """
