@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import lean
 
-#: Rows sampled for tier one, the pieces it holds, and the most that a worker's cache holds.
-SAMPLE_ROWS, FREQUENT, CACHE = 2_000, 20_000, 500_000
+#: Rows sampled for tier one and their longest, the pieces it holds, and the most that a worker's cache holds.
+SAMPLE_ROWS, SAMPLE_CHARS, FREQUENT, CACHE = 1_000, 16_384, 20_000, 500_000
 #: Fixed value: how a byte-level pre-tokenizer splits a text.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Python's white space holds all of the tokenizer's, so a cut is never inside a run of it.
@@ -131,22 +131,18 @@ class Counter2:
 
 
 def frequent_pieces(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS, keep: int = FREQUENT) -> dict[str, int]:
-    """Token numbers of the most frequent pieces in a bounded sample of rows: tier one (keep rows at most)."""
+    """Token numbers of the most frequent pieces in a bounded sample of rows: tier one (keep pieces at most).
+
+    The sample is the first rows found whose text has SAMPLE_CHARS or fewer, so few partitions are
+    opened and the driver holds little.
+    """
     if not _library(path)[2]:
         return {}
-
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                seen.update(_CUT.split(text)[1:])
-            if len(seen) > CACHE:
-                seen = Counter(dict(seen.most_common(keep)))
-        found, encode = [x for x, _ in seen.most_common(keep)], _library(path)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([len(encode(" " + x)) for x in found], pa.int32())], ["piece", "n"])
-
-    sample = docs.select("text").where("text is not null").limit(sample_rows).coalesce(1)
-    return {r.piece: r.n for r in sample.mapInArrow(top, "piece string, n int").collect()}
+    seen: Counter = Counter()
+    for (text,) in docs.select("text").where(F.length("text") <= SAMPLE_CHARS).limit(sample_rows).collect():
+        seen.update(_CUT.split(text)[1:])
+    encode = _library(path)[0]
+    return {x: len(encode(" " + x)) for x, _ in seen.most_common(keep)}
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024) -> DataFrame:
