@@ -152,11 +152,14 @@ def _chunks(ends: np.ndarray, size: int = 1 << 16) -> Iterator[tuple[int, int]]:
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc, text) to (digest, doc, row, start, end, n, seq, bands); bands null for sentences."""
+    """(row, doc, text) to (digest, doc, row, start, end, n, seq, bands); bands null for sentences.
+
+    seq tells a unit's kind and the place of its first word: place for sentences, -1 - place for paragraphs.
+    """
     make = Units()
     names = ["digest", "doc", "row", "start", "end", "n", "seq", "bands"]
     for b in batches:
-        words, starts, ends, para, sent, of_para, of_sent, seq, at = [], [], [], [], [], [], [], [], 0
+        words, starts, ends, para, sent, of_para, of_sent, seq, at = [], [], [], [], [], [], [], ([], []), 0
         for k, text in enumerate(b.column(2).to_pylist()):
             h, s, e, paragraphs, sentences = make.cut(text)
             if not paragraphs and not sentences:
@@ -165,7 +168,8 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sent += [(x + at, y + at) for x, y in sentences]
             of_para += [k] * len(paragraphs)
             of_sent += [k] * len(sentences)
-            seq += range(len(sentences))
+            seq[0].extend(-1 - x for x, _ in paragraphs)
+            seq[1].extend(x for x, _ in sentences)
             words.append(h)
             starts.append(s)
             ends.append(e)
@@ -177,7 +181,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = signatures(h, para)
         bands = pa.ListArray.from_arrays(pa.array(np.append(np.arange(len(para) + 1) * BANDS, np.full(len(sent), len(para) * BANDS)), pa.int32()), pa.array(keys.ravel()), mask=pa.array(np.arange(len(both)) >= len(para)))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(_digests(h, both)), b.column(1).take(of), b.column(0).take(of), pa.array(starts[both[:, 0]].astype("i4")), pa.array(ends[both[:, 1] - 1].astype("i4")), pa.array((both[:, 1] - both[:, 0]).astype("i4")), pa.array([-1] * len(para) + seq, pa.int32()), bands],
+            [pa.array(_digests(h, both)), b.column(1).take(of), b.column(0).take(of), pa.array(starts[both[:, 0]].astype("i4")), pa.array(ends[both[:, 1] - 1].astype("i4")), pa.array((both[:, 1] - both[:, 0]).astype("i4")), pa.array(seq[0] + seq[1], pa.int32()), bands],
             names,
         )
 
@@ -324,29 +328,22 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A document's found units to its passages: paragraphs, and runs of neighbouring sentences."""
+    """A document's found units to its passages: runs of units that no word lies between."""
     for b in batches:
         out = []
         for row, doc, found in zip(*[b.column(k).to_pylist() for k in range(3)]):
-            spans = [(x["start"], x["end"], x["n"], x["cluster"], x["first"]) for x in found if x["seq"] < 0 and x["n"] >= PASSAGE]
             for kept in (False, True):
-                seqs = sorted((x["seq"], x["start"], x["end"], x["n"], x["cluster"]) for x in found if x["seq"] >= 0 and x["first"] == kept)
+                units = sorted((x["seq"] if x["seq"] >= 0 else -1 - x["seq"], x["n"], x["start"], x["end"], x["cluster"]) for x in found if x["first"] == kept)
                 run: list | None = None
-                for seq, start, end, n, cluster in [*seqs, (-9, 0, 0, 0, 0)]:
-                    if run and seq == run[0] + 1:
-                        run = [seq, run[1], end, run[3] + n, run[4]]
+                for place, n, start, end, cluster in [*units, (1 << 40, 0, 0, 0, 0)]:
+                    if run and place <= run[1]:
+                        if n > run[4]:
+                            run[4:] = n, cluster
+                        run[1], run[3] = max(run[1], place + n), max(run[3], end)
                         continue
-                    if run and run[3] >= PASSAGE:
-                        spans.append((run[1], run[2], run[3], run[4], kept))
-                    run = [seq, start, end, n, cluster]
-            removed = sorted(s for s in spans if not s[4])
-            merged: list[tuple] = []
-            for s in removed:
-                if merged and s[0] <= merged[-1][1]:
-                    merged[-1] = (merged[-1][0], max(merged[-1][1], s[1]), max(merged[-1][2], s[2]), merged[-1][3], False)
-                else:
-                    merged.append(s)
-            out += [(row, doc, *s) for s in merged + [s for s in spans if s[4]]]
+                    if run and run[1] - run[0] >= PASSAGE:
+                        out.append((row, doc, run[2], run[3], run[1] - run[0], run[5], kept))
+                    run = [place, place + n, start, end, n, cluster]
         cols = list(zip(*out)) if out else [()] * 7
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["row", "doc", "start", "end", "n_words", "cluster", "kept"])

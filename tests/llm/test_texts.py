@@ -85,6 +85,16 @@ def test_passages(spark):
     assert repeated_passages(frame(spark, [(1, "a")]).limit(0)).count() == 0
 
 
+def test_unique_text_between_repeated_lines_stays(spark):
+    rng = random.Random(11)
+    head, foot = (" ".join(sentence(rng, 14) for _ in range(3)) for _ in range(2))
+    body = ["\n".join(sentence(rng, n) for n in (12, 5, 30)) for _ in range(3)]
+    rows = [(k, f"{head}\n{body[k]}\n{foot}") for k in range(3)]
+    out = {r.doc_id: r.text for r in remove_passages(frame(spark, rows)).collect()}
+    assert out == {0: rows[0][1], 1: body[1], 2: body[2]}
+    assert all(r.n_words == 42 for r in repeated_passages(frame(spark, rows)).collect())
+
+
 def test_near_paragraphs_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(paragraphs, "BUCKET", 6)
     rng = random.Random(9)
