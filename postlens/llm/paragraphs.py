@@ -1,7 +1,8 @@
 """Substring deduplication by paragraph MinHash banding.
 
-Texts are cut into paragraphs (between line breaks), and paragraphs of several sentences also into
-sentences, so that a passage set into other text is found too. Equal units meet by digest. Distinct
+Texts are cut into paragraphs (between line breaks) of PASSAGE words or more, and into sentences and
+lines, short ones together with their neighbours, so that a passage set into other text or over
+short lines is found too. Found units that no word lies between are one passage. Equal units meet by digest. Distinct
 paragraphs meet when a band of their MinHash agrees; bands are tuned for a recall at the threshold.
 What meets is verified by exact Jaccard similarity of word shingles, verified links are clustered
 by connected components, and every occurrence but a cluster's first is removed. Five-word shingles
@@ -70,7 +71,12 @@ class Units:
         return found
 
     def cut(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]], list[tuple[int, int]]]:
-        """Word hashes, their starts and ends, and the word ranges of paragraphs and of sentences."""
+        """Word hashes, their starts and ends, and the word ranges of paragraphs and of sentences.
+
+        Lines and sentences alike end at a cut. From every cut a unit runs to the next that is UNIT
+        words away or more, and to every cut one runs from the last such before it, so short
+        lines and sentences are held by units that overlap, wherever a passage begins.
+        """
         found = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
         if not found:
             none = np.zeros(0, np.int64)
@@ -81,22 +87,13 @@ class Units:
         breaks = [m for m, c in enumerate(text) if c == "\n"] if "\n" in text else []
         bounds = sorted({0, *np.searchsorted(starts, breaks).tolist(), len(words)})
         stops = [k + 1 for k, w in enumerate(words) if w[-1] in _STOPS]
-        paragraphs, sentences, s = [], [], 0
-        for a, b in zip(bounds, bounds[1:]):
-            if b - a >= UNIT:
-                paragraphs.append((a, b))
-            own, at = [], a
-            while s < len(stops) and stops[s] <= a:
-                s += 1
-            while s < len(stops) and stops[s] <= b:
-                if stops[s] - at >= UNIT:
-                    own.append((at, stops[s]))
-                    at = stops[s]
-                s += 1
-            if b - at >= UNIT:
-                own.append((at, b))
-            if own and own != [(a, b)]:
-                sentences += own
+        cuts = np.unique(np.array(bounds + stops))
+        paragraphs = [(a, b) for a, b in zip(bounds, bounds[1:]) if b - a >= PASSAGE]
+        after, before = np.searchsorted(cuts, cuts + UNIT), np.searchsorted(cuts, cuts - UNIT, side="right") - 1
+        some = after < len(cuts)
+        sentences = set(zip(cuts[some].tolist(), cuts[after[some]].tolist()))
+        sentences.update(zip(cuts[before[before >= 0]].tolist(), cuts[before >= 0].tolist()))
+        sentences = sorted(sentences.difference(paragraphs))
         return h, starts, ends, paragraphs, sentences
 
 

@@ -95,6 +95,17 @@ def test_unique_text_between_repeated_lines_stays(spark):
     assert all(r.n_words == 42 for r in repeated_passages(frame(spark, rows)).collect())
 
 
+def test_passages_over_short_lines(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randint(0, 5000)}" for _ in range(64)]
+    sizes = [5, 12, 7, 9, 5, 6, 11, 9]
+    wrapped = "\n".join(" ".join(words[sum(sizes[:k]) : sum(sizes[: k + 1])]) for k in range(len(sizes)))
+    listed = "\n".join(sentence(rng, n) for n in (9, 4, 3, 12, 2, 8))
+    rows = [(k, "\n".join([sentence(rng, 6), wrapped, sentence(rng, 20), listed, sentence(rng, 5)])) for k in range(2)]
+    got = [(r.doc_id, rows[r.doc_id][1][r.start : r.end], r.kept) for r in repeated_passages(frame(spark, rows)).collect()]
+    assert sorted(got) == sorted((k, t, k == 0) for k in range(2) for t in (wrapped, listed))
+
+
 def test_near_paragraphs_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(paragraphs, "BUCKET", 6)
     rng = random.Random(9)
