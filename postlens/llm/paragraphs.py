@@ -6,8 +6,9 @@ short lines is found too. Found units that no word lies between are one passage.
 paragraphs meet when a band of their MinHash agrees; bands are tuned for a recall at the threshold.
 What meets is verified by exact Jaccard similarity of word shingles, verified links are clustered
 by connected components, and every occurrence but a cluster's first is removed. Five-word shingles
-at 0.8 leave no near copy of a unit below nine words but an equal one, so sentences, which are
-short, need the digest alone.
+at 0.8 leave no near copy of a unit below nine words but an equal one, so sentences have bands from
+nine words. Text without stops is met by grams of GRAM words: of WINDOW neighbouring grams the one
+of the least hash is a unit, so passages of GRAM + WINDOW - 1 words or more share one wherever they stand.
 """
 
 from __future__ import annotations
@@ -28,12 +29,16 @@ from .components import connected_components
 WIDTH, SIMILAR, RECALL, ROWS = 5, 0.8, 0.999, 4
 #: Fewest words of a unit, and of a passage that is removed.
 UNIT, PASSAGE = 8, 25
+#: Words of a gram, and grams of a window that holds a chosen one.
+GRAM, WINDOW = 32, 19
 #: Paragraphs of one bucket verified in one go; larger buckets are split.
 BUCKET = 1_024
 _WORD = re.compile(r"\S+")
 _STOPS = frozenset(".!?…。！？")
 _M = np.uint64(0xD6E8FEB86659FD93)
 _CACHE = 150_000
+_BASE = 0x9E3779B97F4A7C15
+_POWERS, _INVERSES = (np.array([pow(b, k, 1 << 64) for k in range(4096)], np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
 def tune(similar: float = SIMILAR, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -70,17 +75,18 @@ class Units:
             found = self.words[word] = xxhash.xxh64_intdigest((word.lower().strip(".,;:!?\"'()[]") or word).encode())
         return found
 
-    def cut(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]], list[tuple[int, int]]]:
-        """Word hashes, their starts and ends, and the word ranges of paragraphs and of sentences.
+    def cut(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
+        """Word hashes, their starts and ends, and the word ranges of paragraphs, of sentences and of other units.
 
         Lines and sentences alike end at a cut. From every cut a unit runs to the next that is UNIT
         words away or more, and to every cut one runs from the last such before it, so short
-        lines and sentences are held by units that overlap, wherever a passage begins.
+        lines and sentences are held by units that overlap, wherever a passage begins. Sentences
+        have more than UNIT words; a paragraph of one sentence is given as a paragraph only.
         """
         found = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
         if not found:
             none = np.zeros(0, np.int64)
-            return none.view(np.uint64), none, none, [], []
+            return none.view(np.uint64), none, none, [], [], []
         starts, ends, words = zip(*found)
         starts, ends = np.array(starts), np.array(ends)
         h = np.fromiter(map(self._hash, words), np.uint64, len(words))
@@ -91,10 +97,25 @@ class Units:
         paragraphs = [(a, b) for a, b in zip(bounds, bounds[1:]) if b - a >= PASSAGE]
         after, before = np.searchsorted(cuts, cuts + UNIT), np.searchsorted(cuts, cuts - UNIT, side="right") - 1
         some = after < len(cuts)
-        sentences = set(zip(cuts[some].tolist(), cuts[after[some]].tolist()))
-        sentences.update(zip(cuts[before[before >= 0]].tolist(), cuts[before >= 0].tolist()))
-        sentences = sorted(sentences.difference(paragraphs))
-        return h, starts, ends, paragraphs, sentences
+        others = set(zip(cuts[some].tolist(), cuts[after[some]].tolist()))
+        others.update(zip(cuts[before[before >= 0]].tolist(), cuts[before >= 0].tolist()))
+        whole = set(paragraphs)
+        sentences = [(a, b) for a, b in zip(cuts.tolist(), cuts[1:].tolist()) if b - a > UNIT and (a, b) not in whole]
+        return h, starts, ends, paragraphs, sentences, sorted(others.difference(sentences, whole))
+
+
+def grams(h: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of GRAM words, chosen by their words alone: one at least of any WINDOW neighbours."""
+    n = len(h) - GRAM + 1
+    if n < WINDOW:
+        return []
+    x = np.empty(n, np.uint64)
+    for i in range(0, n, len(_POWERS) - GRAM):
+        m = min(n - i, len(_POWERS) - GRAM)
+        sums = np.append(np.uint64(0), np.cumsum(h[i : i + m + GRAM - 1] * _POWERS[: m + GRAM - 1]))
+        x[i : i + m] = _mix((sums[GRAM:] - sums[:-GRAM]) * _INVERSES[:m])
+    least = np.unique(np.lib.stride_tricks.sliding_window_view(x, WINDOW).argmin(axis=1) + np.arange(n - WINDOW + 1))
+    return [(a, a + GRAM) for a in least.tolist()]
 
 
 def _digests(h: np.ndarray, ranges) -> np.ndarray:
@@ -124,19 +145,24 @@ def signatures(h: np.ndarray, ranges: list[tuple[int, int]]) -> np.ndarray:
     if not ranges:
         return out
     s, r = shingles(h), np.array(ranges)
-    n = np.maximum(1, r[:, 1] - r[:, 0] - WIDTH + 1)
-    ends = np.cumsum(n)
-    for i, j in _chunks(ends):
-        m = n[i:j]
-        first = np.cumsum(m) - m
-        x = s[np.minimum(np.repeat(r[i:j, 0] - first, m) + np.arange(m.sum()), len(s) - 1)]
-        low = np.empty((j - i, BANDS * ROWS), np.uint64)
+    a = np.minimum(r[:, 0], len(s) - 1)
+    b = np.minimum(a + np.maximum(1, r[:, 1] - r[:, 0] - WIDTH + 1), len(s))
+    order = np.argsort(a, kind="stable")
+    for i, j in _chunks(np.cumsum((b - a)[order])):
+        of = order[i:j]
+        # ranges overlap: minima of the pieces between all their ends come first
+        ends = np.unique(np.append(a[of], b[of]))
+        x = s[ends[0] : ends[-1]]
+        low, high = np.searchsorted(ends, a[of]), np.searchsorted(ends, b[of])
+        first = np.cumsum(high - low) - (high - low)
+        pieces = np.repeat(low - first, high - low) + np.arange((high - low).sum())
+        least = np.empty((j - i, BANDS * ROWS), np.uint64)
         for k in range(BANDS * ROWS):
-            low[:, k] = np.minimum.reduceat((x ^ _XOR[k]) * _MUL[k], first)
+            least[:, k] = np.minimum.reduceat(np.minimum.reduceat((x ^ _XOR[k]) * _MUL[k], ends[:-1] - ends[0])[pieces], first)
         key = np.zeros((j - i, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
         for k in range(ROWS):
-            key = _mix(key * np.uint64(31) + low[:, k::ROWS])
-        out[i:j] = key.view(np.int64)
+            key = _mix(key * np.uint64(31) + least[:, k::ROWS])
+        out[of] = key.view(np.int64)
     return out
 
 
@@ -148,25 +174,28 @@ def _chunks(ends: np.ndarray, size: int = 1 << 16) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc, text) to (digest, doc, row, start, end, n, seq, bands); bands null for sentences.
+def _units(batches: Iterator[pa.RecordBatch], anywhere: bool = False) -> Iterator[pa.RecordBatch]:
+    """(row, doc, text) to (digest, doc, row, start, end, n, seq, bands).
 
-    seq tells a unit's kind and the place of its first word: place for sentences, -1 - place for paragraphs.
+    seq tells a unit's kind and the place of its first word: -1 - 2 * place for paragraphs, -2 - 2 * place
+    for sentences, place for all others, which have no bands.
     """
     make = Units()
     names = ["digest", "doc", "row", "start", "end", "n", "seq", "bands"]
     for b in batches:
-        words, starts, ends, para, sent, of_para, of_sent, seq, at = [], [], [], [], [], [], [], ([], []), 0
+        words, starts, ends, para, sent, of_banded, of_other, seq, at = [], [], [], [], [], [], [], ([], []), 0
         for k, text in enumerate(b.column(2).to_pylist()):
-            h, s, e, paragraphs, sentences = make.cut(text)
-            if not paragraphs and not sentences:
+            h, s, e, paragraphs, sentences, others = make.cut(text)
+            others += grams(h) if anywhere else []
+            if not paragraphs and not sentences and not others:
                 continue
-            para += [(x + at, y + at) for x, y in paragraphs]
-            sent += [(x + at, y + at) for x, y in sentences]
-            of_para += [k] * len(paragraphs)
-            of_sent += [k] * len(sentences)
-            seq[0].extend(-1 - x for x, _ in paragraphs)
-            seq[1].extend(x for x, _ in sentences)
+            para += [(x + at, y + at) for x, y in paragraphs + sentences]
+            sent += [(x + at, y + at) for x, y in others]
+            of_banded += [k] * (len(paragraphs) + len(sentences))
+            of_other += [k] * len(others)
+            seq[0].extend(-1 - 2 * x for x, _ in paragraphs)
+            seq[0].extend(-2 - 2 * x for x, _ in sentences)
+            seq[1].extend(x for x, _ in others)
             words.append(h)
             starts.append(s)
             ends.append(e)
@@ -174,7 +203,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not words:
             continue
         h, starts, ends, both = np.concatenate(words), np.concatenate(starts), np.concatenate(ends), np.array(para + sent)
-        of = pa.array(of_para + of_sent)
+        of = pa.array(of_banded + of_other)
         keys = signatures(h, para)
         bands = pa.ListArray.from_arrays(pa.array(np.append(np.arange(len(para) + 1) * BANDS, np.full(len(sent), len(para) * BANDS)), pa.int32()), pa.array(keys.ravel()), mask=pa.array(np.arange(len(both)) >= len(para)))
         yield pa.RecordBatch.from_arrays(
@@ -183,11 +212,17 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _within(seq):
+    """Whether a unit with bands is a paragraph of PASSAGE words, which goes if its own document repeats it."""
+    return seq % 2 != 0
+
+
 def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units sorted by digest, kind, doc, row, start: firsts of paragraphs (with bands), and what repeats.
+    """Units sorted by digest, kind, doc, row, start: firsts of those with bands (with them), and what repeats.
 
-    kind 0: a paragraph's first; kind 1: another occurrence of it; kind 2: a sentence that occurs
-    in an earlier document; kind 3: the first occurrence of such a sentence.
+    kind 0: a paragraph's or sentence's first; kind 1: another occurrence of it; kind 4: another sentence
+    in the first's document; kind 2: a unit without bands that occurs in an earlier document; kind 3: the
+    first occurrence of such a unit.
     """
     names = ["kind", "digest", "doc", "row", "start", "end", "n", "seq", "bands"]
     first, told = None, False
@@ -204,7 +239,7 @@ def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = np.flatnonzero(new)
         of = heads[np.cumsum(new) - 1]
         other = (doc != doc[of]) | (row != row[of])
-        kind = np.where(para, np.where(other | (start != start[of]), 1, 0), np.where(other, 2, -1))
+        kind = np.where(para, np.where(other, 1, np.where(start == start[of], 0, np.where(_within(seq), 1, 4))), np.where(other, 2, -1))
         shared = np.logical_or.reduceat(other, heads) & ~para[heads]
         if carried:
             kind[0] = -1
@@ -330,17 +365,17 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for row, doc, found in zip(*[b.column(k).to_pylist() for k in range(3)]):
             for kept in (False, True):
-                units = sorted((x["seq"] if x["seq"] >= 0 else -1 - x["seq"], x["n"], x["start"], x["end"], x["cluster"]) for x in found if x["first"] == kept)
+                units = sorted((x["seq"] if x["seq"] >= 0 else (-1 - x["seq"]) // 2, (x["seq"] < 0, x["n"]), x["start"], x["end"], x["cluster"]) for x in found if x["first"] == kept)
                 run: list | None = None
-                for place, n, start, end, cluster in [*units, (1 << 40, 0, 0, 0, 0)]:
+                for place, size, start, end, cluster in [*units, (1 << 40, (False, 0), 0, 0, 0)]:
                     if run and place <= run[1]:
-                        if n > run[4]:
-                            run[4:] = n, cluster
-                        run[1], run[3] = max(run[1], place + n), max(run[3], end)
+                        if size > run[4]:
+                            run[4:] = size, cluster
+                        run[1], run[3] = max(run[1], place + size[1]), max(run[3], end)
                         continue
                     if run and run[1] - run[0] >= PASSAGE:
                         out.append((row, doc, run[2], run[3], run[1] - run[0], run[5], kept))
-                    run = [place, place + n, start, end, n, cluster]
+                    run = [place, place + size[1], start, end, size, cluster]
         cols = list(zip(*out)) if out else [()] * 7
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["row", "doc", "start", "end", "n_words", "cluster", "kept"])
@@ -355,14 +390,15 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_doc", doc).withColumn("_row", F.xxhash64(text))
 
 
-def passages(docs: DataFrame) -> DataFrame:
+def passages(docs: DataFrame, anywhere: bool = True) -> DataFrame:
     """(row, doc, start, end, n_words, cluster, kept): the repeated passages of docs (doc_id, text).
 
     A document is known by doc_id and its text's hash (row). start and end are places in the text.
+    anywhere: whether passages that begin and end inside units (by grams) are found too.
     """
     docs = _numbered(docs).select(F.col("_row").alias("row"), F.col("_doc").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     schema = "digest long, doc long, row long, start int, end int, n int, seq int, bands array<long>"
-    units = docs.mapInArrow(lean(_units), schema)
+    units = docs.mapInArrow(lean(lambda batches: _units(batches, anywhere)), schema)
     order = ["digest", F.col("seq") >= 0, "doc", "row", "start"]
     met = materialize(units.repartition("digest").sortWithinPartitions(*order).mapInArrow(_equal, "kind int, " + schema))
 
@@ -383,7 +419,11 @@ def passages(docs: DataFrame) -> DataFrame:
     clustered = members.where("root is not null or is_root").withColumn("cluster", F.coalesce("root", "digest"))
     least = clustered.groupBy("cluster").agg(F.min(F.struct("doc", "row", "start")).alias("least"))
     clustered = clustered.join(least, "cluster").withColumn("first", F.struct("doc", "row", "start") == F.col("least"))
-    again = met.where("kind = 1").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("cluster", F.coalesce("root", "digest"))
+    again = met.where("kind in (1, 4)").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("cluster", F.coalesce("root", "digest")).join(least, "cluster", "left")
+    # a sentence stays where its own document holds the first
+    own = (F.col("seq") % 2 == 0) & F.coalesce((F.col("doc") == F.col("least.doc")) & (F.col("row") == F.col("least.row")), F.col("kind") == 4)
+    again = again.where(~own)
+    clustered = clustered.withColumn("kind", F.lit(0)).where(F.col("first") | ~own)
     repeated = again.select("digest").distinct()
     alone = firsts.join(repeated, "digest", "left_semi").join(clustered.select("digest"), "digest", "left_anti")
     cols = ["row", "doc", "start", "end", "n", "seq", "cluster", "first"]
@@ -397,15 +437,16 @@ def passages(docs: DataFrame) -> DataFrame:
     return grouped.select("row", "doc", "found").mapInArrow(lean(_spans), "row long, doc long, start int, end int, n_words int, cluster long, kept boolean")
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def repeated_passages(docs: DataFrame, anywhere: bool = False) -> DataFrame:
     """(doc_id, start, end, n_words, cluster_id, kept) for each passage that other documents repeat.
 
     Passages have PASSAGE words or more. kept marks a cluster's first occurrence, by the smallest
     doc_id; all other rows are removed by remove_passages(). Null and empty texts have no
     passages; a null doc_id comes after all others; rows equal in doc_id and text are one
-    document. Other columns are ignored; no rows give no rows.
+    document. Other columns are ignored; no rows give no rows. Without anywhere, only whole lines,
+    sentences and their runs are passages.
     """
-    found = passages(docs)
+    found = passages(docs, anywhere)
     return found.select(F.when(F.col("doc") != _NONE, F.col("doc")).alias("doc_id"), "start", "end", "n_words", F.col("cluster").alias("cluster_id"), "kept")
 
 

@@ -29,7 +29,7 @@ QUERIES = {
     "op4_mixing": lambda spark, d: mix_digest(table(spark, d, "documents")),
     "op5_suffix_array_dedup": lambda spark, d: dedup_substrings(table(spark, d, "documents")),
     "op6_quality": lambda spark, d: classify(table(spark, d, "documents"), table(spark, d, "labels")),
-    "op7_substring_dedup": lambda spark, d: repeated_passages(table(spark, d, "documents")),
+    "op7_substring_dedup": lambda spark, d: repeated_passages(table(spark, d, "documents"), anywhere=True),
     "op8_embedding_near_dedup": lambda spark, d: near_duplicates(table(spark, d, "embeddings")),
     "op9_packing": lambda spark, d: pack_documents(table(spark, d, "documents")),
     "op10_html_main_text": lambda spark, d: main_text(table(spark, d, "pages")),

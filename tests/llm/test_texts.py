@@ -106,6 +106,24 @@ def test_passages_over_short_lines(spark):
     assert sorted(got) == sorted((k, t, k == 0) for k in range(2) for t in (wrapped, listed))
 
 
+def test_passages_without_cuts_of_their_own(spark):
+    rng = random.Random(13)
+    line = sentence(rng, 60)
+    bare = " ".join(f"w{rng.randint(0, 5000)}" for _ in range(80))
+    one, two = ([f"w{rng.randint(0, 5000)}" for _ in range(20)] for _ in range(2))
+    near = [" ".join(x) + "." for x in (one, two)]
+    changed = [" ".join([*x[:-1], "other"]) + "." for x in (one, two)]
+    rows = [(0, line), (1, f"{sentence(rng, 12)} {line} {sentence(rng, 12)}"), (2, f"{sentence(rng, 9)[:-1]} {bare} {sentence(rng, 30)}"), (3, f"{sentence(rng, 14)[:-1]} {bare} {sentence(rng, 21)}")]
+    rows += [(4, f"{sentence(rng, 40)} {' '.join(near)} {sentence(rng, 40)}"), (5, f"{sentence(rng, 40)} {' '.join(changed)} {sentence(rng, 40)}")]
+    found = {(r.doc_id, r.kept): rows[r.doc_id][1][r.start : r.end] for r in repeated_passages(frame(spark, rows), anywhere=True).collect()}
+    assert set(found) == {(k, k % 2 == 0) for k in range(6)}
+    assert found[0, True] == found[1, False] == line and found[2, True] == found[3, False]
+    assert found[2, True] in bare and len(found[2, True].split()) >= 80 - 2 * (paragraphs.WINDOW - 1)
+    assert found[4, True] == " ".join(near) and found[5, False] == " ".join(changed)
+    twice = [(0, f"{sentence(rng, 30)} {line} {sentence(rng, 9)} {line}")]
+    assert repeated_passages(frame(spark, twice), anywhere=True).where("not kept").count() == 0
+
+
 def test_near_paragraphs_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(paragraphs, "BUCKET", 6)
     rng = random.Random(9)
