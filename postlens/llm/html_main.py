@@ -39,7 +39,7 @@ _SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 
 
 class _Element:
-    __slots__ = ("tag", "away", "main", "flow", "hash", "up", "size")
+    __slots__ = ("tag", "away", "main", "flow", "holds", "hash", "up", "size")
 
     def __init__(self, tag: str, up: _Element | None, away: bool):
         self.tag, self.up = tag, up
@@ -48,6 +48,9 @@ class _Element:
         self.flow = bool(up and up.flow) if not (tag in ("article", "main")) else True
         if self.flow and tag not in _FLOW and tag not in ("article", "main", "section", "div", "header"):
             self.flow = False
+        self.holds = False  # an article or main
+        while tag in ("article", "main") and up is not None:
+            up.holds, up = True, up.up
         self.hash, self.size = xxhash.xxh64(tag), 0
 
 
@@ -166,7 +169,7 @@ def parse(page: str) -> tuple[list[tuple[str, list[int], bool]], list[int]]:
     flush()
     hashes: list[int] = []
     for e in done:
-        if not e.away and e.up is not None and e.size and not e.flow and e.tag not in ("article", "main"):
+        if not e.away and e.up is not None and e.size and not e.flow and not e.holds and e.tag not in ("article", "main"):
             index[id(e)] = len(hashes)
             h = e.hash.intdigest()
             hashes.append(h - (1 << 64) if h >> 63 else h)
@@ -183,7 +186,7 @@ def _parse_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mains.append([m for _, _, m in found])
             hashes.append(list(set(h)))
         kinds = (pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.bool_()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip((texts, chains, mains, hashes), kinds)]], ["page_id", "url", "texts", "around", "main", "hashes"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *[pa.array(c, k) for c, k in zip((texts, chains, mains, hashes), kinds)]], ["page_id", "url", "page", "texts", "around", "main", "hashes"])
 
 
 def main_text(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE) -> DataFrame:
@@ -192,15 +195,15 @@ def main_text(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE)
     Blocks stand in page order, joined by one newline. If a page has an article or main element,
     its text is that element's; otherwise all that is no template. Null and empty pages have an
     empty text. Pages whose url is null or has no host count as one host. Repeated rows are
-    returned each and count as pages of their own; other columns are ignored; no rows give no rows.
+    returned each, and pages of one html count as one page of a host; other columns are ignored; no rows give no rows.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    parsed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    parsed = parsed.mapInArrow(lean(_parse_all), "page_id long, url string, texts array<string>, around array<array<long>>, main array<boolean>, hashes array<long>")
+    parsed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), F.xxhash64(F.col("html").cast("string")).alias("page"))
+    parsed = parsed.mapInArrow(lean(_parse_all), "page_id long, url string, page long, texts array<string>, around array<array<long>>, main array<boolean>, hashes array<long>")
     parsed = materialize(parsed.withColumn("host", host).withColumn("row", F.monotonically_increasing_id()))
-    subtrees = parsed.select("host", "row", F.explode("hashes").alias("hash"))
-    seen = subtrees.groupBy("host", "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    size = parsed.groupBy("host").agg(F.count("*").alias("of"))
+    subtrees = parsed.select("host", "row", "page", F.explode("hashes").alias("hash"))
+    seen = subtrees.groupBy("host", "hash").agg(F.countDistinct("page").alias("pages")).where(F.col("pages") >= least_pages)
+    size = parsed.groupBy("host").agg(F.countDistinct("page").alias("of"))
     template = seen.join(size, "host").where(F.col("pages") >= share * F.col("of")).select("host", "hash")
     hit = materialize(subtrees.join(template, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone")))  # of known size: sent whole only if small
     none = F.array().cast("array<long>")

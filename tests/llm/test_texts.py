@@ -200,3 +200,12 @@ def test_main_text(spark):
     for k in range(6):
         assert got[10 + k].text == f"own {k}" and got[10 + k].n_chars == len(f"own {k}")
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_main_text_of_copies(spark):
+    page = "<body><div id=wrap><article><p>one</p><p>two</p></article></div></body>"
+    plain = "<body><div><div>three</div><p>four</p></div></body>"
+    rows = [(k, "http://a/1", page) for k in range(3)] + [(10 + k, "http://b/1", plain) for k in range(4)]
+    rows += [(20 + k, f"http://c/{k}", f"<!-- {k} -->" + page) for k in range(3)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: "three\nfour" if 10 <= k < 20 else "one\ntwo" for k, _, _ in rows}
