@@ -57,7 +57,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, weights: tuple[float, ...] = WEIG
     """The mix's rows: the columns of docs with _size, _source_size, _target, _copy, _words, _shard, _place.
 
     A document appears once for each pass that takes words of it (_copy from 0), with the words
-    taken (_words, all of them but on a source's edge). A shard's rows are shuffled by _place.
+    taken (_words, all of them but on a source's edge). _shard and _place are labels: ordering by _place shuffles a shard's rows.
     Null texts have size 0, null sources are a source of their own, ordered last; documents of
     size 0 take part with no words and appear once, with _copy null if no pass takes them.
     """
