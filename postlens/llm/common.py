@@ -7,6 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,18 @@ def lean(run, rows: int = 1_000):
     return whole
 
 
+def chunks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes add up to most, or of one that is larger."""
+    i, total = 0, 0
+    for k, n in enumerate(sizes):
+        if k > i and total + n > most:
+            yield i, k
+            i, total = k, 0
+        total += n
+    if i < len(sizes):
+        yield i, len(sizes)
+
+
 class Forest:
     """Union-find over integers that appear in it; the root is the smallest member."""
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialize
+from .common import chunks, lean, materialize
 
 LENGTH, GRAM, CELL = 100, 32, 8
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
@@ -90,25 +90,36 @@ def entries(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[n
     return gram[anchor[first]], refined, lo, count
 
 
-def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    i, total = 0, 0
-    for k, n in enumerate(sizes):
-        if total and total + n > _CHUNK:
-            yield i, k
-            i, total = k, 0
-        total += n
-    if i < len(sizes):
-        yield i, len(sizes)
+def _settle(bucket: np.ndarray, refined: np.ndarray, row: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """What a chunk's entries leave for the shuffle: the first of equal ones as it is, the others as spans of repeats.
+
+    Equal refined identifiers stand for equal strings. Repeats are known at once, since their first
+    is in the chunk; neighbouring ones become one span, whose count is negative. So a bucket that
+    many copies hit gets one entry of each chunk, and the spans are dealt by their rows.
+    """
+    order = np.lexsort((start, row, refined))
+    bucket, refined, row, start, count = (x[order] for x in (bucket, refined, row, start, count))
+    equal = refined[1:] == refined[:-1]
+    same = np.append(False, equal & (row[1:] == row[:-1]) & (start[1:] == start[:-1]))  # a row that is there twice
+    again = np.append(False, equal) & ~same
+    first = np.flatnonzero(~again & ~same)
+    r, a, n = row[again], start[again], count[again]
+    order = np.lexsort((a, r))
+    r, a, n = r[order], a[order], n[order]
+    cut = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (a[1:] > a[:-1] + n[:-1] - 1 + LENGTH))) if len(r) else np.zeros(0, np.int64)
+    last = np.append(cut[1:], len(r)) - 1 if len(cut) else cut
+    spans = a[last] + n[last] - a[cut]
+    dealt = _mix(r[cut].astype(np.uint64)).view(np.int64)
+    cols = [np.concatenate(x) for x in ((bucket[first], dealt), (refined[first], dealt), (row[first], r[cut]), (start[first], a[cut]), (count[first], -spans))]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, ("i8", "i8", "i8", "i4", "i4"))], ["bucket", "refined", "row", "start", "count"])
 
 
 def _file_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, tie, text) to (bucket, refined, doc_id, packed); packed orders by tie, start."""
-    names = ["bucket", "refined", "doc", "packed"]
+    """(row, text) to (bucket, refined, row, start, count)."""
     for b in batches:
-        docs = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        ties = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        texts = b.column(2).to_pylist()
-        for i, j in _groups([len(x) for x in texts]):
+        numbers, one = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_index=True)
+        texts = b.column(1).take(pa.array(one)).to_pylist()
+        for i, j in chunks([len(x) for x in texts], _CHUNK):
             if j - i == 1 and len(texts[i]) > _CHUNK:  # a very long text goes on in overlapping parts
                 parts = [(texts[i][a : a + _CHUNK + LENGTH - 1], a) for a in range(0, len(texts[i]), _CHUNK)]
             else:
@@ -118,58 +129,64 @@ def _file_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 ends = np.cumsum(lengths)
                 bucket, refined, lo, count = entries(np.frombuffer(text, np.uint8), ends)
                 k = np.searchsorted(ends, lo, side="right")
-                lo = lo - (ends - lengths)[k] + shift
-                packed = (ties[i:j][k] << 47) | (lo << 16) | count
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(refined.view(np.int64)), pa.array(docs[i:j][k]), pa.array(packed)], names)
+                yield _settle(bucket.view(np.int64), refined.view(np.int64), numbers[i:j][k], lo - (ends - lengths)[k] + shift, count)
 
 
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries sorted by bucket, refined, doc, packed: repeats (kind 0), and firsts with company (kind 1)."""
-    last, wait = None, None  # (bucket, refined, doc, packed) of the current first; and (it, whether told)
+    """Entries sorted by bucket, refined, row, start: repeats (kind 0), and firsts with company (kind 1)."""
+    last, wait = None, None  # the current first; and whether it was told
 
-    def out(kind, bucket, doc, packed):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, "i4")), pa.array(bucket), pa.array(doc), pa.array(packed)], ["kind", "bucket", "doc", "packed"])
+    def out(kind, bucket, row, start, count):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), kind, "i4")), pa.array(bucket), pa.array(row), pa.array(start), pa.array(count)], ["kind", "bucket", "row", "start", "count"])
 
     for b in batches:
-        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+        span = cols[4] < 0
+        if span.any():  # settled before the shuffle
+            yield out(0, cols[0][span], cols[2][span], cols[3][span], -cols[4][span])
+            cols = [c[~span] for c in cols]
         if not len(cols[0]):
             continue
         if last is not None:
-            cols = [np.concatenate([[x], c]) for x, c in zip(last, cols)]
-        bucket, refined, doc, packed = cols
+            cols = [np.concatenate([[x], c]).astype(c.dtype) for x, c in zip(last, cols)]
+        bucket, refined, row, start, count = cols
         new = np.append(True, (bucket[1:] != bucket[:-1]) | (refined[1:] != refined[:-1]))
         first = np.flatnonzero(new)
         of = first[np.cumsum(new) - 1]
-        again = (doc != doc[of]) | (packed != packed[of])
-        yield out(0, bucket[again], doc[again], packed[again])
-        fb, fd, fp = bucket[first], doc[first], packed[first]
+        again = (row != row[of]) | (start != start[of])
+        yield out(0, *(c[again] for c in (bucket, row, start, count)))
+        fb = bucket[first]
         near = fb[1:] == fb[:-1]
         company = np.append(near, False) | np.append(False, near)
         told = np.zeros(len(first), bool)
         if wait is not None:
             told[0] = wait
-        tell = company & ~told
-        yield out(1, fb[tell], fd[tell], fp[tell])
+        tell = first[company & ~told]
+        yield out(1, *(c[tell] for c in (bucket, row, start, count)))
         wait = bool(company[-1] or told[-1])
         last = tuple(c[first[-1]] for c in cols)
 
 
 def _again(single: bool):
-    """(doc_id, tie, text, [(bucket, packed)]) to finer entries: cells, or single strings."""
+    """(row, text, [(bucket, start, count)]) to finer entries: cells, or single strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ties = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            lists = b.column(3)
-            starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            bucket = lists.flatten().field(0).to_numpy(zero_copy_only=False)
-            packed = lists.flatten().field(1).to_numpy(zero_copy_only=False)
-            for k, text in enumerate(b.column(2).to_pylist()):
-                bk, pk = bucket[starts[k] : starts[k + 1]], packed[starts[k] : starts[k + 1]]
-                found = (_single if single else _cells)(np.frombuffer(text, np.uint8), bk, pk >> 16 & ((1 << 31) - 1), pk & 0xFFFF)
-                out, refined, lo, count = found
-                yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(refined.view(np.int64)), pa.array(np.full(len(lo), docs[k])), pa.array((ties[k] << 47) | (lo << 16) | count)], ["bucket", "refined", "doc", "packed"])
+            rows = b.column(0).to_numpy(zero_copy_only=False)
+            lists = b.column(2)
+            at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            bucket, start, count = (lists.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+            found, size = [], 0
+            for k, text in enumerate(b.column(1).to_pylist()):
+                mine = slice(at[k], at[k + 1])
+                filed, refined, lo, n = (_single if single else _cells)(np.frombuffer(text, np.uint8), bucket[mine], start[mine], count[mine])
+                found.append((filed, refined.view(np.int64), np.full(len(lo), rows[k]), lo, n))
+                size += len(lo)
+                if size > _CHUNK // 8:
+                    yield _settle(*map(np.concatenate, zip(*found)))
+                    found, size = [], 0
+            if found:
+                yield _settle(*map(np.concatenate, zip(*found)))
 
     return run
 
@@ -213,8 +230,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not found:
                 rows.append((n, 0, 0, hashlib.sha256(text).hexdigest()))
                 continue
-            pk = np.array(found, np.int64)
-            lo, count = pk >> 16 & ((1 << 31) - 1), pk & 0xFFFF
+            lo, count = np.array([x["start"] for x in found], np.int64), np.array([x["count"] for x in found], np.int64)
             step = np.zeros(n + 1, np.int64)
             np.add.at(step, lo, 1)
             np.add.at(step, lo + count - 1 + LENGTH, -1)
@@ -225,20 +241,32 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text as binary), written: row numbers the distinct (doc_id, text) in their order.
+
+    Rows of one doc_id go by a digest of their texts; a null doc_id comes last.
+    """
+    text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    distinct = docs.select("doc_id", "digest").distinct().orderBy(F.asc_nulls_last("doc_id"), "digest")
+    numbers = materialize(distinct.select(F.col("doc_id").alias("d"), F.col("digest").alias("g"), F.monotonically_increasing_id().alias("row")))
+    return materialize(docs.join(numbers, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g"))).select("row", "doc_id", "text"))
+
+
 def repeated_strings(docs: DataFrame) -> DataFrame:
-    """(doc, packed) of what starts earlier too, for docs (doc, tie, text as binary); packed as in entries."""
-    order = ["bucket", "refined", "doc", "packed"]
-    long_enough = docs.where(F.length("text") >= LENGTH)
-    schema = "bucket long, refined long, doc long, packed long"
-    filed = long_enough.mapInArrow(lean(_file_entries), schema).repartition("bucket").sortWithinPartitions(*order)
-    met = materialize(filed.mapInArrow(_refine, "kind int, bucket long, doc long, packed long"))
-    found = [met]
+    """(row, start, count) of what starts earlier too, for docs (row, text as binary): count neighbouring strings."""
+    order = ["bucket", "refined", "row", "start"]
+    long_enough = docs.where(F.length("text") >= LENGTH).select("row", "text")
+    schema = "bucket long, refined long, row long, start int, count int"
+
+    def met(entries: DataFrame) -> DataFrame:
+        return materialize(entries.repartition("bucket").sortWithinPartitions(*order).mapInArrow(_refine, "kind int, bucket long, row long, start int, count int"))
+
+    found = [met(long_enough.mapInArrow(lean(_file_entries), schema))]
     for single in (False, True):
-        firsts = met.where("kind = 1").groupBy("doc", F.shiftright("packed", 47).alias("tie")).agg(F.collect_list(F.struct("bucket", "packed")).alias("entries"))
-        finer = long_enough.join(firsts, ["doc", "tie"]).select("doc", "tie", "text", "entries").mapInArrow(lean(_again(single)), schema)
-        met = materialize(finer.repartition("bucket").sortWithinPartitions(*order).mapInArrow(_refine, "kind int, bucket long, doc long, packed long"))
-        found.append(met)
-    return reduce(DataFrame.unionByName, [x.where("kind = 0").select("doc", "packed") for x in found])
+        firsts = found[-1].where("kind = 1").groupBy("row").agg(F.collect_list(F.struct("bucket", "start", "count")).alias("entries"))
+        found.append(met(long_enough.join(firsts, "row").select("row", "text", "entries").mapInArrow(lean(_again(single)), schema)))
+    return reduce(DataFrame.unionByName, [x.where("kind = 0").select("row", "start", "count") for x in found])
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
@@ -248,13 +276,10 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     doc_id or earlier in the same document, judged on the input. Null texts count as empty. A null
     doc_id comes after all others. Rows that share a doc_id but not the text are documents of
     their own, in an order that their contents fix; rows equal in both are one document, returned
-    each. Other columns are ignored; no rows give no rows.
+    each. Texts of any length are read whole, in overlapping parts. Other columns are ignored; no
+    rows give no rows.
     """
-    text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8")
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    docs = docs.select(doc.alias("doc"), text.alias("text")).withColumn("tie", F.xxhash64("text").bitwiseAND(F.lit(0xFFFF))).select("doc", "tie", "text")
-    tie = F.shiftright("packed", 47)
-    gone = repeated_strings(docs).groupBy("doc", tie.alias("tie")).agg(F.collect_list("packed").alias("gone"))
-    done = docs.join(gone, ["doc", "tie"], "left").select("doc", "text", "gone")
-    done = done.mapInArrow(lean(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return done.withColumn("doc_id", F.when(F.col("doc_id") != (1 << 63) - 1, F.col("doc_id")))
+    docs = numbered(docs)
+    gone = repeated_strings(docs).groupBy("row").agg(F.collect_list(F.struct("start", "count")).alias("gone"))
+    done = docs.join(gone, "row", "left").select("doc_id", "text", "gone")
+    return done.mapInArrow(lean(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
