@@ -1,44 +1,55 @@
 """Substring deduplication by paragraph MinHash banding.
 
-Texts are cut into paragraphs (between line breaks) of PASSAGE words or more, and into sentences and
-lines, short ones together with their neighbours, so that a passage set into other text or over
-short lines is found too. Found units that no word lies between are one passage. Equal units meet by digest. Distinct
-paragraphs meet when a band of their MinHash agrees; bands are tuned for a recall at the threshold.
-What meets is verified by exact Jaccard similarity of word shingles, verified links are clustered
-by connected components, and every occurrence but a cluster's first is removed. Five-word shingles
-at 0.8 leave no near copy of a unit below nine words but an equal one, so sentences have bands from
-nine words. Text without stops is met by grams of GRAM words: of WINDOW neighbouring grams the one
-of the least hash is a unit, so passages of GRAM + WINDOW - 1 words or more share one wherever they stand.
+Texts are cut into paragraphs (between line breaks) of PASSAGE words or more and into sentences.
+Equal units meet by digest. Distinct ones meet when a band of their MinHash agrees; bands are tuned
+for a recall at the threshold. What meets is verified by exact Jaccard similarity of word shingles,
+verified links are clustered by connected components, and every occurrence but a cluster's first is
+removed. Five-word shingles at 0.8 leave no near copy of a unit below nine words but an equal one,
+so sentences have bands from nine words.
+
+A passage set into other text needs no border of its own: of every WINDOW neighbouring grams of GRAM
+words the one of the least hash is an anchor, so equal passages of GRAM + WINDOW - 1 words or more
+share one wherever they stand. Anchors that an earlier document holds too are joined into runs, and
+a run is extended word by word in both documents to where they differ, by WINDOW - 1 words a side at
+most. Without anchors, lines and sentences too short for bands are units together with their
+neighbours. Found units that no word lies between are one passage.
+
+Where equal units stand in one chunk of texts, all but the first are settled before the shuffle, so a
+unit that many documents hold is dealt once a chunk.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, edge_batch, lean, materialize, runs
+from .common import Forest, chunks, edge_batch, lean, materialize, runs
 from .components import connected_components
 
 #: Shingle words, similarity, recall of the bands at it, rows of a band.
 WIDTH, SIMILAR, RECALL, ROWS = 5, 0.8, 0.999, 4
 #: Fewest words of a unit, and of a passage that is removed.
 UNIT, PASSAGE = 8, 25
-#: Words of a gram, and grams of a window that holds a chosen one.
-GRAM, WINDOW = 32, 19
+#: Words of an anchor, and neighbouring grams of which one is an anchor: GRAM at most, so that a run's anchors touch.
+GRAM, WINDOW = 26, 25
 #: Paragraphs of one bucket verified in one go; larger buckets are split.
 BUCKET = 1_024
-_WORD = re.compile(r"\S+")
-_STOPS = frozenset(".!?…。！？")
+#: Nodes of a task's forest of links.
+MEMBERS = 500_000
+#: Characters of texts cut in one go, and of a piece whose words are found in one go.
+CHUNK, PIECE = 1 << 21, 1 << 19
+_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
+_STOPS, _CLOSERS = (np.array(sorted(map(ord, x)), np.uint32) for x in (".!?…。！？", "\"')]}”’»"))
+_OUTER = np.isin(np.arange(129), list(map(ord, ".,;:!?\"'()[]")))
 _M = np.uint64(0xD6E8FEB86659FD93)
-_CACHE = 150_000
 _BASE = 0x9E3779B97F4A7C15
 _POWERS, _INVERSES = (np.array([pow(b, k, 1 << 64) for k in range(4096)], np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+_FAR = np.array([pow(_BASE, 4096 * k, 1 << 64) for k in range(4096)], np.uint64)
 
 
 def tune(similar: float = SIMILAR, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -61,61 +72,147 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Units:
-    """Cuts texts; words are compared in lower case without their outer punctuation."""
-
-    def __init__(self) -> None:
-        self.words: dict[str, int] = {}
-
-    def _hash(self, word: str) -> int:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) > _CACHE:
-                self.words.clear()
-            found = self.words[word] = xxhash.xxh64_intdigest((word.lower().strip(".,;:!?\"'()[]") or word).encode())
-        return found
-
-    def cut(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
-        """Word hashes, their starts and ends, and the word ranges of paragraphs, of sentences and of other units.
-
-        Lines and sentences alike end at a cut. From every cut a unit runs to the next that is UNIT
-        words away or more, and to every cut one runs from the last such before it, so short
-        lines and sentences are held by units that overlap, wherever a passage begins. Sentences
-        have more than UNIT words; a paragraph of one sentence is given as a paragraph only.
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """0, 1, ... n - 1 for each n in turn, and the same from each start."""
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return place, place + np.repeat(start, n)
+
+
+def _words(text: str, begins: bool) -> tuple[np.ndarray, ...]:
+    """(hash, start, end, first of a line, last of a sentence) of each word of a text or, unless it begins there, a part of one."""
+    point, lower = _points(text), text.lower()
+    if len(lower) != len(text):  # a few letters have no single lower case
+        lower = "".join(x if len(x) == 1 else c for c, x in zip(text, map(str.lower, text)))
+    step = np.diff(np.concatenate([[False], ~_SPACE[np.minimum(point, len(_SPACE) - 1)], [False]]).view(np.int8))
+    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    if not len(start):
+        return np.zeros(0, np.uint64), start, end, np.zeros(0, bool), np.zeros(0, bool)
+    line = np.searchsorted(np.flatnonzero(point == 10), start)
+    line = np.append(begins or line[0] > 0, line[1:] != line[:-1])
+    outer = lambda at: _OUTER[np.minimum(point[at], len(_OUTER) - 1)]
+    a, b = start.copy(), end.copy()
+    live = np.flatnonzero(outer(a))
+    while len(live):
+        a[live] += 1
+        live = live[a[live] < b[live]]
+        live = live[outer(a[live])]
+    live = np.flatnonzero((a < b) & outer(b - 1))
+    while len(live):
+        b[live] -= 1
+        live = live[outer(b[live] - 1)]
+    marks = a >= b  # a word of marks alone is what it is
+    a[marks], b[marks] = start[marks], end[marks]
+    last = end - 1
+    live = np.flatnonzero(np.isin(point[last], _CLOSERS))
+    while len(live):
+        live = live[last[live] > start[live]]
+        last[live] -= 1
+        live = live[np.isin(point[last[live]], _CLOSERS)]
+    place, at = _ranges(a, b - a)
+    part = (_points(lower)[at].astype(np.uint64) + np.uint64(1)) * _POWERS[place & 4095]
+    if place.max() > 4095:
+        part *= _FAR[place >> 12 & 4095]
+    n = b - a
+    h = _mix(np.add.reduceat(part, np.cumsum(n) - n) + n.astype(np.uint64) * np.uint64(_BASE))
+    return h, start, end, line, np.isin(point[last], _STOPS)
+
+
+class Words:
+    """The words of texts, laid end to end; at[k] is where text k's begin.
+
+    Words are compared in lower case without their outer punctuation. start and end are places in
+    the word's text.
+    """
+
+    def __init__(self, texts: list[str]) -> None:
+        found, self.at = [], np.zeros(len(texts) + 1, np.int64)
+        for i, j in chunks(list(map(len, texts)), PIECE):
+            if j - i == 1:  # a long text goes on in parts that end at white space
+                text, at = texts[i], 0
+                while at < len(text) or not at:
+                    to = at + PIECE
+                    while to < len(text) and not text[to].isspace():
+                        to += 1
+                    h, a, b, line, stop = _words(text[at:to], at == 0)
+                    found.append((h, a + at, b + at, line, stop))
+                    self.at[i + 1] += len(h)
+                    at = to
+                continue
+            h, a, b, line, stop = _words("\n".join(texts[i:j]), True)
+            first = np.cumsum([0, *(len(x) + 1 for x in texts[i:j])])
+            of = np.searchsorted(first, a, side="right") - 1
+            found.append((h, a - first[of], b - first[of], line, stop))
+            self.at[i + 1 : j + 1] = np.bincount(of, minlength=j - i)
+        self.at = np.cumsum(self.at)
+        none = _words("", True)
+        self.hash, self.start, self.end, self.line, self.stop = (np.concatenate(x) for x in zip(none, *found))
+        self.of = np.repeat(np.arange(len(texts)), np.diff(self.at))
+
+    def units(self, anywhere: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word ranges [unit, 2] of paragraphs, of sentences, and of units without bands.
+
+        Lines and sentences alike end at a cut. Sentences have more than UNIT words; a paragraph of
+        one sentence is given as a paragraph only. Without bands are anchors, if anywhere; else
+        from every cut a unit runs to the next that is UNIT words away or more, and to every cut one
+        runs from the last such before it, so short lines and sentences are held by units that
+        overlap, wherever a passage begins.
         """
-        found = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
-        if not found:
-            none = np.zeros(0, np.int64)
-            return none.view(np.uint64), none, none, [], [], []
-        starts, ends, words = zip(*found)
-        starts, ends = np.array(starts), np.array(ends)
-        h = np.fromiter(map(self._hash, words), np.uint64, len(words))
-        breaks = [m for m, c in enumerate(text) if c == "\n"] if "\n" in text else []
-        bounds = sorted({0, *np.searchsorted(starts, breaks).tolist(), len(words)})
-        stops = [k + 1 for k, w in enumerate(words) if w[-1] in _STOPS]
-        cuts = np.unique(np.array(bounds + stops))
-        paragraphs = [(a, b) for a, b in zip(bounds, bounds[1:]) if b - a >= PASSAGE]
+        n = len(self.hash)
+        none = np.zeros((0, 2), np.int64)
+        if not n:
+            return none, none, none
+        line = np.append(self.line, True)
+        cut = line.copy()
+        cut[1:n] |= self.stop[: n - 1]
+        paragraphs, pieces = (np.stack([x[:-1], x[1:]], 1) for x in (np.flatnonzero(line), np.flatnonzero(cut)))
+        paragraphs = paragraphs[paragraphs[:, 1] - paragraphs[:, 0] >= PASSAGE]
+        size = pieces[:, 1] - pieces[:, 0]
+        whole = line[pieces[:, 0]] & line[pieces[:, 1]] & (size >= PASSAGE)
+        sentences = pieces[(size > UNIT) & ~whole]
+        if anywhere:
+            first = anchors(self.hash, self.of)
+            return paragraphs, sentences, np.stack([first, first + GRAM], 1)
+        cuts = np.flatnonzero(cut)
         after, before = np.searchsorted(cuts, cuts + UNIT), np.searchsorted(cuts, cuts - UNIT, side="right") - 1
         some = after < len(cuts)
-        others = set(zip(cuts[some].tolist(), cuts[after[some]].tolist()))
-        others.update(zip(cuts[before[before >= 0]].tolist(), cuts[before >= 0].tolist()))
-        whole = set(paragraphs)
-        sentences = [(a, b) for a, b in zip(cuts.tolist(), cuts[1:].tolist()) if b - a > UNIT and (a, b) not in whole]
-        return h, starts, ends, paragraphs, sentences, sorted(others.difference(sentences, whole))
+        joined = np.concatenate([np.stack([cuts[some], cuts[after[some]]], 1), np.stack([cuts[before[before >= 0]], cuts[before >= 0]], 1)])
+        joined = joined[self.of[joined[:, 0]] == self.of[joined[:, 1] - 1]]
+        taken = {tuple(x) for x in (*sentences.tolist(), *paragraphs.tolist())}
+        rest = sorted({tuple(x) for x in joined.tolist()} - taken)
+        return paragraphs, sentences, np.array(rest, np.int64).reshape(-1, 2)
+
 
+class Units:
+    """Cuts one text at a time."""
+
+    def cut(self, text: str) -> tuple[np.ndarray, ...]:
+        """Word hashes, their starts and ends, and the word ranges of paragraphs, of sentences and of joined units."""
+        w = Words([text])
+        return w.hash, w.start, w.end, *w.units(False)
 
-def grams(h: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges of GRAM words, chosen by their words alone: one at least of any WINDOW neighbours."""
+
+def anchors(h: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """First words of the chosen grams of GRAM words: one at least of any WINDOW neighbours in one text."""
     n = len(h) - GRAM + 1
     if n < WINDOW:
-        return []
+        return np.zeros(0, np.int64)
     x = np.empty(n, np.uint64)
     for i in range(0, n, len(_POWERS) - GRAM):
         m = min(n - i, len(_POWERS) - GRAM)
         sums = np.append(np.uint64(0), np.cumsum(h[i : i + m + GRAM - 1] * _POWERS[: m + GRAM - 1]))
         x[i : i + m] = _mix((sums[GRAM:] - sums[:-GRAM]) * _INVERSES[:m])
-    least = np.unique(np.lib.stride_tricks.sliding_window_view(x, WINDOW).argmin(axis=1) + np.arange(n - WINDOW + 1))
-    return [(a, a + GRAM) for a in least.tolist()]
+    low, size = (x & ~np.uint64(0xFFFFFF)) | (np.arange(n, dtype=np.uint64) & np.uint64(0xFFFFFF)), 1
+    while size * 2 <= WINDOW:
+        low = np.minimum(low[:-size], low[size:])
+        size *= 2
+    m = n - WINDOW + 1
+    low = np.minimum(low[:m], low[WINDOW - size : WINDOW - size + m])
+    p = np.flatnonzero(of[:m] == of[GRAM + WINDOW - 2 :][:m])
+    return np.unique(p + ((low[p] & np.uint64(0xFFFFFF)).astype(np.int64) - p & 0xFFFFFF))
 
 
 def _digests(h: np.ndarray, ranges) -> np.ndarray:
@@ -139,12 +236,12 @@ def shingles(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(h: np.ndarray, ranges: list[tuple[int, int]]) -> np.ndarray:
-    """[range, band] keys of the ranges' MinHash bands."""
-    out = np.zeros((len(ranges), BANDS), np.int64)
-    if not ranges:
+def signatures(h: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """[range, band] keys of the MinHash bands of word ranges [range, 2]."""
+    out = np.zeros((len(r), BANDS), np.int64)
+    if not len(r):
         return out
-    s, r = shingles(h), np.array(ranges)
+    s = shingles(h)
     a = np.minimum(r[:, 0], len(s) - 1)
     b = np.minimum(a + np.maximum(1, r[:, 1] - r[:, 0] - WIDTH + 1), len(s))
     order = np.argsort(a, kind="stable")
@@ -174,42 +271,66 @@ def _chunks(ends: np.ndarray, size: int = 1 << 16) -> Iterator[tuple[int, int]]:
         i = j
 
 
+#: Kinds of rows: not settled yet; a first that another document of its chunk repeats; a first with
+#: bands; another occurrence of it; a unit without bands that an earlier document holds; the first
+#: of such; another sentence in the first's own document.
+_OPEN, _SHARED, _FIRST, _OTHER, _AGAIN, _HEAD, _OWN = -2, -1, 0, 1, 2, 3, 4
+_UNIT = "digest long, doc long, row long, start int, end int, n int, seq int, kind int, more array<long>"
+_NAMES = [x.split()[0] for x in _UNIT.split(", ")]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 5]
+
+
+def _batch(cols, more: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(cols, _TYPES)], more], _NAMES)
+
+
+def _lists(sizes: np.ndarray, flat: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat, pa.int64()))
+
+
 def _units(batches: Iterator[pa.RecordBatch], anywhere: bool = False) -> Iterator[pa.RecordBatch]:
-    """(row, doc, text) to (digest, doc, row, start, end, n, seq, bands).
+    """(row, doc, text) to units.
 
-    seq tells a unit's kind and the place of its first word: -1 - 2 * place for paragraphs, -2 - 2 * place
-    for sentences, place for all others, which have no bands.
+    seq tells a unit's sort and the place of its first word: -1 - 2 * place for paragraphs, -2 - 2 *
+    place for sentences, place for all others, which have no bands. more holds the bands, or, of a
+    settled unit without bands, where its chunk's first stands (doc, row, place).
     """
-    make = Units()
-    names = ["digest", "doc", "row", "start", "end", "n", "seq", "bands"]
     for b in batches:
-        words, starts, ends, para, sent, of_banded, of_other, seq, at = [], [], [], [], [], [], [], ([], []), 0
-        for k, text in enumerate(b.column(2).to_pylist()):
-            h, s, e, paragraphs, sentences, others = make.cut(text)
-            others += grams(h) if anywhere else []
-            if not paragraphs and not sentences and not others:
-                continue
-            para += [(x + at, y + at) for x, y in paragraphs + sentences]
-            sent += [(x + at, y + at) for x, y in others]
-            of_banded += [k] * (len(paragraphs) + len(sentences))
-            of_other += [k] * len(others)
-            seq[0].extend(-1 - 2 * x for x, _ in paragraphs)
-            seq[0].extend(-2 - 2 * x for x, _ in sentences)
-            seq[1].extend(x for x, _ in others)
-            words.append(h)
-            starts.append(s)
-            ends.append(e)
-            at += len(h)
-        if not words:
-            continue
-        h, starts, ends, both = np.concatenate(words), np.concatenate(starts), np.concatenate(ends), np.array(para + sent)
-        of = pa.array(of_banded + of_other)
-        keys = signatures(h, para)
-        bands = pa.ListArray.from_arrays(pa.array(np.append(np.arange(len(para) + 1) * BANDS, np.full(len(sent), len(para) * BANDS)), pa.int32()), pa.array(keys.ravel()), mask=pa.array(np.arange(len(both)) >= len(para)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(_digests(h, both)), b.column(1).take(of), b.column(0).take(of), pa.array(starts[both[:, 0]].astype("i4")), pa.array(ends[both[:, 1] - 1].astype("i4")), pa.array((both[:, 1] - both[:, 0]).astype("i4")), pa.array(seq[0] + seq[1], pa.int32()), bands],
-            names,
-        )
+        row, doc = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        order = np.lexsort((row, doc))
+        order = order[np.append(True, (np.diff(row[order]) != 0) | (np.diff(doc[order]) != 0))] if len(order) else order
+        row, doc, texts = row[order], doc[order], b.column(2).take(pa.array(order)).to_pylist()
+        for i, j in chunks(list(map(len, texts)), CHUNK):
+            w = Words(texts[i:j])
+            paragraphs, sentences, others = w.units(anywhere)
+            r = np.concatenate([paragraphs, sentences, others])
+            if len(r):
+                place = r[:, 0] - w.at[w.of[r[:, 0]]]
+                less = np.repeat([-1, -2], [len(paragraphs), len(sentences)])
+                seq = np.append(less - 2 * place[: len(less)], place[len(less) :])
+                yield _settle(w, r, seq, doc[i:j], row[i:j])
+
+
+def _settle(w: Words, r: np.ndarray, seq: np.ndarray, doc: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+    """A chunk's units, of which those whose equal stands in an earlier text of the chunk are settled."""
+    digest, of = _digests(w.hash, r), w.of[r[:, 0]]
+    order = np.lexsort((r[:, 0], of, seq < 0, digest))
+    r, seq, digest, of = r[order], seq[order], digest[order], of[order]
+    banded = seq < 0
+    new = np.append(True, (digest[1:] != digest[:-1]) | (banded[1:] != banded[:-1]))
+    heads = np.flatnonzero(new)
+    first = heads[np.cumsum(new) - 1]
+    other = of != of[first]
+    kind = np.where(other, np.where(banded, _OTHER, _AGAIN), _OPEN)
+    kind[heads[np.logical_or.reduceat(other, heads)]] = _SHARED
+    full, back = banded & ~other, other & ~banded
+    sizes = np.where(full, BANDS, np.where(back, 3, 0))
+    at = np.cumsum(sizes) - sizes
+    more = np.zeros(sizes.sum(), np.int64)
+    more[at[full][:, None] + np.arange(BANDS)] = signatures(w.hash, r[full])
+    f = first[back]
+    more[at[back][:, None] + np.arange(3)] = np.stack([doc[of[f]], row[of[f]], seq[f]], 1)
+    return _batch([digest, doc[of], row[of], w.start[r[:, 0]], w.end[r[:, 1] - 1], r[:, 1] - r[:, 0], seq, kind], _lists(sizes, more))
 
 
 def _within(seq):
@@ -218,40 +339,39 @@ def _within(seq):
 
 
 def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units sorted by digest, kind, doc, row, start: firsts of those with bands (with them), and what repeats.
-
-    kind 0: a paragraph's or sentence's first; kind 1: another occurrence of it; kind 4: another sentence
-    in the first's document; kind 2: a unit without bands that occurs in an earlier document; kind 3: the
-    first occurrence of such a unit.
-    """
-    names = ["kind", "digest", "doc", "row", "start", "end", "n", "seq", "bands"]
-    first, told = None, False
+    """Units sorted by digest, sort, doc, row, start, with the settled among them, to units of the other kinds."""
+    last, told = None, False  # the current first, and whether it was told
     for b in batches:
-        if not b.num_rows:
+        c = [b.column(k).to_numpy(zero_copy_only=False) for k in range(8)]
+        settled = np.flatnonzero(c[7] > 0)
+        if len(settled):
+            yield _batch([x[settled] for x in c[:8]], b.column(8).take(pa.array(settled)))
+        live = np.flatnonzero(c[7] < 0)
+        if not len(live):
             continue
-        carried = first is not None
-        c = [b.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+        carried = int(last is not None)
+        c = [x[live] for x in c]
         if carried:
-            c = [np.append(x, y).astype(y.dtype) for x, y in zip(first, c)]
-        digest, doc, row, start, seq = c[0], c[1], c[2], c[3], c[6]
-        para = seq < 0
-        new = np.append(True, (digest[1:] != digest[:-1]) | (para[1:] != para[:-1]))
+            c = [np.append(x, y).astype(y.dtype) for x, y in zip(last, c)]
+        digest, doc, row, start, seq = (c[k] for k in (0, 1, 2, 3, 6))
+        banded = seq < 0
+        new = np.append(True, (digest[1:] != digest[:-1]) | (banded[1:] != banded[:-1]))
         heads = np.flatnonzero(new)
         of = heads[np.cumsum(new) - 1]
         other = (doc != doc[of]) | (row != row[of])
-        kind = np.where(para, np.where(other, 1, np.where(start == start[of], 0, np.where(_within(seq), 1, 4))), np.where(other, 2, -1))
-        shared = np.logical_or.reduceat(other, heads) & ~para[heads]
+        kind = np.where(banded, np.where(other, _OTHER, np.where(start == start[of], _FIRST, np.where(_within(seq), _OTHER, _OWN))), np.where(other, _AGAIN, _OPEN))
+        shared = (np.logical_or.reduceat(other, heads) | np.logical_or.reduceat(c[7] == _SHARED, heads)) & ~banded[heads]
         if carried:
-            kind[0] = -1
+            kind[0] = _OPEN
             shared[0] &= not told
-        kind[heads[shared]] = 3
+        kind[heads[shared]] = _HEAD
         told = bool(shared[-1] or (carried and len(heads) == 1 and told))
-        first = [x[heads[-1] : heads[-1] + 1] for x in c]
-        keep = np.flatnonzero(kind >= 0)
-        at = keep - carried  # the carried row, if it is told, has no bands
-        bands = b.column(7).take(pa.array(np.where((kind[keep] == 0) & (at >= 0), at, -1), mask=(kind[keep] != 0)))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(kind[keep].astype("i4")), *[pa.array(x[keep], t) for x, t in zip(c, kinds)], bands], names)
+        last = [x[heads[-1] : heads[-1] + 1] for x in c]
+        full, back, rest = np.flatnonzero(kind == _FIRST), np.flatnonzero(kind == _AGAIN), np.flatnonzero((kind == _OTHER) | (kind >= _HEAD))
+        c[7] = kind
+        yield _batch([x[full] for x in c], b.column(8).take(pa.array(live[full - carried])))
+        yield _batch([x[back] for x in c], _lists(np.full(len(back), 3), np.stack([doc[of[back]], row[of[back]], seq[of[back]]], 1).ravel()))
+        yield _batch([x[rest] for x in c], _lists(np.zeros(len(rest), np.int64), np.zeros(0, np.int64)))
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,15 +419,15 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, [(digest, start, end)]) to (digest, sorted distinct shingles)."""
-    make = Units()
     for b in batches:
-        ids, sets = [], []
+        ids, parts = [], []
         for text, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for x in asked:
-                h = make.cut(text[x["start"] : x["end"]])[0]
-                ids.append(x["digest"])
-                sets.append(np.unique(shingles(h)).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["digest", "set"])
+            ids += [x["digest"] for x in asked]
+            parts += [text[x["start"] : x["end"]] for x in asked]
+        for i, j in chunks(list(map(len, parts)), CHUNK):
+            w = Words(parts[i:j])
+            sets = [np.unique(shingles(w.hash[x:y])).view(np.int64) for x, y in zip(w.at, w.at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["digest", "set"])
 
 
 def jaccard_tree(sets: list[np.ndarray], similar: float = SIMILAR) -> list[tuple[int, int]]:
@@ -355,54 +475,138 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 done()
                 held, last = [], key[:3]
             held.append((key[3], flat[at[k] : at[k + 1]]))
+        if len(forest.up) > MEMBERS:  # bounds it; what is cut here the star steps join
+            yield edge_batch(*forest.edges())
+            forest = Forest()
     done()
     yield edge_batch(*forest.edges())
 
 
+_RUN = "doc long, row long, a int, b int, fdoc long, frow long, fa int, cluster long"
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, row, [(place, fdoc, frow, fplace, digest)]) to the runs of anchors that touch in both documents."""
+    for b in batches:
+        doc, row = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        lists = b.column(2)
+        of = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+        place, fdoc, frow, fplace, digest = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(5))
+        order = np.lexsort((place, fplace.astype(np.int64) - place, frow, fdoc, of))
+        of, place, fdoc, frow, fplace, digest = (x[order] for x in (of, place, fdoc, frow, fplace, digest))
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (fdoc[1:] != fdoc[:-1]) | (frow[1:] != frow[:-1]) | (fplace[1:] - place[1:] != fplace[:-1] - place[:-1]) | (place[1:] > place[:-1] + GRAM)
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(of)) - 1 if len(head) else head
+        cols = [doc[of[head]], row[of[head]], place[head], place[tail] + GRAM, fdoc[head], frow[head], fplace[head], digest[head]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], [x.split()[0] for x in _RUN.split(", ")])
+
+
+_AROUND = "doc long, row long, a int, b int, start int, end int, before array<long>, starts array<int>, after array<long>, ends array<int>"
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, row, text, [(a, b)]) to where the words a to b stand, and the words before and after them, the nearest first."""
+    names, far = [x.split()[0] for x in _AROUND.split(", ")], WINDOW - 1
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    for batch in batches:
+        texts = batch.column(2).to_pylist()
+        for i, j in chunks(list(map(len, texts)), CHUNK):
+            w, out = Words(texts[i:j]), []
+            h = w.hash.view(np.int64)
+            for k, (doc, row, asked) in enumerate(zip(*[batch.column(c).slice(i, j - i).to_pylist() for c in (0, 1, 3)])):
+                low, high = int(w.at[k]), int(w.at[k + 1])
+                for x in asked:
+                    a, b = low + x["a"], low + x["b"]
+                    left, right = slice(max(low, a - far), a), slice(b, min(high, b + far))
+                    out.append((doc, row, x["a"], x["b"], w.start[a], w.end[b - 1], h[left][::-1], w.start[left][::-1], h[right], w.end[right]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+
+def _same(a: str, b: str) -> Column:
+    """How many words two arrays begin with alike."""
+    equal = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return (F.array_position(F.concat(equal, F.array(F.lit(False))), F.lit(False)) - 1).cast("int")
+
+
+def _extended(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """(row, doc, start, end, n, seq, cluster, first) of the runs of anchors (kind _AGAIN) and of where they were before.
+
+    A run is compared with the document that its anchors' first stands in; where a third document
+    holds more of the passage than that one, its ends may stay short.
+    """
+    listed = again.groupBy("doc", "row").agg(F.collect_list(F.struct(F.col("seq").alias("place"), F.col("more")[0].alias("fdoc"), F.col("more")[1].alias("frow"), F.col("more")[2].cast("int").alias("fplace"), "digest")).alias("found"))
+    found = materialize(listed.select("doc", "row", "found").mapInArrow(lean(_runs), _RUN))
+    size = F.col("b") - F.col("a")
+    asked = found.select("doc", "row", "a", "b").unionByName(found.select(F.col("fdoc").alias("doc"), F.col("frow").alias("row"), F.col("fa").alias("a"), (F.col("fa") + size).alias("b"))).distinct()
+    asked = asked.groupBy("doc", "row").agg(F.collect_list(F.struct("a", "b")).alias("asked"))
+    around = materialize(docs.join(asked, ["doc", "row"]).select("doc", "row", "text", "asked").mapInArrow(lean(_around), _AROUND).dropDuplicates(["doc", "row", "a", "b"]))
+    its = around.select(F.col("doc").alias("fdoc"), F.col("row").alias("frow"), F.col("a").alias("fa"), (F.col("b") - F.col("a")).alias("size"), *[F.col(c).alias("f" + c) for c in ("start", "end", "before", "starts", "after", "ends")])
+    both = found.join(around, ["doc", "row", "a", "b"]).withColumn("size", size).join(its, ["fdoc", "frow", "fa", "size"])
+    both = both.withColumns({"more": _same("before", "fbefore"), "on": _same("after", "fafter")})
+    n = F.col("size") + F.col("more") + F.col("on")
+    start = lambda f: F.when(F.col("more") > 0, F.element_at(f + "starts", F.greatest(F.col("more"), F.lit(1)))).otherwise(F.col(f + "start"))
+    end = lambda f: F.when(F.col("on") > 0, F.element_at(f + "ends", F.greatest(F.col("on"), F.lit(1)))).otherwise(F.col(f + "end"))
+    cols = lambda f, first: [F.col(f + "row").alias("row"), F.col(f + "doc").alias("doc"), start(f).alias("start"), end(f).alias("end"), n.alias("n"), (F.col(f + "a") - F.col("more")).alias("seq"), "cluster", F.lit(first).alias("first")]
+    return both.select(*cols("", False)).unionByName(both.select(*cols("f", True)).distinct())
+
+
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A document's found units to its passages: runs of units that no word lies between."""
+    """A document's found units to its passages: runs of units that no word lies between.
+
+    A first occurrence most of which is removed itself, for an earlier one, is none.
+    """
     for b in batches:
         out = []
         for row, doc, found in zip(*[b.column(k).to_pylist() for k in range(3)]):
+            gone: list[list] = []
             for kept in (False, True):
                 units = sorted((x["seq"] if x["seq"] >= 0 else (-1 - x["seq"]) // 2, (x["seq"] < 0, x["n"]), x["start"], x["end"], x["cluster"]) for x in found if x["first"] == kept)
-                run: list | None = None
-                for place, size, start, end, cluster in [*units, (1 << 40, (False, 0), 0, 0, 0)]:
-                    if run and place <= run[1]:
-                        if size > run[4]:
-                            run[4:] = size, cluster
-                        run[1], run[3] = max(run[1], place + size[1]), max(run[3], end)
+                runs_: list[list] = []
+                for place, size, start, end, cluster in units:
+                    to = place + size[1]
+                    if kept and size[1] - sum(max(0, min(to, y) - max(place, x)) for x, y, *_ in gone) < min(PASSAGE, size[1]):
                         continue
-                    if run and run[1] - run[0] >= PASSAGE:
-                        out.append((row, doc, run[2], run[3], run[1] - run[0], run[5], kept))
-                    run = [place, place + size[1], start, end, size, cluster]
-        cols = list(zip(*out)) if out else [()] * 7
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["row", "doc", "start", "end", "n_words", "cluster", "kept"])
+                    if runs_ and place <= runs_[-1][1]:
+                        run = runs_[-1]
+                        run[1], run[3] = max(run[1], to), max(run[3], end)
+                        if size > run[4]:
+                            run[4:6] = size, cluster
+                        run[6].add(cluster)
+                    else:
+                        runs_.append([place, to, start, end, size, cluster, {cluster}])
+                runs_ = [x for x in runs_ if x[1] - x[0] >= PASSAGE]
+                out += [(row, doc, x[2], x[3], x[1] - x[0], x[5], kept, sorted(x[6])) for x in runs_]
+                gone = runs_
+        cols = list(zip(*out)) if out else [()] * 8
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["row", "doc", "start", "end", "n_words", "cluster", "kept", "clusters"])
 
 
 _NONE = (1 << 63) - 1
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("_doc", doc).withColumn("_row", F.xxhash64(text))
+def _identity(docs: DataFrame) -> tuple[Column, Column]:
+    """doc and row: a document is known by doc_id and a hash of its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def passages(docs: DataFrame, anywhere: bool = True) -> DataFrame:
-    """(row, doc, start, end, n_words, cluster, kept): the repeated passages of docs (doc_id, text).
+    """(row, doc, start, end, n_words, cluster, kept, clusters): the repeated passages of docs (doc_id, text).
 
-    A document is known by doc_id and its text's hash (row). start and end are places in the text.
-    anywhere: whether passages that begin and end inside units (by grams) are found too.
+    start and end are places in the text. anywhere: whether passages that begin and end inside
+    units are found too, by anchors. clusters are all that touch the passage, cluster the one of its
+    largest unit.
     """
-    docs = _numbered(docs).select(F.col("_row").alias("row"), F.col("_doc").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    schema = "digest long, doc long, row long, start int, end int, n int, seq int, bands array<long>"
-    units = docs.mapInArrow(lean(lambda batches: _units(batches, anywhere)), schema)
+    doc, row = _identity(docs)
+    docs = docs.select(row.alias("row"), doc.alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    units = docs.mapInArrow(lean(lambda batches: _units(batches, anywhere)), _UNIT)
     order = ["digest", F.col("seq") >= 0, "doc", "row", "start"]
-    met = materialize(units.repartition("digest").sortWithinPartitions(*order).mapInArrow(_equal, "kind int, " + schema))
+    dealt = F.when(F.col("kind") < 0, F.col("digest")).otherwise(F.xxhash64("row", "start"))
+    met = materialize(units.repartition(dealt).sortWithinPartitions(*order).mapInArrow(_equal, _UNIT))
 
-    firsts = met.where("kind = 0")
+    firsts = met.where(f"kind = {_FIRST}").withColumnRenamed("more", "bands")
     keys = firsts.select(F.explode("bands").alias("key"), "digest").repartition("key").sortWithinPartitions("key", "digest")
     buckets = materialize(keys.mapInArrow(_buckets, "bucket long, digest long").distinct())
     asked = firsts.join(buckets.select("digest").distinct(), "digest", "left_semi").groupBy("doc", "row").agg(F.collect_list(F.struct("digest", "start", "end")).alias("asked"))
@@ -419,11 +623,11 @@ def passages(docs: DataFrame, anywhere: bool = True) -> DataFrame:
     clustered = members.where("root is not null or is_root").withColumn("cluster", F.coalesce("root", "digest"))
     least = clustered.groupBy("cluster").agg(F.min(F.struct("doc", "row", "start")).alias("least"))
     clustered = clustered.join(least, "cluster").withColumn("first", F.struct("doc", "row", "start") == F.col("least"))
-    again = met.where("kind in (1, 4)").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("cluster", F.coalesce("root", "digest")).join(least, "cluster", "left")
+    again = met.where(f"kind in ({_OTHER}, {_OWN})").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("cluster", F.coalesce("root", "digest")).join(least, "cluster", "left")
     # a sentence stays where its own document holds the first
-    own = (F.col("seq") % 2 == 0) & F.coalesce((F.col("doc") == F.col("least.doc")) & (F.col("row") == F.col("least.row")), F.col("kind") == 4)
+    own = (F.col("seq") % 2 == 0) & F.coalesce((F.col("doc") == F.col("least.doc")) & (F.col("row") == F.col("least.row")), F.col("kind") == _OWN)
     again = again.where(~own)
-    clustered = clustered.withColumn("kind", F.lit(0)).where(F.col("first") | ~own)
+    clustered = clustered.withColumn("kind", F.lit(_FIRST)).where(F.col("first") | ~own)
     repeated = again.select("digest").distinct()
     alone = firsts.join(repeated, "digest", "left_semi").join(clustered.select("digest"), "digest", "left_anti")
     cols = ["row", "doc", "start", "end", "n", "seq", "cluster", "first"]
@@ -431,33 +635,42 @@ def passages(docs: DataFrame, anywhere: bool = True) -> DataFrame:
         clustered.select(*cols)
         .unionByName(alone.withColumn("cluster", F.col("digest")).withColumn("first", F.lit(True)).select(*cols))
         .unionByName(again.withColumn("first", F.lit(False)).select(*cols))
-        .unionByName(met.where("kind in (2, 3)").withColumn("cluster", F.col("digest")).withColumn("first", F.col("kind") == 3).select(*cols))
     )
+    plain = met.where(f"kind in ({_AGAIN}, {_HEAD})")
+    if anywhere:
+        found = found.unionByName(_extended(docs, plain.where(f"kind = {_AGAIN}")).select(*cols))
+    else:
+        found = found.unionByName(plain.withColumn("cluster", F.col("digest")).withColumn("first", F.col("kind") == _HEAD).select(*cols))
     grouped = found.groupBy("row", "doc").agg(F.collect_list(F.struct("start", "end", "n", "seq", "cluster", "first")).alias("found"))
-    return grouped.select("row", "doc", "found").mapInArrow(lean(_spans), "row long, doc long, start int, end int, n_words int, cluster long, kept boolean")
+    return grouped.select("row", "doc", "found").mapInArrow(lean(_spans), "row long, doc long, start int, end int, n_words int, cluster long, kept boolean, clusters array<long>")
 
 
 def repeated_passages(docs: DataFrame, anywhere: bool = False) -> DataFrame:
-    """(doc_id, start, end, n_words, cluster_id, kept) for each passage that other documents repeat.
+    """(doc_id, start, end, n_words, cluster_id, kept, clusters) for each passage that other documents repeat.
 
-    Passages have PASSAGE words or more. kept marks a cluster's first occurrence, by the smallest
+    Passages have PASSAGE words or more; words are what white space parts, so text without spaces
+    has one word a line and no passage. kept marks a cluster's first occurrence, by the smallest
     doc_id; all other rows are removed by remove_passages(). Null and empty texts have no
-    passages; a null doc_id comes after all others; rows equal in doc_id and text are one
-    document. Other columns are ignored; no rows give no rows. Without anywhere, only whole lines,
-    sentences and their runs are passages.
+    passages; texts of any length are read whole; a null doc_id comes after all others; rows equal
+    in doc_id and text are one document. Other columns are ignored; no rows give no rows. Without
+    anywhere, only whole lines, sentences and their runs are passages.
     """
     found = passages(docs, anywhere)
-    return found.select(F.when(F.col("doc") != _NONE, F.col("doc")).alias("doc_id"), "start", "end", "n_words", F.col("cluster").alias("cluster_id"), "kept")
+    return found.select(F.when(F.col("doc") != _NONE, F.col("doc")).alias("doc_id"), "start", "end", "n_words", F.col("cluster").alias("cluster_id"), "kept", "clusters")
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:
     """docs with the repeated passages cut from text, and n_chars (if there is one) made right.
 
-    Rows whose text had words and has none left are dropped; all others stay, with their columns.
+    Rows whose text had words and has none left are dropped; all others stay, with their columns,
+    whatever their names. Null and empty texts stay as they are, a null doc_id comes after all
+    others, rows equal in doc_id and text lose the same passages; no rows give no rows.
     """
-    gone = passages(docs).where("not kept").groupBy("row", "doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_gone"))
-    both = _numbered(docs).join(gone.withColumnsRenamed({"row": "_row", "doc": "_doc"}), ["_row", "_doc"], "left").drop("_row", "_doc")
-    at = both.schema.names.index("text")
+    gone = passages(docs).where("not kept").groupBy("row", "doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone"))
+    doc, row = _identity(docs)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("of"), row.alias("row"), doc.alias("doc"))
+    both = whole.join(gone, ["row", "doc"], "left").select("of.*", F.col("gone").alias("gone"))
+    names, at = docs.columns, docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -475,10 +688,10 @@ def remove_passages(docs: DataFrame) -> DataFrame:
                 else:
                     ok.append(True)
                 texts.append(text)
-            kept = b.drop_columns(["_gone"]).set_column(at, "text", pa.array(texts, pa.string()))
-            yield kept.filter(pa.array(ok, pa.bool_()))
+            cols = [b.column(k) if k != at else pa.array(texts, pa.string()) for k in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(ok, pa.bool_()))
 
     out = both.mapInArrow(lean(cut), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
