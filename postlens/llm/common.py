@@ -31,18 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, which cuts the lineage.
 
     The copy is on shared storage, so a lost executor costs the running tasks only, and the
-    planner knows its size.
+    planner knows its size. by: a column whose values get folders of their own, for those who read a few.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/postlens-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN)
     spark.conf.set(_CLEAN, "true")  # the copy is what is read from now on
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     finally:
         spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)

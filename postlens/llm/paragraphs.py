@@ -32,7 +32,7 @@ from .common import Forest, chunks, edge_batch, lean, materialize, runs
 from .components import connected_components
 
 #: Shingle words, similarity, recall of the bands at it, rows of a band.
-WIDTH, SIMILAR, RECALL, ROWS = 5, 0.8, 0.999, 4
+WIDTH, SIMILAR, RECALL, ROWS = 5, 0.8, 0.999, 2
 #: Fewest words of a unit, and of a passage that is removed.
 UNIT, PASSAGE = 8, 25
 #: Words of an anchor, and neighbouring grams of which one is an anchor: GRAM at most, so that a run's anchors touch.
@@ -42,17 +42,19 @@ BUCKET = 1_024
 #: Nodes of a task's forest of links.
 MEMBERS = 500_000
 #: Characters of texts cut in one go, and of a piece whose words are found in one go.
-CHUNK, PIECE = 1 << 21, 1 << 19
+CHUNK, PIECE = 1 << 19, 1 << 16
 _SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
 _STOPS, _CLOSERS = (np.array(sorted(map(ord, x)), np.uint32) for x in (".!?…。！？", "\"')]}”’»"))
 _OUTER = np.isin(np.arange(129), list(map(ord, ".,;:!?\"'()[]")))
 _M = np.uint64(0xD6E8FEB86659FD93)
+#: Keeps equal words apart where one unit of them has bands and the other has none.
+_BARE = np.int64(0x5851F42D4C957F2D)
 _BASE = 0x9E3779B97F4A7C15
 _POWERS, _INVERSES = (np.array([pow(b, k, 1 << 64) for k in range(4096)], np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
 _FAR = np.array([pow(_BASE, 4096 * k, 1 << 64) for k in range(4096)], np.uint64)
 
 
-def tune(similar: float = SIMILAR, recall: float = RECALL, rows: int = ROWS) -> int:
+def tune(similar: float = SIMILAR, recall: float = RECALL, rows: int = 4) -> int:
     """The fewest bands of so many rows that find a pair at the threshold with that probability."""
     bands = 1
     while 1 - (1 - similar**rows) ** bands < recall:
@@ -60,7 +62,7 @@ def tune(similar: float = SIMILAR, recall: float = RECALL, rows: int = ROWS) ->
     return bands
 
 
-BANDS = tune()
+BANDS = tune(rows=ROWS)
 _RNG = np.random.default_rng(20_240_501)
 _XOR = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _MUL = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -314,10 +316,11 @@ def _units(batches: Iterator[pa.RecordBatch], anywhere: bool = False) -> Iterato
 def _settle(w: Words, r: np.ndarray, seq: np.ndarray, doc: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
     """A chunk's units, of which those whose equal stands in an earlier text of the chunk are settled."""
     digest, of = _digests(w.hash, r), w.of[r[:, 0]]
-    order = np.lexsort((r[:, 0], of, seq < 0, digest))
+    digest[seq >= 0] ^= _BARE
+    order = np.lexsort((r[:, 0], of, digest))
     r, seq, digest, of = r[order], seq[order], digest[order], of[order]
     banded = seq < 0
-    new = np.append(True, (digest[1:] != digest[:-1]) | (banded[1:] != banded[:-1]))
+    new = np.append(True, digest[1:] != digest[:-1])
     heads = np.flatnonzero(new)
     first = heads[np.cumsum(new) - 1]
     other = of != of[first]
@@ -339,7 +342,7 @@ def _within(seq):
 
 
 def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units sorted by digest, sort, doc, row, start, with the settled among them, to units of the other kinds."""
+    """Units sorted by digest, doc, row, start, with the settled among them, to units of the other kinds."""
     last, told = None, False  # the current first, and whether it was told
     for b in batches:
         c = [b.column(k).to_numpy(zero_copy_only=False) for k in range(8)]
@@ -355,7 +358,7 @@ def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = [np.append(x, y).astype(y.dtype) for x, y in zip(last, c)]
         digest, doc, row, start, seq = (c[k] for k in (0, 1, 2, 3, 6))
         banded = seq < 0
-        new = np.append(True, (digest[1:] != digest[:-1]) | (banded[1:] != banded[:-1]))
+        new = np.append(True, digest[1:] != digest[:-1])
         heads = np.flatnonzero(new)
         of = heads[np.cumsum(new) - 1]
         other = (doc != doc[of]) | (row != row[of])
@@ -375,7 +378,7 @@ def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band key, digest) sorted to (bucket, digest) of keys that two or more distinct paragraphs share.
+    """(band key, digest) sorted by key to (bucket, digest) of keys that two or more distinct paragraphs share.
 
     A bucket is named by its members, so that one that many bands give is verified once; a bucket
     larger than BUCKET keeps its key for a name and streams through.
@@ -386,7 +389,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([bucket] * len(found), pa.int64()), pa.array(found, pa.int64())], ["bucket", "digest"])
 
     def named(found):
-        return xxhash.xxh64_intdigest(np.array(found, np.int64).tobytes()) - (1 << 63)
+        return xxhash.xxh64_intdigest(np.sort(np.array(found, np.int64)).tobytes()) - (1 << 63)
 
     for b in batches:
         k, d = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
@@ -426,8 +429,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts += [text[x["start"] : x["end"]] for x in asked]
         for i, j in chunks(list(map(len, parts)), CHUNK):
             w = Words(parts[i:j])
-            sets = [np.unique(shingles(w.hash[x:y])).view(np.int64) for x, y in zip(w.at, w.at[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["digest", "set"])
+            size = np.diff(w.at)
+            some = np.flatnonzero(size >= WIDTH)  # all that have bands
+            place, at = _ranges(w.at[some], size[some] - WIDTH + 1)
+            of, x = np.repeat(some, size[some] - WIDTH + 1), shingles(w.hash)[at].view(np.int64)
+            order = np.lexsort((x, of))
+            of, x = of[order], x[order]
+            new = np.append(True, (of[1:] != of[:-1]) | (x[1:] != x[:-1])) if len(x) else np.zeros(0, bool)
+            sets = _lists(np.bincount(of[new], minlength=j - i), x[new])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), sets], ["digest", "set"])
 
 
 def jaccard_tree(sets: list[np.ndarray], similar: float = SIMILAR) -> list[tuple[int, int]]:
@@ -457,58 +467,105 @@ def jaccard_tree(sets: list[np.ndarray], similar: float = SIMILAR) -> list[tuple
     return out
 
 
+def _alike_pairs(flat: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Which of the pairs of neighbouring sets (left, left + 1) have a Jaccard similarity of SIMILAR or more."""
+    a, b = at[left + 1] - at[left], at[left + 2] - at[left + 1]
+    _, where = _ranges(at[left], a + b)
+    of, x = np.repeat(np.arange(len(left)), a + b), flat[where]
+    order = np.lexsort((x, of))
+    of, x = of[order], x[order]
+    both = np.bincount(of[1:][(x[1:] == x[:-1]) & (of[1:] == of[:-1])], minlength=len(left))
+    return both >= SIMILAR * (a + b - both) - 1e-9
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, i, j, digest, set) sorted by the first three, to links."""
     forest, held, last = Forest(), [], None
 
-    def done():
-        if len(held) > 1:
-            ids = [x for x, _ in held]
-            for a, b in jaccard_tree([s for _, s in held]):
+    def done(ids, sets):
+        if len(ids) > 1:
+            for a, b in jaccard_tree(sets):
                 forest.join(ids[a], ids[b])
 
     for b in batches:
-        sets = b.column(4)
-        flat, at = sets.flatten().to_numpy(zero_copy_only=False), sets.offsets.to_numpy() - sets.offsets[0].as_py()
-        for k, key in enumerate(zip(*[b.column(x).to_pylist() for x in range(4)])):
-            if key[:3] != last:
-                done()
-                held, last = [], key[:3]
-            held.append((key[3], flat[at[k] : at[k + 1]]))
+        if not b.num_rows:
+            continue
+        key = [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+        ids, sets = b.column(3).to_numpy(zero_copy_only=False), b.column(4)
+        flat, at = sets.flatten().to_numpy(zero_copy_only=False), sets.offsets.to_numpy().astype(np.int64) - sets.offsets[0].as_py()
+        cut = runs(*key)
+        name = lambda k: tuple(int(x[cut[k]]) for x in key)
+        if last is not None and last != name(0):
+            done([x for x, _ in held], [x for _, x in held])
+            held = []
+        size, first = np.diff(cut), 0
+        if held or len(size) == 1:  # the first group goes on from the batch before
+            held += [(int(ids[k]), flat[at[k] : at[k + 1]]) for k in range(cut[0], cut[1])]
+            first = 1
+        if len(size) > first:
+            if held:
+                done([x for x, _ in held], [x for _, x in held])
+            pairs = cut[first:-2][size[first:-1] == 2]
+            for k in pairs[_alike_pairs(flat, at, pairs)] if len(pairs) else ():
+                forest.join(int(ids[k]), int(ids[k + 1]))
+            for g in np.flatnonzero(size[first:-1] > 2) + first:
+                done(ids[cut[g] : cut[g + 1]].tolist(), [flat[at[k] : at[k + 1]] for k in range(cut[g], cut[g + 1])])
+            held = [(int(ids[k]), flat[at[k] : at[k + 1]].copy()) for k in range(cut[-2], cut[-1])]
+        last = name(len(size) - 1)
         if len(forest.up) > MEMBERS:  # bounds it; what is cut here the star steps join
             yield edge_batch(*forest.edges())
             forest = Forest()
-    done()
+    done([x for x, _ in held], [x for _, x in held])
     yield edge_batch(*forest.edges())
 
 
-_RUN = "doc long, row long, a int, b int, fdoc long, frow long, fa int, cluster long"
+_SIDE = "side int, place int, at int, digest long, fdoc long, frow long, fplace int"
+_STRETCH = f"doc long, row long, first boolean, seq int, n int, start int, end int, clusters array<long>, sides array<struct<{_SIDE.replace(' ', ': ')}>>".replace(",: ", ", ")
+
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, row, [(kind, seq, start, end, digest, more)]) to a document's stretches of anchors that touch.
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, row, [(place, fdoc, frow, fplace, digest)]) to the runs of anchors that touch in both documents."""
+    Those that earlier documents hold (kind _AGAIN) carry their two sides: where the stretch begins
+    or ends (the word at place, the character at), and where its outer anchor's first stands.
+    """
+    side = pa.struct([(x.split()[0], pa.int64() if x.endswith("long") else pa.int32()) for x in _SIDE.split(", ")])
     for b in batches:
         doc, row = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         lists = b.column(2)
         of = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
-        place, fdoc, frow, fplace, digest = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(5))
-        order = np.lexsort((place, fplace.astype(np.int64) - place, frow, fdoc, of))
-        of, place, fdoc, frow, fplace, digest = (x[order] for x in (of, place, fdoc, frow, fplace, digest))
+        fields = lists.flatten().flatten()
+        kind, place, start, end, digest = (x.to_numpy(zero_copy_only=False) for x in fields[:5])
+        back = fields[5].offsets.to_numpy() - fields[5].offsets[0].as_py()
+        pointer = fields[5].flatten().to_numpy(zero_copy_only=False)
+        order = np.lexsort((place, kind, of))
+        of, kind, place, start, end, digest, back = of[order], kind[order], place[order], start[order], end[order], digest[order], back[:-1][order]
         new = np.ones(len(of), bool)
-        new[1:] = (of[1:] != of[:-1]) | (fdoc[1:] != fdoc[:-1]) | (frow[1:] != frow[:-1]) | (fplace[1:] - place[1:] != fplace[:-1] - place[:-1]) | (place[1:] > place[:-1] + GRAM)
+        new[1:] = (of[1:] != of[:-1]) | (kind[1:] != kind[:-1]) | (place[1:] > place[:-1] + GRAM)
         head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(of)) - 1 if len(head) else head
-        cols = [doc[of[head]], row[of[head]], place[head], place[tail] + GRAM, fdoc[head], frow[head], fplace[head], digest[head]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], [x.split()[0] for x in _RUN.split(", ")])
+        ends = np.append(head[1:], len(of)) if len(head) else head
+        tail = ends - 1
+        gone = kind[head] == _AGAIN
+        both = np.stack([head[gone], tail[gone]], 1).ravel()
+        right = np.tile([0, 1], gone.sum())
+        where = np.stack([pointer[back[both] + k] for k in range(3)], 1) if len(both) else np.zeros((0, 3), np.int64)
+        parts = [right, place[both] + right * GRAM, np.where(right, end[both], start[both]), digest[both], where[:, 0], where[:, 1], where[:, 2] + right * GRAM]
+        sides = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(parts, side)], fields=list(side))
+        sides = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(gone * 2)), pa.int32()), sides)
+        cols = [pa.array(doc[of[head]]), pa.array(row[of[head]]), pa.array(~gone), pa.array(place[head], pa.int32()), pa.array(place[tail] + GRAM - place[head], pa.int32()), pa.array(start[head], pa.int32()), pa.array(end[tail], pa.int32()), _lists(ends - head, digest), sides]
+        yield pa.RecordBatch.from_arrays(cols, ["doc", "row", "first", "seq", "n", "start", "end", "clusters", "sides"])
 
 
-_AROUND = "doc long, row long, a int, b int, start int, end int, before array<long>, starts array<int>, after array<long>, ends array<int>"
+_AROUND = "doc long, row long, side int, place int, edge int, words array<long>, chars array<int>"
 
 
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, row, text, [(a, b)]) to where the words a to b stand, and the words before and after them, the nearest first."""
+    """(doc, row, text, [(side, place)]) to the words before (side 0) or from (side 1) a place, the nearest first.
+
+    chars are where those words begin or end, edge is where the word at place begins or the one before it ends.
+    """
     names, far = [x.split()[0] for x in _AROUND.split(", ")], WINDOW - 1
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
     for batch in batches:
         texts = batch.column(2).to_pylist()
         for i, j in chunks(list(map(len, texts)), CHUNK):
@@ -517,39 +574,45 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, (doc, row, asked) in enumerate(zip(*[batch.column(c).slice(i, j - i).to_pylist() for c in (0, 1, 3)])):
                 low, high = int(w.at[k]), int(w.at[k + 1])
                 for x in asked:
-                    a, b = low + x["a"], low + x["b"]
-                    left, right = slice(max(low, a - far), a), slice(b, min(high, b + far))
-                    out.append((doc, row, x["a"], x["b"], w.start[a], w.end[b - 1], h[left][::-1], w.start[left][::-1], h[right], w.end[right]))
+                    at = low + x["place"]
+                    if x["side"]:
+                        out.append((doc, row, 1, x["place"], w.end[at - 1], h[at : min(high, at + far)], w.end[at : min(high, at + far)]))
+                    else:
+                        out.append((doc, row, 0, x["place"], w.start[at], h[max(low, at - far) : at][::-1], w.start[max(low, at - far) : at][::-1]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
 
-def _same(a: str, b: str) -> Column:
+def _alike(a: str, b: str) -> Column:
     """How many words two arrays begin with alike."""
     equal = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
     return (F.array_position(F.concat(equal, F.array(F.lit(False))), F.lit(False)) - 1).cast("int")
 
 
-def _extended(docs: DataFrame, again: DataFrame) -> DataFrame:
-    """(row, doc, start, end, n, seq, cluster, first) of the runs of anchors (kind _AGAIN) and of where they were before.
+def _anchored(docs: DataFrame, met: DataFrame) -> DataFrame:
+    """(row, doc, start, end, n, seq, clusters, first) of the stretches of anchors and of what they are extended by.
 
-    A run is compared with the document that its anchors' first stands in; where a third document
-    holds more of the passage than that one, its ends may stay short.
+    A stretch is extended against the documents that its outer anchors' firsts stand in; where a
+    third document holds more of the passage than those, its ends may stay short.
     """
-    listed = again.groupBy("doc", "row").agg(F.collect_list(F.struct(F.col("seq").alias("place"), F.col("more")[0].alias("fdoc"), F.col("more")[1].alias("frow"), F.col("more")[2].cast("int").alias("fplace"), "digest")).alias("found"))
-    found = materialize(listed.select("doc", "row", "found").mapInArrow(lean(_runs), _RUN))
-    size = F.col("b") - F.col("a")
-    asked = found.select("doc", "row", "a", "b").unionByName(found.select(F.col("fdoc").alias("doc"), F.col("frow").alias("row"), F.col("fa").alias("a"), (F.col("fa") + size).alias("b"))).distinct()
-    asked = asked.groupBy("doc", "row").agg(F.collect_list(F.struct("a", "b")).alias("asked"))
-    around = materialize(docs.join(asked, ["doc", "row"]).select("doc", "row", "text", "asked").mapInArrow(lean(_around), _AROUND).dropDuplicates(["doc", "row", "a", "b"]))
-    its = around.select(F.col("doc").alias("fdoc"), F.col("row").alias("frow"), F.col("a").alias("fa"), (F.col("b") - F.col("a")).alias("size"), *[F.col(c).alias("f" + c) for c in ("start", "end", "before", "starts", "after", "ends")])
-    both = found.join(around, ["doc", "row", "a", "b"]).withColumn("size", size).join(its, ["fdoc", "frow", "fa", "size"])
-    both = both.withColumns({"more": _same("before", "fbefore"), "on": _same("after", "fafter")})
-    n = F.col("size") + F.col("more") + F.col("on")
-    start = lambda f: F.when(F.col("more") > 0, F.element_at(f + "starts", F.greatest(F.col("more"), F.lit(1)))).otherwise(F.col(f + "start"))
-    end = lambda f: F.when(F.col("on") > 0, F.element_at(f + "ends", F.greatest(F.col("on"), F.lit(1)))).otherwise(F.col(f + "end"))
-    cols = lambda f, first: [F.col(f + "row").alias("row"), F.col(f + "doc").alias("doc"), start(f).alias("start"), end(f).alias("end"), n.alias("n"), (F.col(f + "a") - F.col("more")).alias("seq"), "cluster", F.lit(first).alias("first")]
-    return both.select(*cols("", False)).unionByName(both.select(*cols("f", True)).distinct())
+    listed = met.where(f"kind in ({_AGAIN}, {_HEAD})").groupBy("doc", "row").agg(F.collect_list(F.struct("kind", "seq", "start", "end", "digest", "more")).alias("found"))
+    stretches = materialize(listed.select("doc", "row", "found").mapInArrow(lean(_stretches), _STRETCH))
+    sides = stretches.where("not first").select("doc", "row", F.inline("sides"))
+    asked = sides.select("doc", "row", "side", "place").unionByName(sides.select(F.col("fdoc").alias("doc"), F.col("frow").alias("row"), "side", F.col("fplace").alias("place"))).distinct()
+    asked = asked.groupBy("doc", "row").agg(F.collect_list(F.struct("side", "place")).alias("asked"))
+    around = docs.join(asked, ["doc", "row"]).select("doc", "row", "text", "asked").mapInArrow(lean(_around), _AROUND)
+    around = materialize(around.dropDuplicates(["doc", "row", "side", "place"]))
+    first = around.select(F.col("doc").alias("fdoc"), F.col("row").alias("frow"), "side", F.col("place").alias("fplace"), F.col("edge").alias("fedge"), F.col("words").alias("fwords"), F.col("chars").alias("fchars"))
+    more = sides.join(around, ["doc", "row", "side", "place"]).join(first, ["fdoc", "frow", "side", "fplace"]).withColumn("n", _alike("words", "fwords")).where("n > 0")
+    left = F.col("side") == 0
+    last = lambda chars: F.element_at(chars, F.greatest(F.col("n"), F.lit(1)))
+    piece = lambda f, edge, kept: [
+        F.col(f + "row").alias("row"), F.col(f + "doc").alias("doc"),
+        F.when(left, last(f + "chars")).otherwise(F.col(edge)).alias("start"), F.when(left, F.col(edge)).otherwise(last(f + "chars")).alias("end"),
+        "n", F.when(left, F.col(f + "place") - F.col("n")).otherwise(F.col(f + "place")).alias("seq"), F.array("digest").alias("clusters"), F.lit(kept).alias("first"),
+    ]
+    whole = stretches.select("row", "doc", "start", "end", "n", "seq", "clusters", "first")
+    return whole.unionByName(more.select(*piece("", "edge", False))).unionByName(more.select(*piece("f", "fedge", True)).distinct())
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -562,9 +625,9 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, doc, found in zip(*[b.column(k).to_pylist() for k in range(3)]):
             gone: list[list] = []
             for kept in (False, True):
-                units = sorted((x["seq"] if x["seq"] >= 0 else (-1 - x["seq"]) // 2, (x["seq"] < 0, x["n"]), x["start"], x["end"], x["cluster"]) for x in found if x["first"] == kept)
+                units = sorted((x["seq"] if x["seq"] >= 0 else (-1 - x["seq"]) // 2, (x["seq"] < 0, x["n"]), x["start"], x["end"], x["clusters"]) for x in found if x["first"] == kept)
                 runs_: list[list] = []
-                for place, size, start, end, cluster in units:
+                for place, size, start, end, clusters in units:
                     to = place + size[1]
                     if kept and size[1] - sum(max(0, min(to, y) - max(place, x)) for x, y, *_ in gone) < min(PASSAGE, size[1]):
                         continue
@@ -572,10 +635,10 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         run = runs_[-1]
                         run[1], run[3] = max(run[1], to), max(run[3], end)
                         if size > run[4]:
-                            run[4:6] = size, cluster
-                        run[6].add(cluster)
+                            run[4:6] = size, clusters[0]
+                        run[6].update(clusters)
                     else:
-                        runs_.append([place, to, start, end, size, cluster, {cluster}])
+                        runs_.append([place, to, start, end, size, clusters[0], set(clusters)])
                 runs_ = [x for x in runs_ if x[1] - x[0] >= PASSAGE]
                 out += [(row, doc, x[2], x[3], x[1] - x[0], x[5], kept, sorted(x[6])) for x in runs_]
                 gone = runs_
@@ -602,12 +665,12 @@ def passages(docs: DataFrame, anywhere: bool = True) -> DataFrame:
     doc, row = _identity(docs)
     docs = docs.select(row.alias("row"), doc.alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     units = docs.mapInArrow(lean(lambda batches: _units(batches, anywhere)), _UNIT)
-    order = ["digest", F.col("seq") >= 0, "doc", "row", "start"]
+    order = ["digest", "doc", "row", "start"]
     dealt = F.when(F.col("kind") < 0, F.col("digest")).otherwise(F.xxhash64("row", "start"))
-    met = materialize(units.repartition(dealt).sortWithinPartitions(*order).mapInArrow(_equal, _UNIT))
+    met = materialize(units.repartition(dealt).sortWithinPartitions(*order).mapInArrow(_equal, _UNIT), by="kind")
 
     firsts = met.where(f"kind = {_FIRST}").withColumnRenamed("more", "bands")
-    keys = firsts.select(F.explode("bands").alias("key"), "digest").repartition("key").sortWithinPartitions("key", "digest")
+    keys = firsts.select(F.explode("bands").alias("key"), "digest").repartition("key").sortWithinPartitions("key")
     buckets = materialize(keys.mapInArrow(_buckets, "bucket long, digest long").distinct())
     asked = firsts.join(buckets.select("digest").distinct(), "digest", "left_semi").groupBy("doc", "row").agg(F.collect_list(F.struct("digest", "start", "end")).alias("asked"))
     sets = docs.join(asked, ["doc", "row"]).select("text", "asked").mapInArrow(lean(_sets), "digest long, set array<long>").dropDuplicates(["digest"])
@@ -630,18 +693,19 @@ def passages(docs: DataFrame, anywhere: bool = True) -> DataFrame:
     clustered = clustered.withColumn("kind", F.lit(_FIRST)).where(F.col("first") | ~own)
     repeated = again.select("digest").distinct()
     alone = firsts.join(repeated, "digest", "left_semi").join(clustered.select("digest"), "digest", "left_anti")
-    cols = ["row", "doc", "start", "end", "n", "seq", "cluster", "first"]
+    cols = ["row", "doc", "start", "end", "n", "seq", "clusters", "first"]
+    by = lambda df, cluster: df.withColumn("clusters", F.array(cluster))
     found = (
-        clustered.select(*cols)
-        .unionByName(alone.withColumn("cluster", F.col("digest")).withColumn("first", F.lit(True)).select(*cols))
-        .unionByName(again.withColumn("first", F.lit(False)).select(*cols))
-    )
-    plain = met.where(f"kind in ({_AGAIN}, {_HEAD})")
+        by(clustered, "cluster").select(*cols)
+        .unionByName(by(alone, "digest").withColumn("first", F.lit(True)).select(*cols))
+        .unionByName(by(again, "cluster").withColumn("first", F.lit(False)).select(*cols))
+    )
     if anywhere:
-        found = found.unionByName(_extended(docs, plain.where(f"kind = {_AGAIN}")).select(*cols))
+        found = found.unionByName(_anchored(docs, met).select(*cols))
     else:
-        found = found.unionByName(plain.withColumn("cluster", F.col("digest")).withColumn("first", F.col("kind") == _HEAD).select(*cols))
-    grouped = found.groupBy("row", "doc").agg(F.collect_list(F.struct("start", "end", "n", "seq", "cluster", "first")).alias("found"))
+        plain = by(met.where(f"kind in ({_AGAIN}, {_HEAD})"), "digest")
+        found = found.unionByName(plain.withColumn("first", F.col("kind") == _HEAD).select(*cols))
+    grouped = found.groupBy("row", "doc").agg(F.collect_list(F.struct("start", "end", "n", "seq", "clusters", "first")).alias("found"))
     return grouped.select("row", "doc", "found").mapInArrow(lean(_spans), "row long, doc long, start int, end int, n_words int, cluster long, kept boolean, clusters array<long>")
 
 
