@@ -265,6 +265,21 @@ def signatures(h: np.ndarray, r: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct_shingles(w: Words, r: np.ndarray) -> np.ndarray:
+    """How many distinct shingles the word ranges [range, 2] have, each of WIDTH words or more inside one text."""
+    n = np.maximum(1, r[:, 1] - r[:, 0] - WIDTH + 1)
+    s = shingles(w.hash)
+    order = np.argsort(s, kind="stable")
+    of = w.of[: len(s)][order]
+    twice = np.flatnonzero((s[order][1:] == s[order][:-1]) & (of[1:] == of[:-1]))
+    again = np.zeros(len(s) + 1, np.int64)
+    again[order[twice + 1]] = 1  # its text has this shingle before
+    seen = np.append(0, np.cumsum(again))
+    for k in np.flatnonzero(seen[np.minimum(r[:, 0] + n, len(s))] > seen[np.minimum(r[:, 0], len(s))]):
+        n[k] = len(np.unique(s[r[k, 0] : r[k, 0] + n[k]]))
+    return n
+
+
 def _chunks(ends: np.ndarray, size: int = 1 << 16) -> Iterator[tuple[int, int]]:
     i = 0
     while i < len(ends):
@@ -294,7 +309,7 @@ def _units(batches: Iterator[pa.RecordBatch], anywhere: bool = False) -> Iterato
     """(row, doc, text) to units.
 
     seq tells a unit's sort and the place of its first word: -1 - 2 * place for paragraphs, -2 - 2 *
-    place for sentences, place for all others, which have no bands. more holds the bands, or, of a
+    place for sentences, place for all others, which have no bands. more holds the bands and the number of shingles, or, of a
     settled unit without bands, where its chunk's first stands (doc, row, place).
     """
     for b in batches:
@@ -327,10 +342,10 @@ def _settle(w: Words, r: np.ndarray, seq: np.ndarray, doc: np.ndarray, row: np.n
     kind = np.where(other, np.where(banded, _OTHER, _AGAIN), _OPEN)
     kind[heads[np.logical_or.reduceat(other, heads)]] = _SHARED
     full, back = banded & ~other, other & ~banded
-    sizes = np.where(full, BANDS, np.where(back, 3, 0))
+    sizes = np.where(full, BANDS + 1, np.where(back, 3, 0))
     at = np.cumsum(sizes) - sizes
     more = np.zeros(sizes.sum(), np.int64)
-    more[at[full][:, None] + np.arange(BANDS)] = signatures(w.hash, r[full])
+    more[at[full][:, None] + np.arange(BANDS + 1)] = np.column_stack([signatures(w.hash, r[full]), distinct_shingles(w, r[full])])
     f = first[back]
     more[at[back][:, None] + np.arange(3)] = np.stack([doc[of[f]], row[of[f]], seq[f]], 1)
     return _batch([digest, doc[of], row[of], w.start[r[:, 0]], w.end[r[:, 1] - 1], r[:, 1] - r[:, 0], seq, kind], _lists(sizes, more))
@@ -378,46 +393,53 @@ def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band key, digest) sorted by key to (bucket, digest) of keys that two or more distinct paragraphs share.
+    """(band key, shingles, digest) sorted by the first two to (bucket, digest) of paragraphs that may be alike.
 
-    A bucket is named by its members, so that one that many bands give is verified once; a bucket
-    larger than BUCKET keeps its key for a name and streams through.
+    Sets of a similarity of SIMILAR differ no more in size, so a key's paragraphs part where their
+    sizes leap, and those left alone go. A bucket is named by its members, so that one that many
+    bands give is verified once; a bucket larger than BUCKET keeps its key and smallest size for a
+    name and streams through.
     """
-    key, members, name = None, [], None
+    key, size, members, name = None, 0, [], None  # of the bucket that the batch before ended in
 
-    def emit(bucket, found):
-        return pa.RecordBatch.from_arrays([pa.array([bucket] * len(found), pa.int64()), pa.array(found, pa.int64())], ["bucket", "digest"])
-
-    def named(found):
-        return xxhash.xxh64_intdigest(np.sort(np.array(found, np.int64)).tobytes()) - (1 << 63)
+    def named(found: np.ndarray) -> int:
+        return xxhash.xxh64_intdigest(np.sort(found).tobytes()) - (1 << 63)
 
     for b in batches:
-        k, d = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+        k, n, d = (b.column(c).to_numpy(zero_copy_only=False) for c in range(3))
         if not len(k):
             continue
-        cut = runs(k)
-        size = np.diff(cut)
+        cut = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (n[:-1] < SIMILAR * n[1:] - 1e-9)))
+        ends = np.append(cut[1:], len(k))
         out_k, out_d = [], []
-        for at in np.flatnonzero((size > 1) | (np.arange(len(size)) == 0) | (np.arange(len(size)) == len(size) - 1)):
-            i, j = cut[at], cut[at + 1]
-            if key is not None and k[i] != key:
-                if name is None and len(members) > 1:
-                    out_k += [named(members)] * len(members)
-                    out_d += members
-                key = None
-            if key is None:
-                key, members, name = int(k[i]), [], None
-            members += d[i:j].tolist()
-            if len(members) > BUCKET:
-                name = key
+        for i, j in zip(cut, ends):
+            last = j == len(k)
+            if not last and i and j - i == 1:
+                continue
+            found = d[i:j]
+            if not i and key == k[0] and size >= SIMILAR * n[0] - 1e-9:
+                members = np.append(members, found)
+            else:
+                if not i and name is None and len(members) > 1:
+                    out_k.append(np.full(len(members), named(members)))
+                    out_d.append(members)
+                members, name = found, None
+            if len(members) > BUCKET and name is None:
+                name = named(np.array([k[i], n[i]], np.int64))
             if name is not None:
-                out_k += [name] * len(members)
-                out_d += members
-                members = []
+                out_k.append(np.full(len(members), name))
+                out_d.append(members)
+                members = members[:0]
+            elif not last:
+                if len(members) > 1:
+                    out_k.append(np.full(len(members), named(members)))
+                    out_d.append(members)
+                members = members[:0]
+        key, size = k[-1], n[-1]
         if out_d:
-            yield pa.RecordBatch.from_arrays([pa.array(out_k, pa.int64()), pa.array(out_d, pa.int64())], ["bucket", "digest"])
-    if key is not None and name is None and len(members) > 1:
-        yield emit(named(members), members)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_k), pa.int64()), pa.array(np.concatenate(out_d), pa.int64())], ["bucket", "digest"])
+    if name is None and len(members) > 1:
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), named(members)), pa.int64()), pa.array(members, pa.int64())], ["bucket", "digest"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -670,7 +692,7 @@ def passages(docs: DataFrame, anywhere: bool = True) -> DataFrame:
     met = materialize(units.repartition(dealt).sortWithinPartitions(*order).mapInArrow(_equal, _UNIT), by="kind")
 
     firsts = met.where(f"kind = {_FIRST}").withColumnRenamed("more", "bands")
-    keys = firsts.select(F.explode("bands").alias("key"), "digest").repartition("key").sortWithinPartitions("key")
+    keys = firsts.select(F.explode(F.slice("bands", 1, BANDS)).alias("key"), F.element_at("bands", BANDS + 1).alias("shingles"), "digest").repartition("key").sortWithinPartitions("key", "shingles")
     buckets = materialize(keys.mapInArrow(_buckets, "bucket long, digest long").distinct())
     asked = firsts.join(buckets.select("digest").distinct(), "digest", "left_semi").groupBy("doc", "row").agg(F.collect_list(F.struct("digest", "start", "end")).alias("asked"))
     sets = docs.join(asked, ["doc", "row"]).select("text", "asked").mapInArrow(lean(_sets), "digest long, set array<long>").dropDuplicates(["digest"])
