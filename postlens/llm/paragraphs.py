@@ -176,8 +176,7 @@ class Words:
         whole = line[pieces[:, 0]] & line[pieces[:, 1]] & (size >= PASSAGE)
         sentences = pieces[(size > UNIT) & ~whole]
         if anywhere:
-            first = anchors(self.hash, self.of)
-            return paragraphs, sentences, np.stack([first, first + GRAM], 1)
+            return paragraphs, sentences, anchors(self.hash, self.of)
         cuts = np.flatnonzero(cut)
         after, before = np.searchsorted(cuts, cuts + UNIT), np.searchsorted(cuts, cuts - UNIT, side="right") - 1
         some = after < len(cuts)
@@ -198,10 +197,13 @@ class Units:
 
 
 def anchors(h: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """First words of the chosen grams of GRAM words: one at least of any WINDOW neighbours in one text."""
+    """Word ranges [anchor, 2] of the chosen grams of GRAM words: one at least of any WINDOW neighbours in one text.
+
+    Equal grams that begin with neighbouring words, where a word repeats itself, are one longer range.
+    """
     n = len(h) - GRAM + 1
     if n < WINDOW:
-        return np.zeros(0, np.int64)
+        return np.zeros((0, 2), np.int64)
     x = np.empty(n, np.uint64)
     for i in range(0, n, len(_POWERS) - GRAM):
         m = min(n - i, len(_POWERS) - GRAM)
@@ -214,7 +216,9 @@ def anchors(h: np.ndarray, of: np.ndarray) -> np.ndarray:
     m = n - WINDOW + 1
     low = np.minimum(low[:m], low[WINDOW - size : WINDOW - size + m])
     p = np.flatnonzero(of[:m] == of[GRAM + WINDOW - 2 :][:m])
-    return np.unique(p + ((low[p] & np.uint64(0xFFFFFF)).astype(np.int64) - p & 0xFFFFFF))
+    p = np.unique(p + ((low[p] & np.uint64(0xFFFFFF)).astype(np.int64) - p & 0xFFFFFF))
+    new = np.append(True, (p[1:] != p[:-1] + 1) | (x[p[1:]] != x[p[:-1]]) | (of[p[1:]] != of[p[:-1]]))[: len(p)]
+    return np.stack([p[new], np.append(p[:-1][new[1:]], p[-1:]) + GRAM], 1)
 
 
 def _digests(h: np.ndarray, ranges) -> np.ndarray:
@@ -325,12 +329,14 @@ def _units(batches: Iterator[pa.RecordBatch], anywhere: bool = False) -> Iterato
                 place = r[:, 0] - w.at[w.of[r[:, 0]]]
                 less = np.repeat([-1, -2], [len(paragraphs), len(sentences)])
                 seq = np.append(less - 2 * place[: len(less)], place[len(less) :])
-                yield _settle(w, r, seq, doc[i:j], row[i:j])
+                gram = np.stack([r[:, 0], np.minimum(r[:, 1], r[:, 0] + GRAM)], 1) if anywhere else r
+                digest = np.append(_digests(w.hash, r[: len(less)]), _digests(w.hash, gram[len(less) :]))
+                yield _settle(w, r, seq, digest, doc[i:j], row[i:j])
 
 
-def _settle(w: Words, r: np.ndarray, seq: np.ndarray, doc: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+def _settle(w: Words, r: np.ndarray, seq: np.ndarray, digest: np.ndarray, doc: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
     """A chunk's units, of which those whose equal stands in an earlier text of the chunk are settled."""
-    digest, of = _digests(w.hash, r), w.of[r[:, 0]]
+    of = w.of[r[:, 0]]
     digest[seq >= 0] ^= _BARE
     order = np.lexsort((r[:, 0], of, digest))
     r, seq, digest, of = r[order], seq[order], digest[order], of[order]
@@ -393,53 +399,64 @@ def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band key, shingles, digest) sorted by the first two to (bucket, digest) of paragraphs that may be alike.
+    """(band key, shingles, digest) sorted by key to (bucket, digest) of paragraphs that may be alike.
 
     Sets of a similarity of SIMILAR differ no more in size, so a key's paragraphs part where their
     sizes leap, and those left alone go. A bucket is named by its members, so that one that many
-    bands give is verified once; a bucket larger than BUCKET keeps its key and smallest size for a
-    name and streams through.
+    bands give is verified once. A key with more than BUCKET paragraphs streams through: each goes
+    to two of its classes of sizes, so that those of sizes near enough share one.
     """
-    key, size, members, name = None, 0, [], None  # of the bucket that the batch before ended in
+    key, held, large = None, [], False  # the key that the batch before ended in, its (sizes, digests)
+
+    def parted(k, n, d) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((n, k))
+        k, n, d = k[order], n[order], d[order]
+        cut = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (n[:-1] < SIMILAR * n[1:] - 1e-9)))
+        size = np.diff(np.append(cut, len(k)))
+        cut, size = cut[size > 1], size[size > 1]
+        found = [np.sort(d[a : a + m]) for a, m in zip(cut.tolist(), size.tolist())]
+        names = np.array([xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in found], np.int64)
+        return np.repeat(names, size), np.concatenate(found) if found else np.zeros(0, np.int64)
 
-    def named(found: np.ndarray) -> int:
-        return xxhash.xxh64_intdigest(np.sort(found).tobytes()) - (1 << 63)
+    def streamed(n, d) -> tuple[np.ndarray, np.ndarray]:
+        size = np.floor(np.log(np.maximum(n, 1)) / -np.log(SIMILAR)).astype(np.int64)
+        names = [_mix(np.uint64(key & (1 << 64) - 1) + (size + c).astype(np.uint64) * np.uint64(_BASE)).view(np.int64) for c in (0, 1)]
+        return np.concatenate(names), np.append(d, d)
+
+    def out(found) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in map(np.concatenate, zip(*found))], ["bucket", "digest"])
+
+    def end() -> tuple[np.ndarray, np.ndarray]:
+        n, d = map(np.concatenate, zip(*held))
+        return streamed(n, d) if large else parted(np.zeros(len(n)), n, d)
 
     for b in batches:
         k, n, d = (b.column(c).to_numpy(zero_copy_only=False) for c in range(3))
         if not len(k):
             continue
-        cut = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (n[:-1] < SIMILAR * n[1:] - 1e-9)))
-        ends = np.append(cut[1:], len(k))
-        out_k, out_d = [], []
-        for i, j in zip(cut, ends):
-            last = j == len(k)
-            if not last and i and j - i == 1:
-                continue
-            found = d[i:j]
-            if not i and key == k[0] and size >= SIMILAR * n[0] - 1e-9:
-                members = np.append(members, found)
-            else:
-                if not i and name is None and len(members) > 1:
-                    out_k.append(np.full(len(members), named(members)))
-                    out_d.append(members)
-                members, name = found, None
-            if len(members) > BUCKET and name is None:
-                name = named(np.array([k[i], n[i]], np.int64))
-            if name is not None:
-                out_k.append(np.full(len(members), name))
-                out_d.append(members)
-                members = members[:0]
-            elif not last:
-                if len(members) > 1:
-                    out_k.append(np.full(len(members), named(members)))
-                    out_d.append(members)
-                members = members[:0]
-        key, size = k[-1], n[-1]
-        if out_d:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_k), pa.int64()), pa.array(np.concatenate(out_d), pa.int64())], ["bucket", "digest"])
-    if name is None and len(members) > 1:
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(members), named(members)), pa.int64()), pa.array(members, pa.int64())], ["bucket", "digest"])
+        found = []
+        first, last = int(np.searchsorted(k, k[0], side="right")), int(np.searchsorted(k, k[-1]))
+        if key is not None and key == k[0]:
+            held.append((n[:first], d[:first]))
+            if first < len(k):
+                found.append(end())
+        elif key is not None:
+            found.append(end())
+            first = 0
+        else:
+            first = 0
+        if key != k[-1] or first < len(k):
+            if last > first:
+                found.append(parted(k[first:last], n[first:last], d[first:last]))
+            key, held, large = int(k[-1]), [(n[max(first, last) :], d[max(first, last) :])], False
+        if large or sum(len(x) for x, _ in held) > BUCKET:
+            large = True
+            found.append(end())
+            held = [(n[:0], d[:0])]
+        if found:
+            yield out(found)
+    if key is not None:
+        yield out([end()])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -546,7 +563,7 @@ _STRETCH = f"doc long, row long, first boolean, seq int, n int, start int, end i
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, row, [(kind, seq, start, end, digest, more)]) to a document's stretches of anchors that touch.
+    """(doc, row, [(kind, seq, n, start, end, digest, more)]) to a document's stretches of anchors that touch.
 
     Those that earlier documents hold (kind _AGAIN) carry their two sides: where the stretch begins
     or ends (the word at place, the character at), and where its outer anchor's first stands.
@@ -557,13 +574,13 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = b.column(2)
         of = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
         fields = lists.flatten().flatten()
-        kind, place, start, end, digest = (x.to_numpy(zero_copy_only=False) for x in fields[:5])
-        back = fields[5].offsets.to_numpy() - fields[5].offsets[0].as_py()
-        pointer = fields[5].flatten().to_numpy(zero_copy_only=False)
+        kind, place, n, start, end, digest = (x.to_numpy(zero_copy_only=False) for x in fields[:6])
+        back = fields[6].offsets.to_numpy() - fields[6].offsets[0].as_py()
+        pointer = fields[6].flatten().to_numpy(zero_copy_only=False)
         order = np.lexsort((place, kind, of))
-        of, kind, place, start, end, digest, back = of[order], kind[order], place[order], start[order], end[order], digest[order], back[:-1][order]
+        of, kind, place, n, start, end, digest, back = (x[order] for x in (of, kind, place, n, start, end, digest, back[:-1]))
         new = np.ones(len(of), bool)
-        new[1:] = (of[1:] != of[:-1]) | (kind[1:] != kind[:-1]) | (place[1:] > place[:-1] + GRAM)
+        new[1:] = (of[1:] != of[:-1]) | (kind[1:] != kind[:-1]) | (place[1:] > place[:-1] + n[:-1])
         head = np.flatnonzero(new)
         ends = np.append(head[1:], len(of)) if len(head) else head
         tail = ends - 1
@@ -571,10 +588,10 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.stack([head[gone], tail[gone]], 1).ravel()
         right = np.tile([0, 1], gone.sum())
         where = np.stack([pointer[back[both] + k] for k in range(3)], 1) if len(both) else np.zeros((0, 3), np.int64)
-        parts = [right, place[both] + right * GRAM, np.where(right, end[both], start[both]), digest[both], where[:, 0], where[:, 1], where[:, 2] + right * GRAM]
+        parts = [right, place[both] + right * n[both], np.where(right, end[both], start[both]), digest[both], where[:, 0], where[:, 1], where[:, 2] + right * GRAM]
         sides = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(parts, side)], fields=list(side))
         sides = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(gone * 2)), pa.int32()), sides)
-        cols = [pa.array(doc[of[head]]), pa.array(row[of[head]]), pa.array(~gone), pa.array(place[head], pa.int32()), pa.array(place[tail] + GRAM - place[head], pa.int32()), pa.array(start[head], pa.int32()), pa.array(end[tail], pa.int32()), _lists(ends - head, digest), sides]
+        cols = [pa.array(doc[of[head]]), pa.array(row[of[head]]), pa.array(~gone), pa.array(place[head], pa.int32()), pa.array(place[tail] + n[tail] - place[head], pa.int32()), pa.array(start[head], pa.int32()), pa.array(end[tail], pa.int32()), _lists(ends - head, digest), sides]
         yield pa.RecordBatch.from_arrays(cols, ["doc", "row", "first", "seq", "n", "start", "end", "clusters", "sides"])
 
 
@@ -617,7 +634,7 @@ def _anchored(docs: DataFrame, met: DataFrame) -> DataFrame:
     A stretch is extended against the documents that its outer anchors' firsts stand in; where a
     third document holds more of the passage than those, its ends may stay short.
     """
-    listed = met.where(f"kind in ({_AGAIN}, {_HEAD})").groupBy("doc", "row").agg(F.collect_list(F.struct("kind", "seq", "start", "end", "digest", "more")).alias("found"))
+    listed = met.where(f"kind in ({_AGAIN}, {_HEAD})").groupBy("doc", "row").agg(F.collect_list(F.struct("kind", "seq", "n", "start", "end", "digest", "more")).alias("found"))
     stretches = materialize(listed.select("doc", "row", "found").mapInArrow(lean(_stretches), _STRETCH))
     sides = stretches.where("not first").select("doc", "row", F.inline("sides"))
     asked = sides.select("doc", "row", "side", "place").unionByName(sides.select(F.col("fdoc").alias("doc"), F.col("frow").alias("row"), "side", F.col("fplace").alias("place"))).distinct()
@@ -692,10 +709,11 @@ def passages(docs: DataFrame, anywhere: bool = True) -> DataFrame:
     met = materialize(units.repartition(dealt).sortWithinPartitions(*order).mapInArrow(_equal, _UNIT), by="kind")
 
     firsts = met.where(f"kind = {_FIRST}").withColumnRenamed("more", "bands")
-    keys = firsts.select(F.explode(F.slice("bands", 1, BANDS)).alias("key"), F.element_at("bands", BANDS + 1).alias("shingles"), "digest").repartition("key").sortWithinPartitions("key", "shingles")
+    keys = firsts.select(F.explode(F.slice("bands", 1, BANDS)).alias("key"), F.element_at("bands", BANDS + 1).alias("shingles"), "digest").repartition("key").sortWithinPartitions("key")
     buckets = materialize(keys.mapInArrow(_buckets, "bucket long, digest long").distinct())
     asked = firsts.join(buckets.select("digest").distinct(), "digest", "left_semi").groupBy("doc", "row").agg(F.collect_list(F.struct("digest", "start", "end")).alias("asked"))
     sets = docs.join(asked, ["doc", "row"]).select("text", "asked").mapInArrow(lean(_sets), "digest long, set array<long>").dropDuplicates(["digest"])
+    sets = materialize(sets)
     parts = buckets.groupBy("bucket").agg(F.ceil(F.count("*") / (BUCKET // 2)).cast("int").alias("k")).select("bucket", F.when(F.col("k") <= 2, 1).otherwise(F.col("k")).alias("k"))
     dealt = buckets.join(parts, "bucket").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "digest").join(sets, "digest").select("bucket", "i", "j", "digest", "set")
@@ -703,18 +721,18 @@ def passages(docs: DataFrame, anywhere: bool = True) -> DataFrame:
     roots = connected_components(links)
 
     # of a cluster, the occurrence in the smallest (doc, row, start) is kept
-    rooted = roots.select(F.col("root").alias("digest")).distinct().withColumn("is_root", F.lit(True))
-    members = firsts.select("digest", "doc", "row", "start", "end", "n", "seq").join(roots.withColumnRenamed("node", "digest"), "digest", "left").join(rooted, "digest", "left")
-    clustered = members.where("root is not null or is_root").withColumn("cluster", F.coalesce("root", "digest"))
+    alike = materialize(roots.select(F.col("node").alias("digest"), F.col("root").alias("cluster")).unionByName(roots.select(F.col("root").alias("digest"), F.col("root").alias("cluster")).distinct()))
+    place = ["digest", "doc", "row", "start", "end", "n", "seq", "kind"]
+    clustered = materialize(firsts.select(*place).join(alike, "digest"))
     least = clustered.groupBy("cluster").agg(F.min(F.struct("doc", "row", "start")).alias("least"))
-    clustered = clustered.join(least, "cluster").withColumn("first", F.struct("doc", "row", "start") == F.col("least"))
-    again = met.where(f"kind in ({_OTHER}, {_OWN})").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("cluster", F.coalesce("root", "digest")).join(least, "cluster", "left")
     # a sentence stays where its own document holds the first
     own = (F.col("seq") % 2 == 0) & F.coalesce((F.col("doc") == F.col("least.doc")) & (F.col("row") == F.col("least.row")), F.col("kind") == _OWN)
-    again = again.where(~own)
-    clustered = clustered.withColumn("kind", F.lit(_FIRST)).where(F.col("first") | ~own)
-    repeated = again.select("digest").distinct()
-    alone = firsts.join(repeated, "digest", "left_semi").join(clustered.select("digest"), "digest", "left_anti")
+    clustered = clustered.join(least, "cluster").withColumn("first", F.struct("doc", "row", "start") == F.col("least")).where(F.col("first") | ~own)
+    clustered = materialize(clustered.select(*place, "cluster", "first"))
+    again = met.where(f"kind in ({_OTHER}, {_OWN})").select(*place).join(alike, "digest", "left").withColumn("cluster", F.coalesce("cluster", "digest")).join(least, "cluster", "left")
+    again = materialize(again.where(~own).select(*place, "cluster"))
+    repeated = again.select("digest").distinct().join(clustered.select("digest"), "digest", "left_anti")
+    alone = firsts.select(*place).join(repeated, "digest", "left_semi")
     cols = ["row", "doc", "start", "end", "n", "seq", "clusters", "first"]
     by = lambda df, cluster: df.withColumn("clusters", F.array(cluster))
     found = (
