@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set (tests)."""
+    """The folder that all executors share; a temporary one only where none is set on a single machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="postlens-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -45,11 +47,16 @@ def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     finally:
         spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
 
 
-def partitions_for(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def discard(df: DataFrame) -> None:
+    """Deletes what materialize() wrote for df, which nothing may read any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lean(run, rows: int = 1_000):
@@ -73,6 +80,17 @@ def lean(run, rows: int = 1_000):
     return whole
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores at its end as keep it apart from df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def chunks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of neighbours whose sizes add up to most, or of one that is larger."""
     i, total = 0, 0

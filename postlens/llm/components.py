@@ -2,7 +2,8 @@
 
 Each step is a minimum per node (combined map-side) joined back to the edges, so no node's
 neighbours are ever gathered in one row; AQE splits the join of a hub. Edges are first thinned to
-a spanning forest inside each partition. Every round is written to the shared folder.
+a spanning forest inside each partition. Every round is written to the shared
+folder, and the one before it deleted.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, edge_batch, materialize
+from .common import Forest, discard, edge_batch, materialize
 
 
 def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +49,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        before, e = e, materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(before)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
