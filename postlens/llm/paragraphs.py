@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, chunks, edge_batch, lean, materialize, runs
+from .common import Forest, chunks, edge_batch, fresh, lean, materialize, runs
 from .components import connected_components
 
 #: Shingle words, similarity, recall of the bands at it, rows of a band.
@@ -773,7 +773,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     gone = passages(docs).where("not kept").groupBy("row", "doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone"))
     doc, row = _identity(docs)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("of"), row.alias("row"), doc.alias("doc"))
-    both = whole.join(gone, ["row", "doc"], "left").select("of.*", F.col("gone").alias("gone"))
+    both = whole.join(gone, ["row", "doc"], "left").select("of.*", F.col("gone").alias(*fresh(docs, "gone")))
     names, at = docs.columns, docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
