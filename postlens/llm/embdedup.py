@@ -11,18 +11,16 @@ radius lets a member come near enough (triangle inequality), which prunes cluste
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Forest, materialize
 from .components import connected_components
-from .vectors import matrix
+from .vectors import keyed, matrix
 
 THRESHOLD = 0.9
 #: Vectors that a block is meant to hold, the most pivots, the rows they are drawn from.
@@ -37,19 +35,6 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, scale[:, 0], np.linalg.norm(unit - code * scale, axis=1) + _SLACK
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ok, m = matrix(b.column(1))
-        m = m + 0.0  # one zero
-        key = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in m]
-        found = np.full(b.num_rows, -1)
-        found[ok] = np.arange(len(ok))
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([key[k] if k >= 0 else None for k in found], pa.binary()), pa.array([m[k] if k >= 0 else None for k in found], pa.list_(pa.float64()))],
-            ["vec_id", "key", "vector"],
-        )
-
-
 def _tile_links(code, scale, lost, vec, other, threshold) -> np.ndarray:
     """Which pairs of two small blocks have a cosine of threshold or more."""
     a, b = other
@@ -79,12 +64,11 @@ def _join_tile(hit: np.ndarray, left: np.ndarray, right: np.ndarray, forest: For
 
 
 def _tile(threshold: float, step: int = 1024):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, times = pdf.node.to_numpy(np.int64), pdf.times.to_numpy(np.int64)
-        vec = np.stack(pdf.vector.to_numpy())
+    def run(key: tuple[pa.Scalar, ...], tile: pa.Table) -> pa.Table:
+        i, j = key[0].as_py(), key[1].as_py()
+        node, times, own = (tile.column(c).to_numpy() for c in ("node", "times", "block"))
+        _, vec = matrix(tile.column("vector"))
         code, scale, lost = quantise(vec / np.linalg.norm(vec, axis=1, keepdims=True))
-        i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
-        own = pdf.block.to_numpy()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         links, forest = np.zeros(len(node), np.int64), Forest()
         for p in range(0, len(left), step):
@@ -102,7 +86,8 @@ def _tile(threshold: float, step: int = 1024):
                 _join_tile(hit, node[a], node[b], forest)
         u, v = forest.edges()
         some = links > 0
-        return pd.DataFrame({"node": np.concatenate([node[some], u]), "links": np.concatenate([links[some], np.zeros(len(u), np.int64)]), "to": np.concatenate([node[some], v])})
+        cols = [(node[some], u), (links[some], np.zeros(len(u), np.int64)), (node[some], v)]
+        return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in cols], ["node", "links", "to"])
 
     return run
 
@@ -117,16 +102,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     none); kept says that the row's vec_id is that. No rows give no rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = materialize(rows.mapInArrow(_classes, "vec_id long, key binary, vector array<double>"))
+    rows, kind = keyed(vectors)
+    rows = materialize(rows)
     classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("times"), F.first("vector").alias("vector"))
-    classes = materialize(classes).withColumn("node", F.monotonically_increasing_id())
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))  # numbers that stay, whoever reads them
     n = classes.count()
 
-    pivots = classes.select("vector").limit(min(SAMPLE, n)).toPandas().vector if n else []
+    pivots = classes.orderBy("key").limit(SAMPLE).select("vector").toPandas().vector if n else []
     count = min(PIVOTS, -(-n // BLOCK), len(pivots))
     if count:
-        pick = np.stack(list(pivots))
+        pick = np.stack(list(pivots)).astype(float)
         pick /= np.linalg.norm(pick, axis=1, keepdims=True)
         chosen = [0]
         near = pick @ pick[0]
@@ -173,8 +158,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                         ["node", "times", "vector", "block", "i", "j"],
                     )
 
-    visits = classes.select("node", "times", "vector").mapInArrow(visit, "node long, times long, vector array<double>, block long, i long, j long")
-    out = materialize(visits.groupBy("i", "j").applyInPandas(_tile(threshold), "node long, links long, to long"))
+    visits = classes.select("node", "times", "vector").mapInArrow(visit, f"node long, times long, vector {kind}, block long, i long, j long")
+    out = materialize(visits.groupBy("i", "j").applyInArrow(_tile(threshold), "node long, links long, to long"))
     roots = connected_components(out.where("node != to").select(F.col("node").alias("u"), F.col("to").alias("v")))
     links = out.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.select("node", "key", "first", "times").join(links, "node", "left").join(roots, "node", "left")
