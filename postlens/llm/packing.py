@@ -4,7 +4,8 @@ Pieces of one length are alike, so the packing is made over the histogram of len
 has more rows than a sequence has places. For each bin a bitset subset-sum over the lengths left
 finds the fullest feasible combination that holds the longest one; it is taken as often as the
 counts allow and removed. Pieces then find their bin by their rank among the pieces of their
-length; a rank is a count per (length, salt) cell plus the place inside a cell of bounded size.
+length; a rank is a count per (length, salt) cell plus the place inside a cell. A length has as many
+salts as its pieces need for cells of a bounded size, so there are few cells more than pieces / CELL.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import lean, materialize
 from .tokens import Counter2, default_vocabulary
@@ -99,21 +101,23 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[list[tuple
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, key: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to pieces with a column length (1 to capacity).
 
     Every piece goes to exactly one sequence; a sequence's pieces stand gapless from 0. Repeated
-    rows are placed each; no rows give no rows. A length outside 1..capacity, or none, is an
+    rows are placed each, in any order; other columns stay, whatever their names but sequence_id
+    and offset, which give way; no rows give no rows. A length outside 1..capacity, or none, is an
     error, as no sequence can hold it.
     """
+    pieces = pieces.select(*[F.col(f"`{c}`") for c in pieces.columns if c not in ("sequence_id", "offset")])
     ok = F.coalesce(F.col("length").between(1, capacity), F.lit(False))
     pieces = pieces.withColumn("length", F.when(ok, F.col("length")).otherwise(F.raise_error(F.lit(f"a piece's length must be 1 to {capacity}")).cast("long")))
-    n = pieces.count()
-    salts = max(1, -(-n // CELL))
-    order = F.xxhash64(*key)
-    salted = pieces.withColumn("_salt", F.pmod(order, F.lit(salts)).cast("int"))
-    cells = materialize(salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")))
-    histogram = {int(r[0]): int(r[1]) for r in cells.groupBy("length").agg(F.sum("_n")).collect()}  # capacity rows at most
+    number = F.xxhash64(F.monotonically_increasing_id())  # written, so that it stays, and no two rows share a cell for being equal
+    rows = materialize(pieces.select(F.struct(*[F.col(f"`{c}`") for c in pieces.columns]).alias("of"), F.col("length").cast("long").alias("length"), number.alias("number")))
+    histogram = {int(r[0]): int(r[1]) for r in rows.groupBy("length").count().collect()}  # capacity rows at most
+    salts = pieces.sparkSession.createDataFrame([(x, -(-n // CELL)) for x, n in histogram.items()] or [(0, 1)], "of_length long, salts int")
+    salted = rows.join(F.broadcast(salts), F.col("length") == F.col("of_length")).withColumn("salt", F.pmod("number", "salts").cast("int"))  # a row for each length
+    cells = materialize(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
 
     ranges: dict[int, list[tuple[int, int, int, int]]] = {}  # length: (first rank, first bin, times in a bin, place in it)
     used, bins = dict.fromkeys(histogram, 0), 0
@@ -126,15 +130,16 @@ def pack(pieces: DataFrame, capacity: int = 2048, key: tuple[str, ...] = ("doc_i
         bins += times
     lookup = pieces.sparkSession.sparkContext.broadcast({x: np.array(r, np.int64).T for x, r in ranges.items()})
 
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("length", "_salt").orderBy(order, *key)
-    ranked = salted.join(starts, ["length", "_salt"]).withColumn("_rank", F.col("_start") + F.row_number().over(inside) - 1)
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("length", "salt").orderBy("number")
+    ranked = salted.join(starts, ["length", "salt"]).select("of", "length", (F.col("start") + F.row_number().over(inside) - 1).alias("rank"))
+    ranked = ranked.select("of.*", F.col("length").alias("length_"), "rank")
+    names, width = pieces.columns, len(pieces.columns)
 
     def place_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length = b.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
-            rank = b.column("_rank").to_numpy(zero_copy_only=False).astype(np.int64)
+            length, rank = (b.column(width + k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
             seq, at = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for x in np.unique(length):
                 hit = length == x
@@ -143,18 +148,17 @@ def pack(pieces: DataFrame, capacity: int = 2048, key: tuple[str, ...] = ("doc_i
                 more = rank[hit] - first[k]
                 seq[hit] = bin0[k] + more // times[k]
                 at[hit] = place[k] + more % times[k] * x
-            kept = b.drop_columns(["_rank"])
-            yield kept.append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(at))
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(seq), pa.array(at)], [*names, "sequence_id", "offset"])
 
-    kept = [c for c in pieces.columns]
-    ranked = ranked.select(*kept, "_rank")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.select(*kept).schema) + ", sequence_id long, offset long"
+    schema = T.StructType([*pieces.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked.mapInArrow(place_all, schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, path: str | None = None) -> DataFrame:
     """token_pieces() packed by pack(): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null doc_ids and repeated rows are packed like any other; other columns are ignored.
+    Null and empty texts are one piece of length 1; texts of any length are encoded whole. Null
+    doc_ids and repeated rows are packed like any other; other columns are ignored; no rows give
+    no rows.
     """
-    return pack(materialize(token_pieces(docs, capacity, path)), capacity, ("doc_id", "piece", "ids_crc32"))
+    return pack(token_pieces(docs, capacity, path), capacity)
