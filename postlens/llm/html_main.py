@@ -1,9 +1,10 @@
 """Main text of web pages by site template removal.
 
-A tolerant parser turns each page into blocks of text and the chain of elements around each block.
-Elements' subtrees are hashed and counted per host; a subtree that recurs on many of a host's
-pages is template and goes, unless it is flow content of the page's article. Elements whose tag,
-role or name says that they are no main text go on every page.
+A tolerant parser turns each page into blocks of text and a tree of the elements around them.
+Elements' subtrees are hashed and counted per host; a subtree that recurs on many of a host's pages
+is template and goes, unless it holds most of its page's or much of its article's text, or is a
+paragraph, heading or the like of an article. Elements whose tag, role or whole class name says
+that they are no main text go on every page; a name counts for less than an article inside.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import lean, materialize
 
-#: A subtree is template from so many pages of its host and this share of them.
-PAGES, SHARE = 3, 0.2
+#: A subtree is template from so many pages of its host and this share of them, or from many pages of a large host.
+PAGES, SHARE, MANY = 3, 0.2, 50
+#: A subtree with more of its page's or of its article's text is content.
+OF_PAGE, OF_ARTICLE = 0.5, 0.3
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAME = re.compile(r"""\b(class|id|role|aria-label|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 #: White space of HTML and of Unicode alike is one space.
@@ -30,84 +34,90 @@ _AWAY = {"nav", "header", "footer", "aside", "form", "head", "menu", "dialog", "
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _FLOW = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "table", "thead", "tbody", "tr", "td", "th", "figure", "figcaption", "br", "hr"} | _INLINE
+_PROSE = _FLOW - {"ul", "ol", "dl", "table", "figure"}
 _ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alertdialog", "alert", "toolbar"}
-_BAD = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav(?:bar|igation)?|menu|breadcrumbs?|header|masthead|footer|sidebar|side|widget|cookies?(?:-?(?:bar|banner|notice|consent))?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|social|share|sharing|related|recommended|comments?|disqus|replies|respond|pagination|pager|toolbar|skip|copyright|disclaimer)(?:$|[^a-z])"
+#: Whole class names and ids of what is no main text.
+_BAD = frozenset(
+    """ad ads advert adverts advertisement advertising ad-slot ad-container adsbygoogle sponsor sponsored promo promos promotion promotions banner
+    nav navbar navigation main-nav site-nav main-menu menu breadcrumb breadcrumbs header site-header page-header masthead footer site-footer page-footer
+    sidebar side widget widgets cookie cookies cookie-bar cookie-banner cookie-notice cookie-consent consent gdpr notice notices popup modal overlay
+    newsletter newsletter-signup subscribe subscription signup login social social-links share sharing share-buttons related related-posts recommended
+    comment comments comment-list comments-area disqus replies respond pagination pager toolbar skip skip-link copyright disclaimer""".split()
 )
+#: Names that inside an article may hold its title.
+_TITLES = frozenset(("header", "page-header", "masthead", "banner"))
 _ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul", "figure"}
 _SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-class _Element:
-    __slots__ = ("tag", "away", "main", "flow", "holds", "hash", "up", "size")
-
-    def __init__(self, tag: str, up: _Element | None, away: bool):
-        self.tag, self.up = tag, up
-        self.away = away or bool(up and up.away)
-        self.main = bool(up and up.main) or tag in ("article", "main")
-        self.flow = bool(up and up.flow) if not (tag in ("article", "main")) else True
-        if self.flow and tag not in _FLOW and tag not in ("article", "main", "section", "div", "header"):
-            self.flow = False
-        self.holds = False  # an article or main
-        while tag in ("article", "main") and up is not None:
-            up.holds, up = True, up.up
-        self.hash, self.size = xxhash.xxh64(tag), 0
-
-
-def _unwanted(tag: str, attrs: str) -> bool:
-    if tag in _AWAY:
-        return True
-    if not attrs or tag in ("html", "body", "article", "main"):
-        return False
-    for m in _NAME.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLE:
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id") and _BAD.search(value.replace("_", "-")):
-            return True
-    return False
-
-
-def parse(page: str) -> tuple[list[tuple[str, list[int], bool]], list[int]]:
-    """Blocks (text, elements around it that may be template, whether inside an article), and the elements' hashes."""
-    stack: list[_Element] = [_Element("html", None, False)]
-    done: list[_Element] = []
-    index: dict[int, int] = {}
-    blocks: list[tuple[str, list[_Element], bool]] = []
-    parts: list[str] = []
-    owner: list[_Element] = [stack[0]]
+class _Page:
+    """What one page's parse has found: elements in the order they open, blocks in page order."""
+
+    def __init__(self) -> None:
+        self.tag, self.up, self.hard, self.named, self.main, self.size, self.hash = ["html"], [-1], [False], [False], [-1], [0], [xxhash.xxh64("html")]
+        self.blocks: list[tuple[str, int]] = []
+
+    def open(self, tag: str, up: int, hard: bool, named: bool) -> int:
+        e = len(self.tag)
+        self.tag.append(tag)
+        self.up.append(up)
+        self.hard.append(hard)
+        self.named.append(named)
+        self.main.append(self.main[up] if self.main[up] >= 0 or tag not in ("article", "main") else e)  # the outermost article around
+        self.size.append(0)
+        self.hash.append(xxhash.xxh64(tag))
+        return e
+
+    def close(self, e: int) -> None:
+        self.hash[self.up[e]].update(self.hash[e].digest())
+        self.size[self.up[e]] += self.size[e]
+
+
+def _unwanted(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is no main text by its tag, role or state, and whether by its name."""
+    hard, named = tag in _AWAY and not (tag == "header" and in_article), False  # an article's own header holds its title
+    if attrs and tag not in ("html", "body", "article", "main"):
+        for m in _NAME.finditer(attrs):
+            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLE:
+                hard = True
+            elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                hard = True
+            elif name in ("class", "id"):
+                found = _BAD.intersection(value.replace("_", "-").split())
+                named |= bool(found - _TITLES if in_article else found)
+    return hard, named
+
+
+def _read(page: str) -> _Page:
+    out = _Page()
+    stack, parts, owner, seen = [0], [], 0, False
 
     def text_of(raw: str) -> None:
+        nonlocal owner, seen
         if raw:
             top = stack[-1]
-            if not top.away:
-                if not parts or not "".join(parts).strip():
-                    owner[0] = top
-                parts.append(html.unescape(raw))
-            top.hash.update(raw)
-            top.size += 1
+            if not seen and not raw.isspace():
+                owner, seen = top, True
+            parts.append(html.unescape(raw))
+            out.hash[top].update(raw)
+            out.size[top] += len(raw)
 
     def flush() -> None:
-        line = _SPACE.sub(" ", "".join(parts)).strip()
-        parts.clear()
-        if line:
-            chain, at = [], owner[0]
-            while at is not None:
-                chain.append(at)
-                at = at.up
-            blocks.append((line, chain, owner[0].main))
+        nonlocal seen
+        if parts:
+            line = _SPACE.sub(" ", "".join(parts)).strip()
+            parts.clear()
+            seen = False
+            if line:
+                out.blocks.append((line, owner))
 
     def close(n: int) -> None:
         while len(stack) > n:
             e = stack.pop()
-            if e.tag not in _INLINE:
+            if out.tag[e] not in _INLINE:
                 flush()
-            if e.up is not None:
-                e.up.hash.update(e.hash.digest())
-                e.up.size += e.size
-            done.append(e)
+            out.close(e)
 
     at, end = 0, len(page)
     while at < end:
@@ -124,23 +134,24 @@ def parse(page: str) -> tuple[list[tuple[str, list[int], bool]], list[int]]:
         tag = m[3].lower()
         if m[2]:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
+                if out.tag[stack[k]] == tag:
                     close(k)
                     break
-                if tag in _INLINE and stack[k].tag not in _INLINE:
+                if tag in _INLINE and out.tag[stack[k]] not in _INLINE:
                     break  # an inline end tag closes no block
             else:
                 if tag == "p":
                     flush()
             continue
-        if tag in _RAW and not m[4].rstrip().endswith("/"):
+        closed = m[4].rstrip().endswith("/")
+        if tag in _RAW and not closed:
             gone = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            stack[-1].hash.update(tag)
+            out.hash[stack[-1]].update(tag)
             at = gone.end() if gone else (end if tag in ("script", "style", "textarea", "title") else at)
             continue
         if tag in ("br", "hr"):
             flush()
-            stack[-1].hash.update(tag)
+            out.hash[stack[-1]].update(tag)
             continue
         if tag in _VOID:
             continue
@@ -150,65 +161,101 @@ def parse(page: str) -> tuple[list[tuple[str, list[int], bool]], list[int]]:
             continue
         if tag in _ENDS_P or tag in _SELF:
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p" and tag in _ENDS_P or stack[k].tag in _SELF.get(tag, ()):
+                open_ = out.tag[stack[k]]
+                if open_ == "p" and tag in _ENDS_P or open_ in _SELF.get(tag, ()):
                     close(k)
                     break
-                if stack[k].tag not in _INLINE and stack[k].tag not in ("td", "th") or tag in ("li", "dt", "dd") and stack[k].tag in ("ul", "ol", "dl"):
+                if open_ not in _INLINE and open_ not in ("td", "th") or tag in ("li", "dt", "dd") and open_ in ("ul", "ol", "dl"):
                     break
         if tag not in _INLINE:
             flush()
-        away = _unwanted(tag, m[4])
-        if tag in ("header", "footer") and any(e.tag == "article" for e in stack) and not _BAD.search(m[4].lower()) and tag == "header":
-            away = False  # an article's own header holds its title
-        if away and tag not in _INLINE:
+        hard, named = _unwanted(tag, m[4], out.main[stack[-1]] >= 0)
+        if hard or named:
             flush()
-        if m[4].rstrip().endswith("/") and tag not in _INLINE and tag not in _FLOW and tag not in ("div", "section", "article", "main"):
+        if closed and tag not in _INLINE and tag not in _FLOW and tag not in ("div", "section", "article", "main"):
             continue
-        stack.append(_Element(tag, stack[-1], away))
-    close(0)
+        stack.append(out.open(tag, stack[-1], hard, named))
+    close(1)
     flush()
-    hashes: list[int] = []
-    for e in done:
-        if not e.away and e.up is not None and e.size and not e.flow and not e.holds and e.tag not in ("article", "main"):
-            index[id(e)] = len(hashes)
-            h = e.hash.intdigest()
-            hashes.append(h - (1 << 64) if h >> 63 else h)
-    return [(t, [index[id(e)] for e in chain if id(e) in index], main) for t, chain, main in blocks], hashes
+    return out
+
+
+def parse(page: str) -> tuple[list[str], list[int], list[int], list[int]]:
+    """Blocks, the innermost element around each that may be template (-1: none), those elements' parents of their kind, and their hashes.
+
+    Blocks of what is no main text are left out. Where the page has an article or main, its text is
+    all there is, if need be in spite of a name around it; where names leave nothing, they count for nothing.
+    """
+    x = _read(page)
+    n = len(x.tag)
+    holds = [False] * n  # an article or main
+    for e in range(n - 1, 0, -1):
+        holds[x.up[e]] |= holds[e] or x.tag[e] in ("article", "main")
+    strict, soft, hard = ([False] * n for _ in range(3))
+    for e in range(1, n):
+        up = x.up[e]
+        hard[e] = hard[up] or x.hard[e]
+        soft[e] = soft[up] or x.hard[e] or x.named[e] and not holds[e]
+        strict[e] = strict[up] or x.hard[e] or x.named[e]
+    kept: list[tuple[str, int]] = []
+    for away, main in ((strict, True), (soft, True), (strict, False), (hard, False)):
+        kept = [(t, e) for t, e in x.blocks if not away[e] and (x.main[e] >= 0 or not main)]
+        if kept:
+            break
+    near, ups, hashes = [-1] * n, [], []
+    for e in range(1, n):
+        near[e] = near[x.up[e]]
+        inside, tag = x.main[e], x.tag[e]
+        if not x.size[e] or away[e] or holds[e] or inside == e or tag in _INLINE or inside >= 0 and tag in _PROSE:
+            continue
+        if x.size[e] > OF_PAGE * x.size[0] or inside >= 0 and x.size[e] > OF_ARTICLE * x.size[inside]:
+            continue
+        h = x.hash[e].intdigest()
+        ups.append(near[e])
+        near[e] = len(hashes)
+        hashes.append(h - (1 << 64) if h >> 63 else h)
+    return [t for t, _ in kept], [near[e] for _, e in kept], ups, hashes
 
 
 def _parse_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
     for b in batches:
-        texts, chains, mains, hashes = [], [], [], []
-        for x in b.column(2).to_pylist():
-            found, h = parse(x or "")
-            texts.append([t for t, _, _ in found])
-            chains.append([[h[k] for k in c] for _, c, _ in found])
-            mains.append([m for _, _, m in found])
-            hashes.append(list(set(h)))
-        kinds = (pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.bool_()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *[pa.array(c, k) for c, k in zip((texts, chains, mains, hashes), kinds)]], ["page_id", "url", "page", "texts", "around", "main", "hashes"])
-
-
-def main_text(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE) -> DataFrame:
+        cols = list(zip(*[parse(x or "") for x in b.column(2).to_pylist()])) or [()] * 4
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["page_id", "url", "page", "texts", "within", "ups", "hashes"])
+
+
+def _text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, url, texts, within, ups, hashes, gone) to (page_id, url, text)."""
+    for b in batches:
+        out = []
+        for texts, within, ups, hashes, gone in zip(*[b.column(k).to_pylist() for k in range(2, 7)]):
+            if gone:
+                known, away = set(gone), np.zeros(len(hashes) + 1, bool)  # the last stands for none
+                for e, (up, h) in enumerate(zip(ups, hashes)):
+                    away[e] = away[up] or h in known
+                texts = [t for t, e in zip(texts, within) if not away[e]]
+            out.append("\n".join(texts))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
+
+
+def main_text(pages: DataFrame, least_pages: int = PAGES, share: float = SHARE, many: int = MANY) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages (page_id, url, html).
 
     Blocks stand in page order, joined by one newline. If a page has an article or main element,
     its text is that element's; otherwise all that is no template. Null and empty pages have an
-    empty text. Pages whose url is null or has no host count as one host. Repeated rows are
-    returned each, and pages of one html count as one page of a host; other columns are ignored; no rows give no rows.
+    empty text; pages of any length and depth are read whole. Pages whose url is null or has no host
+    count as one host. Repeated rows are returned each, and pages of one html count as one page of
+    a host; other columns are ignored; no rows give no rows.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     parsed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), F.xxhash64(F.col("html").cast("string")).alias("page"))
-    parsed = parsed.mapInArrow(lean(_parse_all), "page_id long, url string, page long, texts array<string>, around array<array<long>>, main array<boolean>, hashes array<long>")
+    parsed = parsed.mapInArrow(lean(_parse_all), "page_id long, url string, page long, texts array<string>, within array<int>, ups array<int>, hashes array<long>")
     parsed = materialize(parsed.withColumn("host", host).withColumn("row", F.monotonically_increasing_id()))
-    subtrees = parsed.select("host", "row", "page", F.explode("hashes").alias("hash"))
+    subtrees = parsed.select("host", "row", "page", F.explode(F.array_distinct("hashes")).alias("hash"))
     seen = subtrees.groupBy("host", "hash").agg(F.countDistinct("page").alias("pages")).where(F.col("pages") >= least_pages)
     size = parsed.groupBy("host").agg(F.countDistinct("page").alias("of"))
-    template = seen.join(size, "host").where(F.col("pages") >= share * F.col("of")).select("host", "hash")
+    template = seen.join(size, "host").where(F.col("pages") >= F.least(share * F.col("of"), F.lit(float(many)))).select("host", "hash")
     hit = materialize(subtrees.join(template, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone")))  # of known size: sent whole only if small
-    none = F.array().cast("array<long>")
-    kept = parsed.join(hit, "row", "left").withColumn("gone", F.coalesce("gone", none))
-    has_main = F.exists("main", lambda m: m)
-    blocks = F.filter(F.arrays_zip("texts", "around", "main"), lambda b: ~F.arrays_overlap(b["around"], F.col("gone")) & (b["main"] | ~has_main))
-    text = F.array_join(F.transform(blocks, lambda b: b["texts"]), "\n")
-    return kept.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    kept = parsed.join(hit, "row", "left").select("page_id", "url", "texts", "within", "ups", "hashes", "gone")
+    text = kept.mapInArrow(lean(_text), "page_id long, url string, text string")
+    return text.withColumn("n_chars", F.length("text").cast("long"))
