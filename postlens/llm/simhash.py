@@ -21,12 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, edge_batch, lean, materialize, runs
+from .common import Forest, edge_batch, fresh, lean, materialize, runs
 from .components import connected_components
 
 BITS, SEGMENTS, TAU, WORDS, SEED = 64, 9, 4, 4, 42
-#: Fingerprints of one bucket that a task compares itself; larger buckets are split.
-BUCKET = 4_096
+#: Fingerprints of one bucket that a task compares itself, larger buckets being split; nodes of a task's forest.
+BUCKET, MEMBERS = 4_096, 500_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -168,6 +168,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             large = held[0][0], held[1][0]
             yield out(1, held[0].astype("i4"), held[1], held[2])
             held = None
+        if len(forest.up) > MEMBERS:  # bounds it; what is cut here the star steps join
+            u, v = forest.edges()
+            yield out(0, np.zeros(len(u), "i4"), u, v)
+            forest = Forest()
     if held is not None and large is None:
         work(*held)
     u, v = forest.edges()
@@ -185,6 +189,9 @@ def _meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = runs(*cols[:4])
         for i, j in zip(cut[:-2], cut[1:-1]):
             _one_block(cols, i, j, forest)
+        if len(forest.up) > MEMBERS:
+            yield edge_batch(*forest.edges())
+            forest = Forest()
         held = [c[cut[-2] :] for c in cols]
     if held is not None:
         _one_block(held, 0, len(held[0]), forest)
@@ -249,8 +256,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest doc_id.
 
     Repeated rows of that doc_id stay; a document without doc_id stays only where its component
-    has no doc_id at all.
+    has no doc_id at all. Null, empty and blank texts are copies of one another. Columns stay,
+    whatever their names; no rows give no rows.
     """
     found = simhash_components(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi")
+    (mine,) = fresh(docs, "kept_doc")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(mine)).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col(mine)), "left_semi")
