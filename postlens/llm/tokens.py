@@ -1,7 +1,8 @@
 """Token counts and ids by a map-side two-tier lookup.
 
 A byte-level BPE splits a text into pre-tokens that never reach across a single space standing
-between two other characters, so a text may be cut there and each piece encoded alone. Tier one
+between two other characters, so a text may be cut there and each piece, of one pre-token or a few,
+encoded alone. Tier one
 is a compact table of frequent pieces, built from a bounded sample of rows and broadcast; what
 it lacks is encoded once per worker and kept in tier two, a bounded cache. Nothing is shuffled,
 and the sample decides only which pieces are found early, never a count.
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import lean
 
-#: Rows sampled for tier one and their longest, the pieces it holds, and the most that a worker's cache holds.
-SAMPLE_ROWS, SAMPLE_CHARS, FREQUENT, CACHE = 1_000, 16_384, 20_000, 500_000
+#: Rows sampled for tier one and their longest, the pieces it holds, and the most that a worker's cache holds, with the longest.
+SAMPLE_ROWS, SAMPLE_CHARS, FREQUENT, CACHE, LONGEST = 1_000, 16_384, 20_000, 500_000, 64
 #: Fixed value: how a byte-level pre-tokenizer splits a text.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Python's white space holds all of the tokenizer's, so a cut is never inside a run of it.
@@ -80,24 +81,27 @@ def _bytes(ids: list[int]) -> bytes:
 
 
 class _Tier(dict):
-    """Frequent pieces first, then a bounded cache, in two generations, of what was encoded on a miss."""
+    """Tier one, and a bounded cache, in two generations, of what was looked up or encoded; long pieces are not kept."""
 
     def __init__(self, encode, lead: str, frequent: dict):
-        super().__init__(frequent)
-        self.encode, self.lead, self.old = encode, lead, dict(frequent)
+        super().__init__()
+        self.encode, self.lead, self.frequent, self.old = encode, lead, frequent, {}
 
     def __missing__(self, piece: str):
-        if len(self) > CACHE // 2:
-            self.old = dict(self)
-            self.clear()
-        found = self.old.get(piece)
+        found = self.frequent.get(piece)
+        if found is None:
+            found = self.old.get(piece)
         if found is None:
             end = piece[-1:]
             if end in (",", ".") and piece[:-1].isalpha():  # letters and a mark are pre-tokens of their own
                 found = self[piece[:-1]] + self.encode(end)
             else:
                 found = self.encode(self.lead + piece)
-        self[piece] = found
+        if len(piece) <= LONGEST:
+            if len(self) > CACHE // 2:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = found
         return found
 
 
