@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.llm.common import materialize, table
-from postlens.llm.mixing import mix
+from postlens.llm.mixing import lay_out, mix
 from postlens.llm.packing import pack_documents
 from postlens.llm.paragraphs import remove_passages
 from postlens.llm.quality import keep_good
@@ -33,13 +33,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; where it takes a part, that part's words."""
-    taken = mix(docs).where("_words > 0")
+    """Documents as often as the mix's shards draw them, shard by shard and shuffled inside; where one takes a part, that part's words."""
+    taken = mix(docs).where("_whole or _words > 0")
     words = F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))
     part = F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), "")
-    cut = F.when(F.col("_words") < F.col("_size"), part).otherwise(F.col("text"))
-    taken = taken.withColumn("text", cut).withColumn("n_chars", F.length("text").cast("long"))
-    return taken.select(*docs.columns)
+    taken = taken.withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(part)).withColumn("n_chars", F.length("text").cast("long"))
+    return lay_out(taken).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
