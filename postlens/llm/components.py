@@ -53,5 +53,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         discard(before)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            found = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            found._written = e._written  # for discard()
+            return found
         mark = now

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, chunks, edge_batch, fresh, lean, materialize, runs
+from .common import Forest, chunks, discard, edge_batch, fresh, lean, materialize, runs
 from .components import connected_components
 
 #: Shingle words, similarity, recall of the bands at it, rows of a band.
@@ -199,7 +199,7 @@ class Units:
 def anchors(h: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Word ranges [anchor, 2] of the chosen grams of GRAM words: one at least of any WINDOW neighbours in one text.
 
-    Equal grams that begin with neighbouring words, where a word repeats itself, are one longer range.
+    Equal grams that touch, where words repeat themselves, are one longer range.
     """
     n = len(h) - GRAM + 1
     if n < WINDOW:
@@ -217,7 +217,7 @@ def anchors(h: np.ndarray, of: np.ndarray) -> np.ndarray:
     low = np.minimum(low[:m], low[WINDOW - size : WINDOW - size + m])
     p = np.flatnonzero(of[:m] == of[GRAM + WINDOW - 2 :][:m])
     p = np.unique(p + ((low[p] & np.uint64(0xFFFFFF)).astype(np.int64) - p & 0xFFFFFF))
-    new = np.append(True, (p[1:] != p[:-1] + 1) | (x[p[1:]] != x[p[:-1]]) | (of[p[1:]] != of[p[:-1]]))[: len(p)]
+    new = np.append(True, (p[1:] > p[:-1] + GRAM) | (x[p[1:]] != x[p[:-1]]) | (of[p[1:]] != of[p[:-1]]))[: len(p)]
     return np.stack([p[new], np.append(p[:-1][new[1:]], p[-1:]) + GRAM], 1)
 
 
@@ -345,8 +345,10 @@ def _settle(w: Words, r: np.ndarray, seq: np.ndarray, digest: np.ndarray, doc: n
     heads = np.flatnonzero(new)
     first = heads[np.cumsum(new) - 1]
     other = of != of[first]
+    shared = heads[np.logical_or.reduceat(other, heads)]
+    other |= banded & _within(seq) & ~new  # a paragraph goes even where its own document repeats it
     kind = np.where(other, np.where(banded, _OTHER, _AGAIN), _OPEN)
-    kind[heads[np.logical_or.reduceat(other, heads)]] = _SHARED
+    kind[shared] = _SHARED
     full, back = banded & ~other, other & ~banded
     sizes = np.where(full, BANDS + 1, np.where(back, 3, 0))
     at = np.cumsum(sizes) - sizes
@@ -628,7 +630,7 @@ def _alike(a: str, b: str) -> Column:
     return (F.array_position(F.concat(equal, F.array(F.lit(False))), F.lit(False)) - 1).cast("int")
 
 
-def _anchored(docs: DataFrame, met: DataFrame) -> DataFrame:
+def _anchored(docs: DataFrame, met: DataFrame, tables: list[DataFrame]) -> DataFrame:
     """(row, doc, start, end, n, seq, clusters, first) of the stretches of anchors and of what they are extended by.
 
     A stretch is extended against the documents that its outer anchors' firsts stand in; where a
@@ -641,6 +643,7 @@ def _anchored(docs: DataFrame, met: DataFrame) -> DataFrame:
     asked = asked.groupBy("doc", "row").agg(F.collect_list(F.struct("side", "place")).alias("asked"))
     around = docs.join(asked, ["doc", "row"]).select("doc", "row", "text", "asked").mapInArrow(lean(_around), _AROUND)
     around = materialize(around.dropDuplicates(["doc", "row", "side", "place"]))
+    tables += [stretches, around]
     first = around.select(F.col("doc").alias("fdoc"), F.col("row").alias("frow"), "side", F.col("place").alias("fplace"), F.col("edge").alias("fedge"), F.col("words").alias("fwords"), F.col("chars").alias("fchars"))
     more = sides.join(around, ["doc", "row", "side", "place"]).join(first, ["fdoc", "frow", "side", "fplace"]).withColumn("n", _alike("words", "fwords")).where("n > 0")
     left = F.col("side") == 0
@@ -699,7 +702,7 @@ def passages(docs: DataFrame, anywhere: bool = True) -> DataFrame:
 
     start and end are places in the text. anywhere: whether passages that begin and end inside
     units are found too, by anchors. clusters are all that touch the passage, cluster the one of its
-    largest unit.
+    largest unit. The passages are written, and nothing else that this writes on the way is left.
     """
     doc, row = _identity(docs)
     docs = docs.select(row.alias("row"), doc.alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -719,18 +722,22 @@ def passages(docs: DataFrame, anywhere: bool = True) -> DataFrame:
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "digest").join(sets, "digest").select("bucket", "i", "j", "digest", "set")
     links = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_verify, "u long, v long")
     roots = connected_components(links)
+    discard(buckets)
+    discard(sets)
 
     # of a cluster, the occurrence in the smallest (doc, row, start) is kept
     alike = materialize(roots.select(F.col("node").alias("digest"), F.col("root").alias("cluster")).unionByName(roots.select(F.col("root").alias("digest"), F.col("root").alias("cluster")).distinct()))
+    discard(roots)
     place = ["digest", "doc", "row", "start", "end", "n", "seq", "kind"]
-    clustered = materialize(firsts.select(*place).join(alike, "digest"))
-    least = clustered.groupBy("cluster").agg(F.min(F.struct("doc", "row", "start")).alias("least"))
+    near = materialize(firsts.select(*place).join(alike, "digest"))
+    least = near.groupBy("cluster").agg(F.min(F.struct("doc", "row", "start")).alias("least"))
     # a sentence stays where its own document holds the first
     own = (F.col("seq") % 2 == 0) & F.coalesce((F.col("doc") == F.col("least.doc")) & (F.col("row") == F.col("least.row")), F.col("kind") == _OWN)
-    clustered = clustered.join(least, "cluster").withColumn("first", F.struct("doc", "row", "start") == F.col("least")).where(F.col("first") | ~own)
+    clustered = near.join(least, "cluster").withColumn("first", F.struct("doc", "row", "start") == F.col("least")).where(F.col("first") | ~own)
     clustered = materialize(clustered.select(*place, "cluster", "first"))
     again = met.where(f"kind in ({_OTHER}, {_OWN})").select(*place).join(alike, "digest", "left").withColumn("cluster", F.coalesce("cluster", "digest")).join(least, "cluster", "left")
     again = materialize(again.where(~own).select(*place, "cluster"))
+    tables = [met, alike, near, clustered, again]
     repeated = again.select("digest").distinct().join(clustered.select("digest"), "digest", "left_anti")
     alone = firsts.select(*place).join(repeated, "digest", "left_semi")
     cols = ["row", "doc", "start", "end", "n", "seq", "clusters", "first"]
@@ -741,12 +748,15 @@ def passages(docs: DataFrame, anywhere: bool = True) -> DataFrame:
         .unionByName(by(again, "cluster").withColumn("first", F.lit(False)).select(*cols))
     )
     if anywhere:
-        found = found.unionByName(_anchored(docs, met).select(*cols))
+        found = found.unionByName(_anchored(docs, met, tables).select(*cols))
     else:
         plain = by(met.where(f"kind in ({_AGAIN}, {_HEAD})"), "digest")
         found = found.unionByName(plain.withColumn("first", F.col("kind") == _HEAD).select(*cols))
     grouped = found.groupBy("row", "doc").agg(F.collect_list(F.struct("start", "end", "n", "seq", "clusters", "first")).alias("found"))
-    return grouped.select("row", "doc", "found").mapInArrow(lean(_spans), "row long, doc long, start int, end int, n_words int, cluster long, kept boolean, clusters array<long>")
+    done = materialize(grouped.select("row", "doc", "found").mapInArrow(lean(_spans), "row long, doc long, start int, end int, n_words int, cluster long, kept boolean, clusters array<long>"))
+    for t in tables:
+        discard(t)
+    return done
 
 
 def repeated_passages(docs: DataFrame, anywhere: bool = False) -> DataFrame:
