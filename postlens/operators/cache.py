@@ -35,3 +35,12 @@ def known(posts: DataFrame, results: DataFrame) -> DataFrame:
 def unknown(posts: DataFrame, results: DataFrame) -> DataFrame:
     """One post of each content that has no result yet: what there is to analyse."""
     return posts.join(results.select("contentHash"), "contentHash", "left_anti").dropDuplicates(["contentHash"])
+
+
+def stored(cache: DataFrame, results: DataFrame, now: Column, ttl: int, most: int) -> DataFrame:
+    """The cache (contentHash, stored_at in ms, result) after results are put in: the newest of a hash, fresh ones only, most of them."""
+    from ..streaming.limits import fresh, within_capacity
+
+    both = cache.unionByName(results)
+    newest = both.groupBy("contentHash").agg(F.max_by(F.struct(*both.columns), "stored_at").alias("_r")).select("_r.*")
+    return within_capacity(fresh(newest, now, ttl).withColumn("key", F.col("contentHash")), most).drop("key")

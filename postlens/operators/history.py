@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as P
@@ -55,6 +55,34 @@ def near_duplicates(title: Column, body: Column, items: Column) -> Column:
     return F.filter(items, near)
 
 
+def numbered(docs: DataFrame, by: str, order: str, cell: int = 1 << 20) -> DataFrame:
+    """docs with place, their number (from 0) by order among those of the same by, counted cell by cell."""
+    cells = F.floor(F.col(order) / cell)
+    inside = F.row_number().over(Window.partitionBy(by, cells).orderBy(order)) - 1
+    counts = docs.groupBy(F.col(by).alias("_by"), cells.alias("_cell")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_by").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_by", "_cell", before.alias("_start"))
+    found = docs.withColumn("_inside", inside).join(starts, (F.col(by) == F.col("_by")) & (cells == F.col("_cell")))
+    return found.withColumn("place", F.col("_start") + F.col("_inside")).drop("_by", "_cell", "_start", "_inside")
+
+
+def near_posts(posts: DataFrame, by: str, order: str, most: int = 100) -> DataFrame:
+    """(order, other): each post (title, body, excerpt) and those of the most before it, of the same by, that say nearly the same.
+
+    Word sets are made once for each post, of 64-bit hashes of words; the texts stay behind. Posts without by take no part.
+    """
+    words = lambda c: F.transform(X.unicode_words(F.coalesce(c, F.lit(""))), lambda w: F.xxhash64(w))
+    sets = posts.where(F.col(by).isNotNull()).select(order, by, words(F.col("title")).alias("t"), words(F.left("body", F.lit(1500))).alias("b"), words(F.col("excerpt")).alias("e"))
+    sets = numbered(sets, by, order)
+    mine = sets.where((F.size("t") >= 5) | (F.size("b") >= 20)).select(order, by, "t", "b", F.explode(F.sequence(F.greatest(F.lit(0), F.col("place") - most), F.col("place"))).alias("place_"))
+    other = sets.select(F.col(by).alias("by_"), F.col("place").alias("at"), F.col(order).alias("other"), F.col("t").alias("t2"), F.col("e").alias("e2"))
+    size = lambda a, b: F.least(F.size(a), F.size(b)) >= NEAR * F.greatest(F.size(a), F.size(b))
+    pairs = mine.join(other, (F.col(by) == F.col("by_")) & (F.col("place_") == F.col("at"))).where(F.col("other") != F.col(order))
+    by_title = F.when((F.size("t") >= 5) & size("t", "t2"), X.overlap(F.col("t"), F.col("t2")) >= NEAR).otherwise(False)
+    by_body = F.when((F.size("b") >= 20) & (F.size("e2") >= 15) & size("b", "e2"), X.overlap(F.col("b"), F.col("e2")) >= NEAR).otherwise(False)
+    return pairs.where(by_title | by_body).select(order, "other")
+
+
 def with_history_facts(df: DataFrame) -> DataFrame:
     """Adds the other submissions and comments, and which of them concern the post's product."""
     h = F.col("authorHistory")

@@ -18,6 +18,7 @@ from .catalog import BY_ID, SIGNAL, criterion, signal
 from .history import quotable
 from .scoring import clamp, reach, score_signals, undisclosed_risk
 
+SIGNAL_LIST = f"array<{SIGNAL}>"
 LEAST, FULL, PART, OBSERVATIONS = 0.6, 0.85, 0.6, 3
 OUTPUT = "struct<signals: array<struct<id: string, quote: string, confidence: double, note: string>>, retract: array<struct<id: string, reason: string>>, observations: array<struct<quote: string, direction: string, note: string, confidence: double>>>"
 ELIGIBLE = [c["id"] for c in BY_ID.values() if c["category"] in P.JUDGMENT and c["availability"] != "unavailable" and not c["requiresVerification"]]
@@ -25,7 +26,7 @@ ELIGIBLE = [c["id"] for c in BY_ID.values() if c["category"] in P.JUDGMENT and c
 
 def parse_output(raw: Column) -> Column:
     """A model's raw answer as OUTPUT; null if it is no JSON of that shape or passes its limits."""
-    plain = F.regexp_replace(F.regexp_replace(X.trim_all(raw), r"(?i)\A```(?:json)?\s*", ""), r"\s*```\z", "")
+    plain = _json(raw)
     out = F.from_json(plain, OUTPUT, {"mode": "PERMISSIVE"})
     list_ = lambda c, kind: F.coalesce(c, F.array().cast(kind))
     sized = lambda c, low, high: F.coalesce(F.length(c).between(low, high), F.lit(False))
@@ -123,10 +124,76 @@ def mock(df: DataFrame) -> DataFrame:
     return score_signals(df.withColumn("signals", F.concat("signals", note)), "api")
 
 
-def direct_result(df: DataFrame, score: str = "model_score", disclosure: str = "model_disclosure") -> DataFrame:
-    """A model's own score and disclosure, clamped and bounded; reach stays the rules'."""
-    df = df.withColumn("promoLikelihood", clamp(F.col(score).cast("double"))).withColumn("disclosure", F.when(F.col(disclosure).isin("clear", "unclear", "missing", "unknown"), F.col(disclosure)).otherwise("unknown"))
-    return df.withColumns({"label": X.score_label(F.col("promoLikelihood")), "undisclosedRisk": undisclosed_risk(F.col("promoLikelihood"), F.col("disclosure")), "reach": reach(), "source": F.lit("api")})
+DIRECT = "struct<promoLikelihood: double, disclosure: string, undisclosedRisk: string, confidence: string, reasons: array<string>, evidence: array<struct<quote: string, criterionId: string>>, note: string>"
+
+
+def _json(raw: Column) -> Column:
+    """A model's answer without the fence around it."""
+    return F.regexp_replace(F.regexp_replace(X.trim_all(raw), r"(?i)\A```(?:json)?\s*", ""), r"\s*```\z", "")
+
+
+def parse_direct(raw: Column) -> Column:
+    """A model's own verdict as DIRECT; null if it is no JSON of that shape or passes its limits."""
+    plain = _json(raw)
+    out = F.from_json(plain, DIRECT, {"mode": "PERMISSIVE"})
+    within = lambda c, low, high: F.coalesce(c.between(low, high), F.lit(False))
+    levels = ["low", "medium", "high"]
+    evidence = F.coalesce(out["evidence"], F.array().cast("array<struct<quote: string, criterionId: string>>"))
+    ok = (
+        plain.rlike(r"\A\{")
+        & within(out["promoLikelihood"], 0, 100)
+        & F.coalesce(out["disclosure"].isin("clear", "unclear", "missing", "unknown"), F.lit(False))
+        & (out["undisclosedRisk"].isNull() | out["undisclosedRisk"].isin(levels))
+        & F.coalesce(out["confidence"].isin(levels), F.lit(False))
+        & within(F.size(out["reasons"]), 1, 3)
+        & F.coalesce(F.forall(out["reasons"], lambda r: within(F.length(r), 3, 200)), F.lit(False))
+        & (F.size(evidence) <= 12)
+        & F.coalesce(F.forall(evidence, lambda e: within(F.length(e["quote"]), 3, 240) & (e["criterionId"].isNull() | (F.length(e["criterionId"]) <= 64))), F.lit(False))
+        & (out["note"].isNull() | (F.length(out["note"]) <= 300))
+    )
+    return F.when(out.isNotNull() & F.try_parse_json(plain).isNotNull() & ok, out.withField("evidence", evidence))
+
+
+def _noted(id: str, explanation: Column, excerpt: Column) -> Column:
+    """A weightless signal that is no criterion's."""
+    return F.struct(
+        F.lit(id).alias("id"), F.lit("availability").alias("category"), explanation.alias("explanation"), F.lit(0.0).alias("weight"), F.lit("api").alias("evidenceSource"), F.lit(True).alias("verified"),
+        F.array(F.lit("confidence")).alias("affects"), F.lit("info").alias("strength"), F.lit(None).cast("string").alias("correlationGroup"), excerpt.alias("excerpt"), F.lit(None).cast("string").alias("sourceUrl"),
+    )
+
+
+def direct_result(df: DataFrame, output: str = "output", model: str = "model") -> DataFrame:
+    """A model's own verdict (DIRECT) as a result: quotes must stand in the post, reach stays the rules'.
+
+    Signals are those quotes and a note; rows whose output is null get a null result.
+    """
+    df = df.select(*[c for c in df.columns if c != "signals"])
+    out, name = F.col(output), F.col(model) if model in df.columns else F.lit("model")
+    post = X.normalize_for_match(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit(""))))
+    df = df.withColumn("_post", post)
+    found = F.filter(out["evidence"], lambda e: F.contains("_post", X.normalize_for_match(e["quote"])))
+    df = df.withColumn("_found", found)
+    score = clamp(out["promoLikelihood"])
+    cited = F.transform("_found", lambda e: _noted("api.llm-direct-evidence", F.when(F.coalesce(e["criterionId"], F.lit("")) != "", F.concat(F.lit("Model cited "), e["criterionId"])).otherwise("Model-cited evidence"), _excerpt(e["quote"])))
+    lost = (F.size(out["evidence"]) - F.size("_found")).cast("string")
+    told = F.concat(
+        F.lit("EXPERIMENTAL: score produced directly by a language model ("), name, F.lit("); "), F.size("_found").cast("string"), F.lit(" quote(s) verified, "), lost, F.lit(" could not be found in the post"),
+        F.when(F.coalesce(out["note"], F.lit("")) != "", F.concat(F.lit(". Model note: "), X.sanitize_note(out["note"]))).otherwise(""),
+    )
+    there = out.isNotNull()
+    only = lambda c: F.when(there, c)
+    df = df.withColumns({"promoLikelihood": only(score), "disclosure": only(out["disclosure"])})
+    df = df.withColumns(
+        {
+            "label": only(X.score_label(F.col("promoLikelihood"))), "undisclosedRisk": only(F.coalesce(out["undisclosedRisk"], undisclosed_risk(F.col("promoLikelihood"), F.col("disclosure")))), "confidence": only(out["confidence"]), "reach": only(reach()),
+            "reasons": only(F.slice(F.transform(out["reasons"], lambda r: X.sanitize_note(r)), 1, 3)), "signals": only(F.concat(cited, F.array(_noted("api.llm-direct", told, F.lit(None).cast("string"))))), "analysisVersion": only(F.lit(P.VERSION)), "source": only(F.lit("api")),
+        }
+    )
+    return df.drop("_post", "_found")
+
+
+#: What gives a result for posts with signals (and, but for mock, a parsed output), by name.
+PROVIDERS: dict[str, Callable[[DataFrame], DataFrame]] = {"mock": mock, "witness": rescore, "direct": direct_result}
 
 
 def ask(df: DataFrame, complete: Callable[[str], str], prompt: str = "prompt") -> DataFrame:

@@ -11,14 +11,14 @@ from ..operators import evaluate, witness
 from ..operators.catalog import criteria
 from ..operators.comments import similar_pairs
 from ..operators.detectors import detect
-from ..operators.history import near_duplicates
+from ..operators.history import near_posts
 from ..operators.scoring import analyze, score_signals
 from ..operators.verdict import of_result
 from ..sources.pages import extract_posts
 from ..streaming import limits
-from .corpus import POSTS_SQL, as_sql_list, posts, quote
-
-
+from .corpus import AS_OF, POSTS_SQL, as_sql_list, posts, quote
+from . import pieces
+from .oracle import PRODUCT_NAMES_SQL, has, signals_sql
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -28,54 +28,27 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def post_scores(spark: SparkSession, d: str) -> DataFrame:
-    done = analyze(posts(spark, d), F.lit(1_700_000_000.0)).withColumn("verdict", of_result())
+    done = analyze(posts(spark, d), F.lit(float(AS_OF))).withColumn("verdict", of_result())
     return done.select("doc_id", "promoLikelihood", "label", "disclosure", "undisclosedRisk", "confidence", F.col("reach.level").alias("reach"), F.col("verdict.kind").alias("verdict"), "verdict.headline", "reasons", F.size("signals").alias("n_signals"))
 
 
-#: Signals that the text's patterns and plain columns decide, with their condition in SQL.
-_PRODUCT = f"(host <> '' AND NOT list_contains({as_sql_list(P.NON_PRODUCT_HOSTS)}, host) AND NOT ends_with(host, '.reddit.com'))"
-_M = lambda p, on="x": f"regexp_matches({on}, {quote(p)})"
-_N = lambda p, on="b": f"len(regexp_extract_all({on}, {quote(p)}))"
-_WORDS = "len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> ''))"
-PLAIN_SIGNALS = {
-    "cta.direct": _M(P.CTA),
-    "cta.coupon": f"({_M(P.COUPON)} OR {_M(P.CODE_TOKEN)})",
-    "cta.signup-benefit": _M(P.SIGNUP_BENEFIT),
-    "cta.waitlist": _M(P.WAITLIST),
-    "cta.comment-interested": _M(P.COMMENT_INTERESTED),
-    "cta.dm-request": _M(P.DM),
-    "cta.feedback-redirect": f"({_M(P.FEEDBACK)} AND {_PRODUCT} AND {_M(P.CTA)})",
-    "story.testimonial": _M(P.TESTIMONIAL),
-    "lang.hype-phrases": _M(P.HYPE),
-    "lang.transformation": _M(P.TRANSFORM),
-    "lang.slogans": _M(P.SLOGAN),
-    "lang.unsupported-performance": _M(P.PERFORMANCE),
-    "lang.pricing-details": _M(P.PRICING, "b"),
-    "lang.feature-focus": f"({_N(P.FEATURE)} >= 5 AND {_WORDS} >= 60)",
-    "lang.sales-page-format": f"({_N(P.BULLET)} >= 3 AND {_N(P.FEATURE)} >= 2)",
-    "disclosure.employment": _M(P.CLEAR_EMPLOYMENT),
-    "disclosure.material-benefit": _M(P.CLEAR_BENEFIT),
-    "disclosure.affiliate": _M(P.CLEAR_AFFILIATE),
-    "disclosure.brand-affiliate-label": "brand",
-    "counter.limitations": _M(P.LIMITATION),
-    "counter.discourages-buyers": _M(P.DISCOURAGE),
-    "counter.useful-no-links": f"(link IS NULL AND {_WORDS} >= 120)",
-    "link.product-link": _PRODUCT,
-    "link.affiliate-params": f"({_PRODUCT} AND ({_M(P.AFFILIATE_PARAM, 'link')} OR {_M(P.AFFILIATE_PATH, 'link')}))",
-    "reach.upvotes": "TRUE",
-    "reach.comments": "comments IS NOT NULL",
-    "availability.comments-unavailable": "NOT detail",
-    "availability.body-truncated": "NOT detail",
-    "community.mod-removed": "(detail AND regexp_matches(b, '(?i)\\[removed\\]|removed by (?:the )?moderators?') AND regexp_matches(b, '(?i)self[- ]?promo|spam|advertis'))",
-}
+def _detected(spark: SparkSession, d: str) -> DataFrame:
+    return detect(posts(spark, d), F.lit(float(AS_OF)))
+
+
+def post_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Every signal of every post, with its weight."""
+    return _detected(spark, d).select("doc_id", F.explode("signals").alias("s")).select("doc_id", "s.id", "s.weight", "s.verified")
 
 
 def signal_counts(spark: SparkSession, d: str) -> DataFrame:
-    found = detect(posts(spark, d), F.lit(1_700_000_000.0)).select(F.explode("signals.id").alias("id")).where(F.col("id").isin(list(PLAIN_SIGNALS)))
-    return found.groupBy("id").agg(F.count("*").alias("posts"))
+    return _detected(spark, d).select(F.explode("signals.id").alias("id")).groupBy("id").agg(F.count("*").alias("posts"))
 
 
-SIGNAL_COUNTS_SQL = f"WITH {POSTS_SQL}, hits AS (SELECT unnest(list_filter([" + ", ".join(f"CASE WHEN {c} THEN {quote(i)} END" for i, c in PLAIN_SIGNALS.items()) + "], lambda s: s IS NOT NULL)) AS id FROM shadows) SELECT id, count(*) AS posts FROM hits GROUP BY id"
+def post_results(spark: SparkSession, d: str) -> DataFrame:
+    """What an analysis of each post says, but for its sentences."""
+    done = analyze(posts(spark, d), F.lit(float(AS_OF))).withColumn("v", of_result())
+    return done.select("doc_id", F.col("promoLikelihood").alias("score"), F.col("styleOnlyCapApplied").alias("style_capped"), "label", "disclosure", F.col("undisclosedRisk").alias("risk"), "confidence", F.col("reach.level").alias("reach"), "v.kind", "v.headline", "v.technique", F.col("v.hiddenConnection").alias("hidden"))
 
 
 def product_names(spark: SparkSession, d: str) -> DataFrame:
@@ -132,10 +105,12 @@ def _values() -> str:
 
 
 _IN = lambda x: "(" + ", ".join(map(quote, x)) + ")"
-SCORES_SQL = f"""
+_DRAWN_SQL = f"""
 WITH {POSTS_SQL}, {_values()},
+sig AS (SELECT doc_id, detail, j, c.*, (doc_id + j) % 3 = 0 AS verified FROM posts CROSS JOIN range({_DRAWN}) t(j) JOIN crit c ON c.seq = {_PLACE})
+"""
+_CHAIN_SQL = f""",
 caps(category, cap) AS (VALUES {", ".join(f"({quote(k)}, {float(v)})" for k, v in P.CATEGORY_CAPS.items())}),
-sig AS (SELECT doc_id, detail, j, c.*, (doc_id + j) % 3 = 0 AS verified FROM posts CROSS JOIN range({_DRAWN}) t(j) JOIN crit c ON c.seq = {_PLACE}),
 promoted AS (SELECT *, weight * CASE WHEN verify AND NOT verified THEN 0.25 ELSE 1 END AS w0 FROM sig WHERE promo AND weight <> 0),
 weighed AS (SELECT *, CASE WHEN grp IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, grp ORDER BY abs(w0) DESC, j) > 1 THEN w0 * 0.25 ELSE w0 END AS w FROM promoted),
 points AS (SELECT doc_id, category, CASE WHEN any_value(cap) >= 0 THEN least(sum(w), any_value(cap)) ELSE greatest(sum(w), any_value(cap)) END AS points FROM weighed JOIN caps USING (category) GROUP BY doc_id, category),
@@ -150,6 +125,10 @@ scored AS (SELECT *, CAST(CASE WHEN own AND asks THEN greatest(s0, 80) ELSE s0 E
 judged AS (SELECT *, CASE WHEN clear AND NOT buried THEN 'clear' WHEN clear THEN 'unclear' WHEN unclear THEN 'unclear' WHEN (commercial AND score >= 20) OR score >= 40 THEN 'missing' ELSE 'unknown' END AS disclosure,
   CASE WHEN pts < 2.5 THEN 0 WHEN pts < 6 THEN 1 WHEN NOT detail AND NOT strong THEN 1 ELSE 2 END AS c0, members >= 1000 AND members IS NOT NULL AS big, upvotes / age AS hourly, coalesce(comments, 0) AS cc FROM scored)
 """
+SCORES_SQL = _DRAWN_SQL + _CHAIN_SQL
+_FOUND_SQL = signals_sql(_values())
+POST_SIGNALS_SQL = _FOUND_SQL + " SELECT doc_id, id, weight::DOUBLE AS weight, verified FROM sig"
+SIGNAL_COUNTS_SQL = _FOUND_SQL + " SELECT id, count(*) AS posts FROM sig GROUP BY id"
 SIGNAL_SCORES_SQL = (
     SCORES_SQL
     + """
@@ -174,18 +153,18 @@ SELECT doc_id, CAST(i - 1 AS INTEGER) AS place, reasons[i] AS reason FROM filled
 )
 
 
-def _verdict_sql() -> str:
+def _verdict_sql(scores: str, more: str = "") -> str:
     from ..operators.verdict import ELSEWHERE, FRAMINGS, LATE, RECURRING, RECURS
 
     has = lambda x: f"list_has_any(ids, {as_sql_list(x)})"
     ladder = " ".join(f"WHEN {' AND '.join(map(has, g))} THEN " + (f"CASE WHEN disclosure = 'clear' THEN {quote(d)} ELSE {quote(p)} END" if d else quote(p)) for g, p, d in FRAMINGS)
     return (
-        SCORES_SQL
+        scores
         + f""",
 v0 AS (SELECT *, list_contains(ids, 'account.self-identified-elsewhere') AND disclosure <> 'clear' AS hid, CASE {ladder} END AS framing, CASE WHEN {has(RECURRING)} THEN {quote(RECURS)} END AS recurs FROM judged),
 v1 AS (SELECT *, concat_ws('; ', framing, recurs) AS rest, score < 40 AND NOT hid AS organic FROM v0),
 v2 AS (SELECT *, CASE WHEN hid THEN {quote(ELSEWHERE + ".")} || CASE WHEN rest = '' THEN '' ELSE ' ' || rest || '.' END WHEN rest <> '' THEN rest || '.' END AS technique0 FROM v1)
-SELECT doc_id, CASE WHEN organic THEN 'organic' WHEN disclosure = 'clear' THEN 'transparent' WHEN disclosure = 'unclear' THEN 'unclear' ELSE 'undisclosed' END AS kind,
+SELECT doc_id, {more} CASE WHEN organic THEN 'organic' WHEN disclosure = 'clear' THEN 'transparent' WHEN disclosure = 'unclear' THEN 'unclear' ELSE 'undisclosed' END AS kind,
   CASE WHEN organic THEN CASE WHEN score < 20 THEN 'Looks organic' ELSE 'Mostly organic, a few promotional signals' END WHEN disclosure = 'clear' THEN 'Transparent promotion'
     WHEN disclosure = 'unclear' THEN CASE WHEN list_contains(ids, 'disclosure.buried') THEN 'Promotion, disclosed late in the post' WHEN list_contains(ids, 'disclosure.comments-only') THEN 'Promotion, disclosed only in the comments' ELSE 'Promotion with an unclear connection' END
     WHEN hid OR score >= 60 THEN 'Possible undisclosed promotion' ELSE 'Possibly promotional, connection not disclosed' END AS headline,
@@ -194,6 +173,15 @@ FROM v2"""
     )
 
 
+_LEVELS = """score, style_capped, CASE WHEN score <= 19 THEN 'Unlikely promotional' WHEN score <= 39 THEN 'Some promotional characteristics' WHEN score <= 59 THEN 'Possibly promotional' WHEN score <= 79 THEN 'Likely promotional' ELSE 'Highly likely promotional' END AS label, disclosure,
+  CASE WHEN disclosure = 'clear' THEN 'low' WHEN score >= 60 THEN 'high' WHEN score >= 40 THEN 'medium' ELSE 'low' END AS risk,
+  ['low', 'medium', 'high'][CASE WHEN copied THEN CASE WHEN c0 = 2 THEN 1 ELSE 0 END ELSE c0 END + 1] AS confidence,
+  CASE WHEN big THEN CASE WHEN (upvotes * 1000.0 / members >= 2 AND upvotes >= 50) OR (cc * 1000.0 / members >= 0.5 AND cc >= 30) OR upvotes >= 5000 THEN 'high' WHEN (upvotes * 1000.0 / members >= 0.4 AND upvotes >= 15) OR (cc * 1000.0 / members >= 0.1 AND cc >= 10) OR upvotes >= 500 THEN 'medium' ELSE 'low' END
+       WHEN upvotes >= 1000 OR hourly >= 150 OR cc >= 300 THEN 'high' WHEN upvotes >= 100 OR hourly >= 25 OR cc >= 50 THEN 'medium' ELSE 'low' END AS reach, """
+VERDICTS_SQL = _verdict_sql(SCORES_SQL)
+POST_RESULTS_SQL = _verdict_sql(_FOUND_SQL + _CHAIN_SQL, _LEVELS)
+
+
 # ---- text functions ------------------------------------------------------------------------------
 
 
@@ -215,7 +203,7 @@ def url_hosts(spark: SparkSession, d: str) -> DataFrame:
 
 URL_HOSTS_SQL = f"""WITH h AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\\.', '') AS host FROM pages), s AS (SELECT *, string_split(host, '.') AS p FROM h)
 SELECT page_id, host, CASE WHEN len(p) < 2 THEN p[1] WHEN p[-2] IN ('co', 'com', 'org', 'net') AND len(p) >= 3 THEN p[-3] ELSE p[-2] END AS label, p[1] AS first_label,
-  NOT list_contains({as_sql_list(P.NON_PRODUCT_HOSTS)}, host) AND NOT ends_with(host, '.reddit.com') AS product, {_M(P.AFFILIATE_PARAM, "url")} OR {_M(P.AFFILIATE_PATH, "url")} AS tracked, list_contains({as_sql_list(P.REDIRECT_HOSTS)}, host) AS redirect FROM s"""
+  NOT list_contains({as_sql_list(P.NON_PRODUCT_HOSTS)}, host) AND NOT ends_with(host, '.reddit.com') AS product, {has(P.AFFILIATE_PARAM, "url")} OR {has(P.AFFILIATE_PATH, "url")} AS tracked, list_contains({as_sql_list(P.REDIRECT_HOSTS)}, host) AS redirect FROM s"""
 
 
 def content_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -229,18 +217,18 @@ CONTENT_HASH_SQL = f"SELECT page_id, {_FNV(0x811C9DC5)} || {_FNV(0x9747B28C)} AS
 # ---- history, comments ---------------------------------------------------------------------------
 
 
+#: Earlier posts of its source that a post is compared with.
+BEFORE = 20
+
+
 def near_duplicate_posts(spark: SparkSession, d: str) -> DataFrame:
-    """Each document against the five before it of its source (ids step by twenty)."""
-    docs = _read(spark, d, "documents").select("doc_id", "source", F.left("text", F.lit(80)).alias("title"), "text")
-    before = docs.select("doc_id", "source", "text", "title", F.explode(F.sequence(F.lit(20), F.lit(100), F.lit(20))).alias("step")).withColumn("other_id", F.col("doc_id") - F.col("step"))
-    other = docs.select(F.col("doc_id").alias("other_id"), F.col("source").alias("subreddit"), F.col("title").alias("t2"), F.left("text", F.lit(400)).alias("excerpt"))
-    pairs = before.join(other, "other_id").where(F.col("source") == F.col("subreddit"))
-    item = F.struct(F.col("t2").alias("title"), "excerpt")
-    return pairs.where(F.size(near_duplicates(F.col("title"), F.col("text"), F.array(item))) > 0).select("doc_id", "other_id")
+    """Each document against those before it of its source, as a post against its author's history."""
+    docs = _read(spark, d, "documents").select("doc_id", "source", F.left("text", F.lit(80)).alias("title"), F.col("text").alias("body"), F.left("text", F.lit(400)).alias("excerpt"))
+    return near_posts(docs, "source", "doc_id", BEFORE).select("doc_id", F.col("other").alias("other_id"))
 
 
 _SET = lambda x: f"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(trim(regexp_replace({x}, '\\s+', ' ', 'g'))), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2))"
-NEAR_SQL = f"""WITH d AS (SELECT doc_id, source, {_SET("left(text, 80)")} AS t, {_SET("left(text, 1500)")} AS b, {_SET("left(text, 400)")} AS e FROM documents), p AS (SELECT a.doc_id, o.doc_id AS other_id, a.t AS t, a.b AS b, o.t AS t2, o.e AS e FROM d a JOIN d o ON a.source = o.source AND a.doc_id - o.doc_id IN (20, 40, 60, 80, 100))
+NEAR_SQL = f"""WITH d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, {_SET("left(text, 80)")} AS t, {_SET("left(text, 1500)")} AS b, {_SET("left(text, 400)")} AS e FROM documents WHERE source IS NOT NULL), p AS (SELECT a.doc_id, o.doc_id AS other_id, a.t AS t, a.b AS b, o.t AS t2, o.e AS e FROM d a JOIN d o ON a.source = o.source AND a.n - o.n BETWEEN 1 AND {BEFORE})
 SELECT doc_id, other_id FROM p WHERE (len(t) >= 5 AND len(t2) > 0 AND len(list_intersect(t, t2)) / (len(t) + len(t2) - len(list_intersect(t, t2))) >= 0.6) OR (len(b) >= 20 AND len(e) >= 15 AND len(list_intersect(b, e)) / (len(b) + len(e) - len(list_intersect(b, e))) >= 0.6)"""
 
 
@@ -354,6 +342,21 @@ def cache_hits(spark: SparkSession, d: str) -> DataFrame:
     return limits.ttl_cache(_timed(spark, d), 24 * 3_600_000)
 
 
+_TIMED_SQL = """WITH RECURSIVE e AS (SELECT 'u' || user_id AS key, epoch_us(ts) // 1000 AS now, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"""
+RATE_SQL = (
+    _TIMED_SQL
+    + """, run AS (SELECT key, now, seq, n, [now] AS kept, TRUE AS allowed, 0::BIGINT AS wait FROM e WHERE n = 1
+UNION ALL SELECT key, now, seq, n, CASE WHEN len(live) >= 2 THEN live ELSE list_append(live, now) END, len(live) < 2, CASE WHEN len(live) >= 2 THEN live[1] + 21600000 - now ELSE 0 END FROM (SELECT e.*, list_filter(run.kept, lambda t: t > e.now - 21600000) AS live FROM run JOIN e ON e.key = run.key AND e.n = run.n + 1))
+SELECT key, now, seq, allowed, wait::BIGINT AS retry_after_ms FROM run"""
+)
+CACHE_SQL = (
+    _TIMED_SQL
+    + """, run AS (SELECT key, now, seq, n, now AS stored, FALSE AS hit FROM e WHERE n = 1
+UNION ALL SELECT e.key, e.now, e.seq, e.n, CASE WHEN stored + 86400000 > e.now THEN stored ELSE e.now END, stored + 86400000 > e.now FROM run JOIN e ON e.key = run.key AND e.n = run.n + 1)
+SELECT key, now, seq, hit FROM run"""
+)
+
+
 def criteria_summary(spark: SparkSession, d: str) -> DataFrame:
     return criteria(spark).groupBy("availability", "strength").agg(F.count("*").alias("criteria"), F.sum("weight").alias("weight"), F.sum(F.col("requiresVerification").cast("int")).alias("verified"))
 
@@ -379,12 +382,14 @@ HTML_SQL = """SELECT doc_id, 't3_' || doc_id AS id, 'https://www.reddit.com/r/'
 QUERIES = {
     f.__name__: f
     for f in (
-        post_scores, signal_counts, product_names, signal_scores, category_points, top_reasons, verdicts, text_stats, url_hosts, content_hash, near_duplicate_posts,
+        post_scores, post_signals, post_results, signal_counts, product_names, signal_scores, category_points, top_reasons, verdicts, text_stats, url_hosts, content_hash, near_duplicate_posts,
         comment_similarity, eval_summary, invariant_pairs, witness_merge, quota_usage, sessions, rate_limits, cache_hits, criteria_summary, html_posts,
     )
 }
 ORACLE_SQL = {
-    "signal_counts": SIGNAL_COUNTS_SQL, "signal_scores": SIGNAL_SCORES_SQL, "category_points": CATEGORY_POINTS_SQL, "top_reasons": TOP_REASONS_SQL, "verdicts": _verdict_sql(), "text_stats": TEXT_STATS_SQL,
+    "post_signals": POST_SIGNALS_SQL, "post_results": POST_RESULTS_SQL, "product_names": PRODUCT_NAMES_SQL, "signal_counts": SIGNAL_COUNTS_SQL, "signal_scores": SIGNAL_SCORES_SQL, "category_points": CATEGORY_POINTS_SQL, "top_reasons": TOP_REASONS_SQL, "verdicts": VERDICTS_SQL, "text_stats": TEXT_STATS_SQL,
     "url_hosts": URL_HOSTS_SQL, "content_hash": CONTENT_HASH_SQL, "near_duplicate_posts": NEAR_SQL, "comment_similarity": COMMENTS_SQL, "eval_summary": EVAL_SUMMARY_SQL, "invariant_pairs": PAIRS_SQL,
-    "witness_merge": WITNESS_SQL, "quota_usage": QUOTA_SQL, "sessions": SESSIONS_SQL, "criteria_summary": CRITERIA_SQL, "html_posts": HTML_SQL,
+    "witness_merge": WITNESS_SQL, "quota_usage": QUOTA_SQL, "sessions": SESSIONS_SQL, "rate_limits": RATE_SQL, "cache_hits": CACHE_SQL, "criteria_summary": CRITERIA_SQL, "html_posts": HTML_SQL,
 }
+QUERIES |= pieces.QUERIES
+ORACLE_SQL |= pieces.ORACLE_SQL

@@ -27,6 +27,15 @@ def status_reason(status: Column) -> Column:
     return F.when(status.isNull(), "fetch_failed").when(status == 429, "rate_limited").when(status == 403, "forbidden").when(status == 404, "not_found").when(~status.between(200, 299), F.concat(F.lit("http_"), status.cast("string")))
 
 
+def read_bodies(raw: DataFrame, most: int = 262_144, body: str = "body", declared: str | None = None) -> DataFrame:
+    """raw with ok, status and json (a variant): 413 for bodies over most bytes, said or sent, 400 for what is no JSON."""
+    size = F.octet_length(body)
+    large = size > most if declared is None else (size > most) | (F.coalesce(declared, F.lit(0)) > most)
+    v = F.try_parse_json(F.when(~F.coalesce(large, F.lit(False)), F.col(body)))
+    status = F.when(F.coalesce(large, F.lit(False)), 413).when(v.isNull(), 400).otherwise(200)
+    return raw.withColumns({"status": status, "ok": status == 200, "json": v})
+
+
 def _text(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 

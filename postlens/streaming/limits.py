@@ -1,8 +1,9 @@
 """Rate limits, caches and quotas: as folds of a key's events, in batches and in streams.
 
 Clocks are the events' own. A fold keeps a small state for each key, so a stream holds it in its
-state store (applyInPandasWithState) and a batch folds each key's events in order; both run the
-same step functions.
+state store (applyInPandasWithState) and a batch folds sorted events as they stream by; both run the
+same step functions. In a batch a key's events are cut where they pause for so long that the state
+is empty anyway, and each part is folded apart, so that a busy key is no single task.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,22 +32,38 @@ def ttl_step(stored: int | None, now: int, ttl: int = CACHE_TTL_MS) -> tuple[int
     return (stored, True) if stored is not None and stored + ttl > now else (now, False)
 
 
-def _by_key(events: DataFrame, key: str, schema: str, fold: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    return events.groupBy(key).applyInPandas(fold, schema)
+def _folded(events: DataFrame, key: str, time: str, pause: int, kinds: list[T.StructField], step: Callable, start) -> DataFrame:
+    """events with the columns kinds, which step(state, now) gives beside the next state.
+
+    The state is start for each key, and after each pause of so many milliseconds.
+    """
+    order = Window.partitionBy(key).orderBy(time, "seq")
+    quiet = F.coalesce(F.col(time) - F.lag(time).over(order) >= pause, F.lit(True))
+    part = F.sum(quiet.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inner, width = F.struct(*[F.col(f"`{c}`") for c in events.columns]), len(events.columns)
+    cut = events.select(inner.alias("of"), F.col(key).alias("k"), F.col(time).alias("now"), F.col("seq").alias("seq"), part.alias("part"))
+    cut = cut.repartition("k", "part").sortWithinPartitions("k", "part", "now", "seq").select("of.*", F.col("k").alias("k_"), F.col("part").alias("part_"), F.col("now").alias("now_"))
+    names = [*events.columns, *[f.name for f in kinds]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, start
+        for b in batches:
+            out = []
+            for k, part, now in zip(*[b.column(width + c).to_pylist() for c in range(3)]):
+                if (k, part) != at:
+                    at, state = (k, part), start
+                state, *found = step(state, now)
+                out.append(found)
+            more = [pa.array(x) for x in zip(*out)] if out else [pa.array([], pa.bool_() if isinstance(f.dataType, T.BooleanType) else pa.int64()) for f in kinds]
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], *more], names)
+
+    return cut.mapInArrow(run, T.StructType([*events.schema.fields, *kinds]))
 
 
 def rate_limit(events: DataFrame, limit: int, key: str = "key", time: str = "now", window: int = WINDOW_MS) -> DataFrame:
     """events (key, now in ms, seq) with allowed and retry_after_ms, each key folded in order of now, seq."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, kept, out = pdf.sort_values([time, "seq"]), [], []
-        for now in pdf[time]:
-            kept, allowed, wait = limit_step(kept, int(now), limit, window)
-            out.append((allowed, wait))
-        return pdf.assign(allowed=[a for a, _ in out], retry_after_ms=[w for _, w in out])
-
-    kinds = T.StructType([*events.schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("retry_after_ms", T.LongType())])
-    return events.groupBy(key).applyInPandas(fold, kinds)
+    kinds = [T.StructField("allowed", T.BooleanType()), T.StructField("retry_after_ms", T.LongType())]
+    return _folded(events, key, time, window, kinds, lambda kept, now: limit_step(kept, now, limit, window), [])
 
 
 def rate_limit_stream(events: DataFrame, limit: int, window: int = WINDOW_MS) -> DataFrame:
@@ -66,15 +84,7 @@ def rate_limit_stream(events: DataFrame, limit: int, window: int = WINDOW_MS) ->
 
 def ttl_cache(lookups: DataFrame, ttl: int = CACHE_TTL_MS, key: str = "key", time: str = "now") -> DataFrame:
     """lookups (key, now in ms, seq) with hit: a miss stores, and what is stored lives for ttl."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, stored, hits = pdf.sort_values([time, "seq"]), None, []
-        for now in pdf[time]:
-            stored, hit = ttl_step(stored, int(now), ttl)
-            hits.append(hit)
-        return pdf.assign(hit=hits)
-
-    return lookups.groupBy(key).applyInPandas(fold, T.StructType([*lookups.schema.fields, T.StructField("hit", T.BooleanType())]))
+    return _folded(lookups, key, time, ttl, [T.StructField("hit", T.BooleanType())], lambda stored, now: ttl_step(stored, now, ttl), None)
 
 
 def fresh(entries: DataFrame, now: Column, ttl: int = CACHE_TTL_MS) -> DataFrame:
@@ -126,12 +136,12 @@ LICENSE_KEY = r"\A[A-Za-z0-9-]{16,80}\z"
 def quota(requests: DataFrame, free_initial: int = 20, free_monthly: int = 5, plus_monthly: int = 500) -> DataFrame:
     """requests (install, ts, seq, plan) with month, allowance, used before, allowed and resets_at.
 
-    A calendar month's requests are counted by install and plan; an install's first month has an
-    allowance of its own. The window splits by install and month, so no key grows without end.
+    A calendar month's requests are counted by install and plan; an install's first month, found by
+    an aggregate, has an allowance of its own. The window splits by install, plan and month.
     """
-    month = month_key(F.col("ts"))
-    first = Window.partitionBy("install")
-    df = requests.withColumn("month", month).withColumn("_first", F.min(month).over(first))
+    df = requests.withColumn("month", month_key(F.col("ts")))
+    first = df.groupBy(F.col("install").alias("_install")).agg(F.min("month").alias("_first"))
+    df = df.join(first, F.col("install").eqNullSafe(F.col("_install"))).drop("_install")
     allowance = F.when(F.col("plan") == "plus", plus_monthly).when(F.col("month") == F.col("_first"), free_initial).otherwise(free_monthly)
     place = F.row_number().over(Window.partitionBy("install", "plan", "month").orderBy("ts", "seq"))
     df = df.withColumns({"allowance": allowance, "used": F.least(place - 1, allowance), "allowed": place <= allowance, "resets_at": next_month(F.col("ts"))})
@@ -155,10 +165,49 @@ def quota_with_refunds(requests: DataFrame, free_initial: int = 20, free_monthly
     return requests.groupBy("install").applyInPandas(fold, T.StructType([*requests.schema.fields, T.StructField("allowed", T.BooleanType())]))
 
 
+#: How long an install without a licence is remembered, and a licence check is.
+FREE_TTL_DAYS, CHECK_TTL_MS = 70, 21_600_000
+
+
+def quota_store(requests: DataFrame) -> DataFrame:
+    """A record for each install of requests (install, ts, plan, failed, licence): use by plan and month, the first month, when it expires.
+
+    A failed request gives its place back in the month it was made in. Records with a licence don't expire.
+    """
+    month = month_key(F.col("ts"))
+    kept = F.when(F.coalesce("failed", F.lit(False)), 0).otherwise(1)
+    used = requests.groupBy("install", "plan", month.alias("month")).agg(F.sum(kept).alias("used"), F.max("ts").alias("last"), F.max("licence").alias("licence"))
+    record = used.groupBy("install").agg(
+        F.min("month").alias("first_month"), F.max("licence").alias("licence"), F.max("last").alias("last"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when((F.col("plan") != "plus") & (F.col("used") > 0), F.struct("month", "used"))))).alias("months"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when((F.col("plan") == "plus") & (F.col("used") > 0), F.struct("month", "used"))))).alias("plus_months"),
+    )
+    return record.withColumn("expires", F.when(F.col("licence").isNull(), F.col("last") + F.expr(f"interval {FREE_TTL_DAYS} days")))
+
+
+def stored(records: DataFrame, as_of: Column) -> DataFrame:
+    """The records that have not expired."""
+    return records.where(F.col("expires").isNull() | (F.col("expires") > as_of))
+
+
+def plans_at(requests: DataFrame, checks: DataFrame) -> DataFrame:
+    """requests (licence, now in ms, seq) with plan, by the last check (licence, at, status) of CHECK_TTL_MS before, provider errors left out.
+
+    Without one, or without a licence, the plan is free. Both are cut into spans of that time, and a
+    request meets the checks of its span and the one before.
+    """
+    span = lambda t: F.floor(F.col(t) / CHECK_TTL_MS)
+    good = checks.where("status != 'provider_error'").select(F.col("licence").alias("_licence"), "at", "status").withColumn("_span", F.explode(F.array(span("at"), span("at") + 1)))
+    near = requests.withColumn("_here", span("now")).join(good, (F.col("licence") == F.col("_licence")) & (F.col("_here") == F.col("_span")) & (F.col("at") <= F.col("now")) & (F.col("at") + CHECK_TTL_MS > F.col("now")), "left")
+    last = near.groupBy(*requests.columns).agg(F.max_by("status", "at").alias("_status"))
+    return last.withColumn("plan", F.coalesce(plan_of(F.col("_status")), F.lit("free"))).drop("_status")
+
+
 def active_installs(usage: DataFrame, as_of: Column) -> DataFrame:
     """Installs (month of last use, licensed) to keep: licensed ones, and those used this month or the last."""
     return usage.where(F.col("licensed") | (F.col("month") >= F.date_format(F.add_months(as_of, -1), "yyyy-MM")))
 
+
 def is_install_id(x: Column) -> Column:
     return x.rlike(INSTALL_ID)
 
