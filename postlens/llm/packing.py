@@ -23,7 +23,7 @@ from .common import lean, materialize
 from .tokens import Counter2, default_vocabulary
 
 #: Pieces that a salt's cell is meant to hold.
-CELL = 4_096
+CELL = 1_024
 
 
 def token_pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
