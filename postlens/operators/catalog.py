@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,19 +31,38 @@ def caps(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(CATEGORY_CAPS.items()), "category string, cap int")
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+@lru_cache(maxsize=None)
+def _plain(id: str) -> str:
+    """The SQL of the signal that a criterion gives by itself."""
+    c = criterion(id)
+    top = c["weight"] if c["maxWeight"] is None else min(c["weight"], c["maxWeight"])
+    group = "CAST(NULL AS STRING)" if c["correlationGroup"] is None else _quoted(c["correlationGroup"])
+    affects = ", ".join(map(_quoted, c["affects"]))
+    return (
+        f"named_struct('id', {_quoted(c['id'])}, 'category', {_quoted(c['category'])}, 'explanation', {_quoted(c['description'])}, 'weight', {float(top)}D, 'evidenceSource', {_quoted(c['evidenceSource'])}, "
+        f"'verified', {str(not c['requiresVerification']).lower()}, 'affects', array({affects}), 'strength', {_quoted(c['strength'])}, 'correlationGroup', {group}, 'excerpt', CAST(NULL AS STRING), 'sourceUrl', CAST(NULL AS STRING))"
+    )
+
+
 def signal(id: str, weight: Column | float | None = None, explanation: Column | str | None = None, excerpt: Column | None = None, verified: bool | None = None, url: Column | None = None) -> Column:
     """A signal of the criterion; its weight never passes the criterion's maximum."""
     c = criterion(id)
-    w = F.lit(float(c["weight"])) if weight is None else (F.lit(float(weight)) if isinstance(weight, (int, float)) else weight.cast("double"))
-    if c["maxWeight"] is not None:
-        w = F.least(w, F.lit(float(c["maxWeight"])))
+    made = F.expr(_plain(id))  # one expression for all that doesn't depend on the post
     text = c["description"] if explanation is None else explanation
-    return F.struct(
-        F.lit(c["id"]).alias("id"), F.lit(c["category"]).alias("category"), (F.lit(text) if isinstance(text, str) else text).alias("explanation"), w.alias("weight"),
-        F.lit(c["evidenceSource"]).alias("evidenceSource"), F.lit(not c["requiresVerification"] if verified is None else verified).alias("verified"),
-        F.array(*map(F.lit, c["affects"])).alias("affects"), F.lit(c["strength"]).alias("strength"), F.lit(c["correlationGroup"]).cast("string").alias("correlationGroup"),
-        (F.lit(None).cast("string") if excerpt is None else excerpt).alias("excerpt"), (F.lit(None).cast("string") if url is None else url).alias("sourceUrl"),
-    )
+    if weight is not None:
+        w = F.lit(float(weight)) if isinstance(weight, (int, float)) else weight.cast("double")
+        made = made.withField("weight", w if c["maxWeight"] is None else F.least(w, F.lit(float(c["maxWeight"]))))
+    if explanation is not None:
+        made = made.withField("explanation", F.lit(text) if isinstance(text, str) else text)
+    if verified is not None:
+        made = made.withField("verified", F.lit(verified))
+    if excerpt is not None:
+        made = made.withField("excerpt", excerpt)
+    return made if url is None else made.withField("sourceUrl", url)
 
 
 def when(condition: Column, *args, **more) -> Column:
@@ -54,9 +75,9 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     The optimiser puts an expression wherever its column stands, inside lambdas too, where it would
     run for each element; a generator of one row is a wall it keeps to.
     """
+    kept = [c for c in df.columns if c not in columns]
     made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
-    df = df.select(*[c for c in df.columns if c not in columns], made)
-    return df.select(*[c for c in df.columns if c != "_once"], "_once.*")
+    return df.select(*kept, made).select(*kept, "_once.*")
 
 
 def signals(*items: Column) -> Column:

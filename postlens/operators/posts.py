@@ -24,9 +24,9 @@ POST = ", ".join(f"{k} {v}" for k, v in FIELDS.items())
 
 def conform(df: DataFrame) -> DataFrame:
     """df with every column of a post, null where it has none; its other columns stay."""
-    for name, kind in FIELDS.items():
-        df = df.withColumn(name, F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind))
-    return df
+    here = df.columns
+    fields = [(F.col(name) if name in here else F.lit(None)).cast(kind).alias(name) for name, kind in FIELDS.items()]
+    return df.select(*[F.col(f"`{c}`") for c in here if c not in FIELDS], *fields)
 
 
 def with_problems(df: DataFrame) -> DataFrame:
