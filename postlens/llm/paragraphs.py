@@ -731,13 +731,14 @@ def passages(docs: DataFrame, anywhere: bool = True) -> DataFrame:
     place = ["digest", "doc", "row", "start", "end", "n", "seq", "kind"]
     near = materialize(firsts.select(*place).join(alike, "digest"))
     least = near.groupBy("cluster").agg(F.min(F.struct("doc", "row", "start")).alias("least"))
+    first_of = materialize(alike.join(least, "cluster"))  # wide rows meet it by digest, so a large cluster is no single task of them
     # a sentence stays where its own document holds the first
     own = (F.col("seq") % 2 == 0) & F.coalesce((F.col("doc") == F.col("least.doc")) & (F.col("row") == F.col("least.row")), F.col("kind") == _OWN)
-    clustered = near.join(least, "cluster").withColumn("first", F.struct("doc", "row", "start") == F.col("least")).where(F.col("first") | ~own)
+    clustered = near.join(first_of.select("digest", "least"), "digest").withColumn("first", F.struct("doc", "row", "start") == F.col("least")).where(F.col("first") | ~own)
     clustered = materialize(clustered.select(*place, "cluster", "first"))
-    again = met.where(f"kind in ({_OTHER}, {_OWN})").select(*place).join(alike, "digest", "left").withColumn("cluster", F.coalesce("cluster", "digest")).join(least, "cluster", "left")
+    again = met.where(f"kind in ({_OTHER}, {_OWN})").select(*place).join(first_of, "digest", "left").withColumn("cluster", F.coalesce("cluster", "digest"))
     again = materialize(again.where(~own).select(*place, "cluster"))
-    tables = [met, alike, near, clustered, again]
+    tables = [met, alike, near, first_of, clustered, again]
     repeated = again.select("digest").distinct().join(clustered.select("digest"), "digest", "left_anti")
     alone = firsts.select(*place).join(repeated, "digest", "left_semi")
     cols = ["row", "doc", "start", "end", "n", "seq", "clusters", "first"]
