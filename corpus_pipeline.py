@@ -37,7 +37,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mix(docs).where("_whole or _words > 0")
     words = F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))
     part = F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), "")
-    taken = taken.withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(part)).withColumn("n_chars", F.length("text").cast("long"))
+    size = F.when(F.col("_whole"), F.col("n_chars")).otherwise(F.length(part).cast("long"))
+    taken = taken.withColumns({"n_chars": size, "text": F.when(F.col("_whole"), F.col("text")).otherwise(part)})
     return lay_out(taken).select(*docs.columns)
 
 
