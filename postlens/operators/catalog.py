@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fixed import CATEGORY_CAPS, CRITERIA
+from ..functions.fixed import CRITERIA, EXPLANATIONS
 
 NAMES = ["id", "category", "strength", "weight", "maxWeight", "description", "affects", "evidenceSource", "requiresVerification", "availability", "correlationGroup"]
 BY_ID = {r[0]: dict(zip(NAMES, r)) for r in CRITERIA}
@@ -27,10 +27,6 @@ def criteria(spark: SparkSession, availability: str | None = None) -> DataFrame:
     return df if availability is None else df.where(F.col("availability") == availability)
 
 
-def caps(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(CATEGORY_CAPS.items()), "category string, cap int")
-
-
 def _quoted(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -43,7 +39,7 @@ def _plain(id: str) -> str:
     group = "CAST(NULL AS STRING)" if c["correlationGroup"] is None else _quoted(c["correlationGroup"])
     affects = ", ".join(map(_quoted, c["affects"]))
     return (
-        f"named_struct('id', {_quoted(c['id'])}, 'category', {_quoted(c['category'])}, 'explanation', {_quoted(c['description'])}, 'weight', {float(top)}D, 'evidenceSource', {_quoted(c['evidenceSource'])}, "
+        f"named_struct('id', {_quoted(c['id'])}, 'category', {_quoted(c['category'])}, 'explanation', {_quoted(EXPLANATIONS.get(id, c['description']))}, 'weight', {float(top)}D, 'evidenceSource', {_quoted(c['evidenceSource'])}, "
         f"'verified', {str(not c['requiresVerification']).lower()}, 'affects', array({affects}), 'strength', {_quoted(c['strength'])}, 'correlationGroup', {group}, 'excerpt', CAST(NULL AS STRING), 'sourceUrl', CAST(NULL AS STRING))"
     )
 
@@ -52,12 +48,11 @@ def signal(id: str, weight: Column | float | None = None, explanation: Column |
     """A signal of the criterion; its weight never passes the criterion's maximum."""
     c = criterion(id)
     made = F.expr(_plain(id))  # one expression for all that doesn't depend on the post
-    text = c["description"] if explanation is None else explanation
     if weight is not None:
         w = F.lit(float(weight)) if isinstance(weight, (int, float)) else weight.cast("double")
         made = made.withField("weight", w if c["maxWeight"] is None else F.least(w, F.lit(float(c["maxWeight"]))))
     if explanation is not None:
-        made = made.withField("explanation", F.lit(text) if isinstance(text, str) else text)
+        made = made.withField("explanation", F.lit(explanation) if isinstance(explanation, str) else explanation)
     if verified is not None:
         made = made.withField("verified", F.lit(verified))
     if excerpt is not None:

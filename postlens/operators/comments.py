@@ -58,18 +58,18 @@ def comment_signals() -> Column:
     first_repeat = F.left(X.normalize_whitespace(F.try_element_at("f_repeats", F.lit(1))["text"]), F.lit(80))
     pushes = op.rlike(P.DM) | op.rlike(P.CTA) | (f("f_op_links") > 0)
     return signals(
-        when(f("f_copied"), "community.coordinated-accusations", explanation="Several accusing comments use near-identical wording; they were not counted as evidence"),
+        when(f("f_copied"), "community.coordinated-accusations"),
         when(open_ & (f("f_accusers") >= 2), "community.several-independent-concerns", explanation=F.concat(f("f_accusers").cast("string"), F.lit(" different commenters raise concerns that the post may be promotional (unverified)"))),
-        when(open_ & (f("f_accusers") < 2) & (count == 1), "community.single-accusation", explanation="One commenter suggests the post is an ad, without supporting evidence"),
+        when(open_ & (f("f_accusers") < 2) & (count == 1), "community.single-accusation"),
         when(open_ & (repeats > 0), "community.repeated-posts-identified", verified=False, excerpt=first_repeat, explanation=F.concat(F.lit("A commenter says the author has posted this before ("), how_many, F.lit(", not verified)"))),
-        when(open_ & F.exists("f_accusing", lambda c: c["text"].rlike(P.REDDIT_LINK)), "community.linked-identical-post", verified=False, explanation="A commenter links to what they say is an earlier post by the author (not verified)"),
-        when(open_ & to_product, "community.author-product-evidence", verified=False, explanation="A commenter links to the product site as evidence of a connection to the author (not verified)"),
-        when((ops > 0) & admits, "community.author-admission", explanation="In the comments, the author acknowledges a connection to the product"),
-        when((ops > 0) & op.rlike(P.DM), "behavior.dm-for-link", explanation="In the comments, the author asks readers to send a private message"),
+        when(open_ & F.exists("f_accusing", lambda c: c["text"].rlike(P.REDDIT_LINK)), "community.linked-identical-post", verified=False),
+        when(open_ & to_product, "community.author-product-evidence", verified=False),
+        when((ops > 0) & admits, "community.author-admission"),
+        when((ops > 0) & op.rlike(P.DM), "behavior.dm-for-link"),
         when((ops > 0) & op.rlike(P.COMMENT_INTERESTED), "behavior.comment-interested-dm"),
         when((ops > 0) & (X.count_matches(op, P.PRIVATE_GROUP) >= 2), "behavior.private-group"),
         when(f("f_op_links") >= 3, "behavior.same-product-replies", explanation=F.concat(F.lit("The author replies with the product link in "), f("f_op_links").cast("string"), F.lit(" comments"))),
-        when((ops >= 3) & ~pushes, "counter.answers-without-push", explanation="The author answers questions publicly without pushing a purchase"),
-        when(f("f_praise") >= 2, "coord.similar-wording", explanation="Several supportive comments use unusually similar wording"),
+        when((ops >= 3) & ~pushes, "counter.answers-without-push"),
+        when(f("f_praise") >= 2, "coord.similar-wording"),
         when(F.coalesce("isDetailPage", F.lit(False)) & f("f_removed"), "community.mod-removed"),
     )

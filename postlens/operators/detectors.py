@@ -67,7 +67,7 @@ def direct() -> Column:
     strong = f("f_strong_code")
     times = F.size(F.filter("_link_hosts", lambda g: g == f("f_repeated")))
     return signals(
-        when(f("f_cta"), "cta.direct", explanation="The post directly asks readers to buy, sign up, download, or try something", excerpt=_excerpt(P.CTA)),
+        when(f("f_cta"), "cta.direct", excerpt=_excerpt(P.CTA)),
         when(f("f_coupon") | f("f_code"), "cta.coupon", F.when(strong, 25.0).otherwise(20.0), F.when(strong, "The post includes a discount, promo or referral code").otherwise("The post includes a discount or time-limited offer"), _excerpt(P.COUPON)),
         when(f("f_signup"), "cta.signup-benefit", excerpt=_excerpt(P.SIGNUP_BENEFIT)),
         when(f("f_waitlist"), "cta.waitlist", excerpt=_excerpt(P.WAITLIST)),
@@ -119,9 +119,9 @@ def narrative() -> Column:
     often = (mentions >= 4) & (mentions >= F.floor(words / 60) + 2)
     times = F.concat("_primary.name", F.lit(" is named "), mentions.cast("string"), F.lit(" times"))
     return signals(
-        when(told & (start >= 0) & (middle > start) & (end > start), "story.problem-product-success", explanation="The story moves from a problem to discovering the product to a dramatic result"),
+        when(told & (start >= 0) & (middle > start) & (end > start), "story.problem-product-success"),
         when(told & (f("f_at") > 0.3) & head.rlike(P.EMOTIONAL), "story.emotional-intro"),
-        when(f("f_advice") & (words >= 80) & asks, "story.advice-then-product", explanation="The post starts as general advice but ends by directing readers to a product"),
+        when(f("f_advice") & (words >= 80) & asks, "story.advice-then-product"),
         when(f("f_result") & (_has("_product") | f("f_cta_body")), "story.result-title-tool-body"),
         when(f("f_has_product") & f("f_solves") & (f("f_problems") >= 2), "story.solves-everything"),
         when(f("f_offer") & (words >= 80) & (f("f_limits") == 0), "story.no-limitations"),
@@ -169,15 +169,15 @@ def disclosure() -> Column:
     f = F.col
     maker = F.when(f("f_creator_by") == 1, _excerpt(P.CREATOR_NAMED)).when(f("f_creator_by") == 2, _excerpt(P.CREATOR_RELATIVE)).otherwise(_excerpt(P.CLEAR_CREATOR))
     return signals(
-        when(f("f_creator_by") > 0, "disclosure.creator", explanation="The author states they built or own the product", excerpt=maker),
-        when(f("f_employment"), "disclosure.employment", explanation="The author discloses working for the company", excerpt=_excerpt(P.CLEAR_EMPLOYMENT)),
-        when(f("f_benefit"), "disclosure.material-benefit", explanation="The author discloses receiving the product for free or being paid", excerpt=_excerpt(P.CLEAR_BENEFIT)),
-        when(f("f_affiliate"), "disclosure.affiliate", explanation="The author discloses an affiliate or commission relationship", excerpt=_excerpt(P.CLEAR_AFFILIATE)),
-        when(f("brandAffiliateLabel"), "disclosure.brand-affiliate-label", explanation="Reddit shows a Brand Affiliate label on this post"),
-        when(f("f_buried"), "disclosure.buried", explanation="The disclosure appears only at the very end of a long post, where readers may miss it"),
-        when(~f("f_clear") & f("f_working_on"), "disclosure.unclear-working-on", explanation="The author says they have been 'working on' it without stating their role or benefit", excerpt=_excerpt(P.UNCLEAR_WORKING_ON)),
-        when(~f("f_clear") & f("f_involved"), "disclosure.unclear-involved", explanation="The author mentions being involved or knowing the team without explaining the relationship", excerpt=_excerpt(P.UNCLEAR_INVOLVED)),
-        when(~f("f_clear") & f("f_friends"), "disclosure.friends-product", explanation="The product is described as a friend's or relative's - a personal connection may matter", excerpt=_excerpt(P.FRIENDS_PRODUCT)),
+        when(f("f_creator_by") > 0, "disclosure.creator", excerpt=maker),
+        when(f("f_employment"), "disclosure.employment", excerpt=_excerpt(P.CLEAR_EMPLOYMENT)),
+        when(f("f_benefit"), "disclosure.material-benefit", excerpt=_excerpt(P.CLEAR_BENEFIT)),
+        when(f("f_affiliate"), "disclosure.affiliate", excerpt=_excerpt(P.CLEAR_AFFILIATE)),
+        when(f("brandAffiliateLabel"), "disclosure.brand-affiliate-label"),
+        when(f("f_buried"), "disclosure.buried"),
+        when(~f("f_clear") & f("f_working_on"), "disclosure.unclear-working-on", excerpt=_excerpt(P.UNCLEAR_WORKING_ON)),
+        when(~f("f_clear") & f("f_involved"), "disclosure.unclear-involved", excerpt=_excerpt(P.UNCLEAR_INVOLVED)),
+        when(~f("f_clear") & f("f_friends"), "disclosure.friends-product", excerpt=_excerpt(P.FRIENDS_PRODUCT)),
     )
 
 
@@ -199,10 +199,10 @@ def counter() -> Column:
     commercial = direct_ | F.exists("s_links", lambda s: s["id"] != "link.product-link") | _has("_product")
     return signals(
         when(f("f_limits") >= 1, "counter.limitations", F.when(f("f_limits") >= 2, -15.0).otherwise(-10.0), "The post discusses drawbacks or limitations", _excerpt(P.LIMITATION)),
-        when(compares.isNotNull(), "counter.compares-alternatives", explanation="The post compares several alternatives rather than pushing one", excerpt=F.left(X.normalize_whitespace(compares), F.lit(80))),
-        when((F.size("_links") == 0) & (f("_words") >= 120), "counter.useful-no-links", explanation="The post shares detailed information without linking to anything"),
+        when(compares.isNotNull(), "counter.compares-alternatives", excerpt=F.left(X.normalize_whitespace(compares), F.lit(80))),
+        when((F.size("_links") == 0) & (f("_words") >= 120), "counter.useful-no-links"),
         when(f("f_discourage"), "counter.discourages-buyers", excerpt=_excerpt(P.DISCOURAGE)),
-        when(~commercial, "counter.no-cta", explanation="No call to action, referral code, or commercial link was found"),
+        when(~commercial, "counter.no-cta"),
     )
 
 
@@ -231,7 +231,7 @@ def detect(posts: DataFrame, as_of: Column | None = None) -> DataFrame:
     promoted = f("_primary").isNotNull() & ((F.size("s_workflow") > 0) | (F.size("s_links") > 0) | (F.size("s_direct") > 0))
     more = signals(
         when(promoted & ~told & ~admitted, "workflow.no-relationship-disclosed", explanation=F.concat(F.lit("No relationship with "), f("_primary.name"), F.lit(" is disclosed"))),
-        when(admitted & ~f("f_clear"), "disclosure.comments-only", explanation="The connection is disclosed only in the comments, not in the post"),
+        when(admitted & ~f("f_clear"), "disclosure.comments-only"),
     )
     order = [*kinds, "s_comments", "s_counter", "s_history"]
     df = once(df, {"signals": F.concat(*order, more, reach(), availability())})

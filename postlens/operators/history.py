@@ -161,7 +161,7 @@ def history_signals(as_of: Column) -> Column:
         when(there & (age < 30) & (karma < 50) & (share >= 0.5) & (subs >= 2), "account.new-low-karma-product-focus"),
         when(there & has & (subs >= 5) & (F.size(sites) >= 3) & (share < 0.3), "counter.varied-recommendations", explanation=F.concat(F.lit("The author links to "), whole(F.size(sites)), F.lit(" different sites in recent posts; this product is not a recurring one"))),
         when(there & (total >= 10) & (mentions / F.greatest(F.lit(1), total) <= 0.1) & (age.isNull() | (age >= 365)), "counter.genuine-history", explanation=F.concat(F.lit("Long public history ("), whole(total), F.lit(" recent items"), years, F.lit(") with little or no mention of this product"))),
-        when(there & has & (total >= 8) & (mentions <= 1), "counter.incidental-product", explanation="The product does not recur in the author's other recent posts or comments"),
+        when(there & has & (total >= 8) & (mentions <= 1), "counter.incidental-product"),
     )
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.fixed import MAX_BODY, MAX_COMMENT, MAX_COMMENTS, MAX_LINKS, MAX_TITLE
 
@@ -60,7 +59,3 @@ def valid(df: DataFrame) -> DataFrame:
 
 def rejected(df: DataFrame) -> DataFrame:
     return with_problems(df).where(F.size("problems") > 0)
-
-
-def post_struct() -> T.StructType:
-    return T.StructType.fromDDL(POST)
