@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as P
 from ..functions import text as X
-from .catalog import BY_ID, SIGNAL, criterion, signal
+from .catalog import BY_ID, SIGNAL, criterion, once, signal
 from .history import quotable
 from .scoring import clamp, reach, score_signals, undisclosed_risk
 
@@ -53,12 +53,12 @@ def _excerpt(quote: Column) -> Column:
 
 def _claimed(claim: Column, factor: Column) -> Column:
     """The signal of an eligible criterion that a claim makes."""
-    made = F.lit(None).cast(SIGNAL)
-    for id in reversed(ELIGIBLE):
-        c = criterion(id)
-        note = F.when(F.trim(claim["note"]) != "", X.sanitize_note(claim["note"])).otherwise(F.lit(c["description"]))
-        made = F.when(claim["id"] == id, signal(id, F.floor(F.lit(float(c["weight"])) * factor + 0.5), note, _excerpt(claim["quote"]))).otherwise(made)
-    return made
+    made = F.try_element_at(F.create_map(*[x for id in ELIGIBLE for x in (F.lit(id), signal(id))]), claim["id"])
+    note = F.when(F.trim(claim["note"]) != "", X.sanitize_note(claim["note"])).otherwise(F.lit(None).cast("string"))
+    top = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for id in ELIGIBLE if criterion(id)["maxWeight"] is not None for x in (id, float(criterion(id)["maxWeight"]))] or [F.lit(""), F.lit(0.0)]), claim["id"]), F.lit(float("inf")))
+    full = F.try_element_at(F.create_map(*[F.lit(x) for id in ELIGIBLE for x in (id, float(criterion(id)["weight"]))]), claim["id"])
+    described = F.try_element_at(F.create_map(*[F.lit(x) for id in ELIGIBLE for x in (id, criterion(id)["description"])]), claim["id"])
+    return made.withField("weight", F.least(F.floor(full * factor + 0.5).cast("double"), top)).withField("explanation", F.coalesce(note, described)).withField("excerpt", _excerpt(claim["quote"]))
 
 
 def merge(df: DataFrame, output: str = "output", model: str = "model") -> DataFrame:
@@ -70,10 +70,10 @@ def merge(df: DataFrame, output: str = "output", model: str = "model") -> DataFr
     none = F.array().cast("array<struct<id: string, reason: string>>")
     post = X.normalize_for_match(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit(""))))
     comments = F.array_join(F.transform(F.coalesce("visibleComments", F.array().cast("array<struct<author: string, text: string, isOp: boolean, depth: int>>")), lambda c: c["text"]), "\n")
-    df = df.withColumns({"_post": post, "_history": X.normalize_for_match(quotable(f("authorHistory"))), "_comments": X.normalize_for_match(comments)})
+    df = once(df, {"_post": post, "_history": X.normalize_for_match(quotable(f("authorHistory"))), "_comments": X.normalize_for_match(comments)})
     gone = F.filter(F.transform(F.coalesce(f(output)["retract"], none), lambda r: r["id"]), lambda id: F.exists("signals", lambda s: (s["id"] == id) & s["category"].isin(P.RETRACTABLE) & ~s["id"].isin(P.NEVER_RETRACT) & (s["weight"] > 0)))
-    df = df.withColumn("_gone", F.array_distinct(gone))
-    df = df.withColumn("_kept", F.filter("signals", lambda s: ~F.array_contains("_gone", s["id"])))
+    df = once(df, {"_gone": F.array_distinct(gone)})
+    df = once(df, {"_kept": F.filter("signals", lambda s: ~F.array_contains("_gone", s["id"]))})
     history_ids = [i for i in ELIGIBLE if criterion(i)["category"] in P.QUOTES_HISTORY]
     comment_ids = [i for i in ELIGIBLE if criterion(i)["category"] in P.QUOTES_COMMENTS]
 
@@ -83,22 +83,22 @@ def merge(df: DataFrame, output: str = "output", model: str = "model") -> DataFr
 
     kept_ids = F.transform("_kept", lambda s: s["id"])
     tried = F.filter(f(output)["signals"], lambda c: c["id"].isin(ELIGIBLE) & ~F.array_contains("_gone", c["id"]) & ~F.array_contains(kept_ids, c["id"]) & (c["confidence"] >= LEAST))
-    df = df.withColumn("_tried", F.coalesce(F.transform(tried, lambda c: F.struct(c.alias("c"), quoted(c).alias("ok"))), F.array().cast("array<struct<c: struct<id: string, quote: string, confidence: double, note: string>, ok: boolean>>")))
+    df = once(df, {"_tried": F.coalesce(F.transform(tried, lambda c: F.struct(c.alias("c"), quoted(c).alias("ok"))), F.array().cast("array<struct<c: struct<id: string, quote: string, confidence: double, note: string>, ok: boolean>>"))})
     numbered = F.transform("_tried", lambda x, i: F.struct(x["c"].alias("c"), x["ok"].alias("ok"), i.alias("i")))
     earlier = lambda x: F.exists(F.filter(numbered, lambda y: y["ok"] & (y["i"] < x["i"])), lambda y: y["c"]["id"] == x["c"]["id"])
-    df = df.withColumn("_new", F.filter(numbered, lambda x: ~earlier(x)))
+    df = once(df, {"_new": F.filter(numbered, lambda x: ~earlier(x))})
     taken = F.filter("_new", lambda x: x["ok"])
     claims = F.transform(taken, lambda x: _claimed(x["c"], F.when(x["c"]["confidence"] >= FULL, 1.0).otherwise(PART)))
     everywhere = F.concat("_post", F.lit("\n"), "_history", F.lit("\n"), "_comments")
     seen = F.filter(F.coalesce(f(output)["observations"], F.array().cast("array<struct<quote: string, direction: string, note: string, confidence: double>>")), lambda o: o["confidence"] >= LEAST)
     checked = F.transform(seen, lambda o: F.struct(o.alias("o"), F.contains(everywhere, X.normalize_for_match(o["quote"])).alias("ok")))
-    df = df.withColumn("_seen", checked).withColumn("_claims", claims)
+    df = once(df, {"_seen": checked, "_claims": claims})
     good = F.slice(F.filter("_seen", lambda x: x["ok"]), 1, OBSERVATIONS)
     done = F.transform(good, lambda x: signal("model.observation", F.when(x["o"]["direction"] == "organic", -8.0).otherwise(8.0), F.concat(F.lit("Model observation: "), X.sanitize_note(x["o"]["note"])), _excerpt(x["o"]["quote"])))
     # what is refused counts until enough is observed
     upto = F.transform("_seen", lambda x, i: F.struct(x["ok"].alias("ok"), F.size(F.filter(F.slice("_seen", F.lit(1), i), lambda y: y["ok"])).alias("before")))
     refused = F.size(F.filter("_new", lambda x: ~x["ok"])) + F.size(F.filter(upto, lambda x: ~x["ok"] & (x["before"] < OBSERVATIONS)))
-    df = df.withColumns({"accepted": F.size("_claims"), "observed": F.size(good), "rejected": refused, "retracted": F.size("_gone"), "_done": done})
+    df = once(df, {"accepted": F.size("_claims"), "observed": F.size(good), "rejected": refused, "retracted": F.size("_gone"), "_done": done})
     name = f(model) if model in df.columns else F.lit("model")
     note = F.concat(
         F.lit("A language model ("), name, F.lit(") reviewed the post text"), F.when(f("_history") != "", " and the author's public history").otherwise(""), F.lit("; "), f("accepted").cast("string"),
