@@ -86,7 +86,7 @@ ranked AS (SELECT nm.*, list_contains({_TOOLS}, low) AS known, list_contains(lis
 prim AS (SELECT DISTINCT ON (doc_id) doc_id, name AS prim, n AS mentions FROM ranked WHERE NOT known ORDER BY doc_id, linked DESC, n DESC, seq),
 lists AS (SELECT doc_id, list(name ORDER BY seq) AS ns, coalesce(list(name ORDER BY seq) FILTER (known), []) AS fam, coalesce(list(name ORDER BY seq) FILTER (NOT known), []) AS oth FROM ranked GROUP BY doc_id)"""
 
-PRODUCT_NAMES_SQL = f"WITH {NAMES_SQL} SELECT doc_id, prim AS primary, mentions::INT AS mentions, coalesce(len(ns), 0)::INT AS names FROM documents LEFT JOIN prim USING (doc_id) LEFT JOIN lists USING (doc_id)"
+PRODUCT_NAMES_SQL = f"WITH {NAMES_SQL} SELECT doc_id, prim AS primary, coalesce(mentions, 0)::INT AS mentions, coalesce(len(ns), 0)::INT AS names FROM documents LEFT JOIN prim USING (doc_id) LEFT JOIN lists USING (doc_id)"
 
 _STRONG = r"(?i)\b(?:promo ?code|discount code|use code|referral code)\b"
 _WORDS3 = lambda x: f"list_distinct(list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9_]+'), lambda w: length(w) > 2))"

@@ -51,7 +51,7 @@ def json_posts(spark: SparkSession, d: str) -> DataFrame:
     raw = _read(spark, d, "documents").select("doc_id", _status(i).alias("status"), F.when(i % 13 == 6, "{no json").otherwise(body).alias("body"))
     p = listings.read_posts(raw, F.lit(float(AS_OF)))
     said = F.array_join(F.transform("post.visibleComments", lambda c: F.concat_ws("/", c["author"], c["depth"].cast("string"), c["isOp"].cast("string"), c["text"])), "|")
-    return p.select("doc_id", "ok", "reason", "post.id", "post.url", "post.title", "post.body", "post.author", "post.subreddit", "post.upvotes", F.col("post.commentsCount").alias("comments"), F.round("post.ageHours", 6).alias("age"), F.col("post.subredditSubscribers").alias("members"), F.array_join("post.links", "|").alias("links"), said.alias("said"))
+    return p.select("doc_id", "ok", "reason", "post.id", "post.url", "post.title", "post.body", "post.author", "post.subreddit", F.col("post.upvotes").cast("double").alias("upvotes"), F.col("post.commentsCount").cast("double").alias("comments"), F.round("post.ageHours", 6).alias("age"), F.col("post.subredditSubscribers").cast("double").alias("members"), F.array_join("post.links", "|").alias("links"), said.alias("said"))
 
 
 JSON_POSTS_SQL = f"""WITH s AS (SELECT *, [429, 403, 404, 503, 200, 200, 200, 200, 200, 200, 200, 200, 200][doc_id % 13 + 1] AS status FROM documents),
@@ -59,8 +59,8 @@ r AS (SELECT *, CASE WHEN status = 429 THEN 'rate_limited' WHEN status = 403 THE
 c AS (SELECT doc_id, i, level, CASE WHEN (doc_id + i + level) % 4 = 0 THEN source ELSE 'u' || (doc_id + i + level) % 5 END AS who, CASE WHEN (doc_id + i) % 2 = 0 THEN (doc_id + i + level) % 4 = 0 END AS flag, source FROM documents, range(3) a(i), range(3) b(level) WHERE (doc_id + i) % 10 <> 7 AND (doc_id + i * 3 + level) % 9 <> 0),
 t AS (SELECT doc_id, string_agg(concat_ws('/', who, level, CASE WHEN coalesce(flag, lower(who) = lower(source), FALSE) THEN 'true' ELSE 'false' END, 'c-' || doc_id || '-' || i || '-' || level), '|' ORDER BY i, level) AS said FROM c GROUP BY doc_id)
 SELECT doc_id, reason IS NULL AS ok, reason, CASE WHEN reason IS NULL THEN 't3_' || doc_id END AS id, CASE WHEN reason IS NULL THEN 'https://www.reddit.com/r/' || lang || '/comments/' || doc_id END AS url, CASE WHEN reason IS NULL THEN 'On ' || doc_id END AS title,
-  CASE WHEN reason IS NULL THEN left(text, 120) || chr(10) || 'see https://a' || doc_id % 3 || '.example.com/x.' END AS body, CASE WHEN reason IS NULL THEN source END AS author, CASE WHEN reason IS NULL THEN lang END AS subreddit, CASE WHEN reason IS NULL THEN doc_id * 7 % 500 END AS upvotes,
-  CASE WHEN reason IS NULL THEN doc_id % 90 END AS comments, CASE WHEN reason IS NULL THEN round(doc_id / 60.0, 6)::DOUBLE END AS age, CASE WHEN reason IS NULL THEN doc_id * 1000 END AS members,
+  CASE WHEN reason IS NULL THEN left(text, 120) || chr(10) || 'see https://a' || doc_id % 3 || '.example.com/x.' END AS body, CASE WHEN reason IS NULL THEN source END AS author, CASE WHEN reason IS NULL THEN lang END AS subreddit, (CASE WHEN reason IS NULL THEN doc_id * 7 % 500 END)::DOUBLE AS upvotes,
+  (CASE WHEN reason IS NULL THEN doc_id % 90 END)::DOUBLE AS comments, CASE WHEN reason IS NULL THEN round(doc_id / 60.0, 6)::DOUBLE END AS age, (CASE WHEN reason IS NULL THEN doc_id * 1000 END)::DOUBLE AS members,
   CASE WHEN reason IS NULL THEN CASE WHEN doc_id % 2 = 0 AND doc_id % 5 <> 0 THEN 'https://www.b' || doc_id % 4 || '.example.org/y|' ELSE '' END || 'https://a' || doc_id % 3 || '.example.com/x' END AS links, CASE WHEN reason IS NULL THEN coalesce(said, '') END AS said
 FROM r LEFT JOIN t USING (doc_id)"""
 
@@ -82,8 +82,8 @@ def json_histories(spark: SparkSession, d: str) -> DataFrame:
     out = listings.with_history(conform(cards).select("doc_id", "author"), found)
     first = F.try_element_at(h["submissions"], F.lit(1))
     return out.select(
-        "doc_id", h["available"].alias("available"), h["reason"].alias("reason"), F.round(h["accountAgeDays"], 6).alias("days"), h["linkKarma"].alias("link_karma"), h["commentKarma"].alias("karma"), h["truncated"].alias("truncated"),
-        F.size(h["submissions"]).alias("submissions"), F.length(first["excerpt"]).alias("excerpt"), F.array_join(F.transform(h["comments"], lambda c: F.array_join(c["linkDomains"], "+")), "|").alias("hosts"), history.summarize(h, F.lit(float(AS_OF)), 3).alias("summary"), F.length(history.quotable(h)).alias("quotable"),
+        "doc_id", h["available"].alias("available"), h["reason"].alias("reason"), F.round(h["accountAgeDays"], 6).alias("days"), h["linkKarma"].cast("double").alias("link_karma"), h["commentKarma"].cast("double").alias("karma"), h["truncated"].alias("truncated"),
+        F.size(h["submissions"]).cast("double").alias("submissions"), F.length(first["excerpt"]).cast("double").alias("excerpt"), F.array_join(F.transform(h["comments"], lambda c: F.array_join(c["linkDomains"], "+")), "|").alias("hosts"), history.summarize(h, F.lit(float(AS_OF)), 3).alias("summary"), F.length(history.quotable(h)).alias("quotable"),
     )
 
 
@@ -94,7 +94,7 @@ ago AS (SELECT doc_id, k, ': "No ' || k || '" -> x.example' AS tail, floor(({AS_
 cago AS (SELECT doc_id, k, ': "at https://www.y' || k % 2 || '.example/a and https://y0.example/b"' AS tail, floor(({AS_OF} - k * 10) / 86400.0 + 0.5) AS days FROM g, range(1, 4) t(k) WHERE k <= m AND k <= 3 - least(n, 3)),
 lines AS (SELECT doc_id, 0 AS kind, k, '- [post] r/S' || k % 3 || ' ' || floor(days / 30 + 0.5)::BIGINT || ' months ago' || tail AS line FROM ago UNION ALL SELECT doc_id, 1, k, '- [comment] r/T ' || floor(days / 30 + 0.5)::BIGINT || ' months ago' || tail FROM cago),
 told AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY kind, k) AS line FROM lines GROUP BY doc_id)
-SELECT d.doc_id, good AS available, reason, CASE WHEN good THEN d.doc_id::DOUBLE END AS days, CASE WHEN good THEN d.doc_id % 70 END AS link_karma, CASE WHEN good THEN d.doc_id % 30 END AS karma, CASE WHEN good THEN n >= 40 END AS truncated, CASE WHEN good THEN n WHEN reason IS NOT NULL THEN 0 END::INT AS submissions, CASE WHEN good THEN cut END::INT AS excerpt,
+SELECT d.doc_id, good AS available, reason, CASE WHEN good THEN d.doc_id::DOUBLE END AS days, (CASE WHEN good THEN d.doc_id % 70 END)::DOUBLE AS link_karma, (CASE WHEN good THEN d.doc_id % 30 END)::DOUBLE AS karma, CASE WHEN good THEN n >= 40 END AS truncated, (CASE WHEN good THEN n WHEN reason IS NOT NULL THEN 0 END)::DOUBLE AS submissions, (CASE WHEN good THEN cut END)::DOUBLE AS excerpt,
   CASE WHEN good THEN array_to_string(list_transform(range(1, m + 1), lambda k: CASE WHEN k % 2 = 1 THEN 'y1.example+y0.example' ELSE 'y0.example' END), '|') WHEN reason IS NOT NULL THEN '' END AS hosts,
   CASE WHEN g.doc_id IS NULL THEN 'author history: not checked' WHEN NOT good THEN 'author history: unavailable (' || CASE reason WHEN 'rate_limited' THEN 'Reddit rate limit reached; try again later' WHEN 'not_found' THEN 'profile not found' WHEN 'private_or_suspended' THEN 'profile is private, suspended or deleted' ELSE reason END || ')'
     ELSE 'author history: ' || n || ' recent posts, ' || m || ' recent comments, account age ' || d.doc_id || ' days, karma ' || (d.doc_id % 70 + d.doc_id % 30) || coalesce(chr(10) || line, '') END AS summary,
@@ -212,13 +212,13 @@ def direct_results(spark: SparkSession, d: str) -> DataFrame:
     docs = _read(spark, d, "documents").where("length(trim(left(text, 20))) >= 3").select("doc_id", F.lit("Of it").alias("title"), F.col("text").alias("body"), "text")
     df = conform(docs).withColumn("output", witness.parse_direct(F.when(i % 9 == 8, "no answer").otherwise(F.to_json(made))))
     r = witness.direct_result(df)
-    return r.select("doc_id", F.col("promoLikelihood").alias("score"), "label", "disclosure", F.col("undisclosedRisk").alias("risk"), "confidence", F.array_join("reasons", "|").alias("reasons"), F.size("signals").alias("signals"), F.element_at("signals", -1)["explanation"].alias("note"))
+    return r.select("doc_id", F.col("promoLikelihood").cast("double").alias("score"), "label", "disclosure", F.col("undisclosedRisk").alias("risk"), "confidence", F.array_join("reasons", "|").alias("reasons"), F.size("signals").cast("double").alias("signals"), F.element_at("signals", -1)["explanation"].alias("note"))
 
 
 DIRECT_SQL = """WITH a AS (SELECT doc_id, doc_id % 9 <> 8 AND doc_id % 5 <> 4 AS ok, doc_id % 101 AS score, ['clear', 'unclear', 'missing', 'unknown', 'odd'][doc_id % 5 + 1] AS disclosure, contains(trim(regexp_replace(lower('Of it' || chr(10) || text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(left(text, 20)), '\\s+', ' ', 'g'))) AS found FROM documents WHERE length(trim(left(text, 20))) >= 3)
-SELECT doc_id, CASE WHEN ok THEN score END::INT AS score, CASE WHEN ok THEN CASE WHEN score <= 19 THEN 'Unlikely promotional' WHEN score <= 39 THEN 'Some promotional characteristics' WHEN score <= 59 THEN 'Possibly promotional' WHEN score <= 79 THEN 'Likely promotional' ELSE 'Highly likely promotional' END END AS label, CASE WHEN ok THEN disclosure END AS disclosure,
+SELECT doc_id, (CASE WHEN ok THEN score END)::DOUBLE AS score, CASE WHEN ok THEN CASE WHEN score <= 19 THEN 'Unlikely promotional' WHEN score <= 39 THEN 'Some promotional characteristics' WHEN score <= 59 THEN 'Possibly promotional' WHEN score <= 79 THEN 'Likely promotional' ELSE 'Highly likely promotional' END END AS label, CASE WHEN ok THEN disclosure END AS disclosure,
   CASE WHEN ok THEN CASE WHEN doc_id % 3 = 0 THEN 'medium' WHEN disclosure = 'clear' THEN 'low' WHEN score >= 60 THEN 'high' WHEN score >= 40 THEN 'medium' ELSE 'low' END END AS risk, CASE WHEN ok THEN ['low', 'medium', 'high'][doc_id % 3 + 1] END AS confidence, CASE WHEN ok THEN 'It is a promotional|Plain words' END AS reasons,
-  CASE WHEN ok THEN found::INT + 1 END::INT AS signals, CASE WHEN ok THEN 'EXPERIMENTAL: score produced directly by a language model (model); ' || found::INT || ' quote(s) verified, ' || (2 - found::INT) || ' could not be found in the post' || CASE WHEN doc_id % 4 = 1 THEN '. Model note: by a promotional' ELSE '' END END AS note FROM a"""
+  (CASE WHEN ok THEN found::INT + 1 END)::DOUBLE AS signals, CASE WHEN ok THEN 'EXPERIMENTAL: score produced directly by a language model (model); ' || found::INT || ' quote(s) verified, ' || (2 - found::INT) || ' could not be found in the post' || CASE WHEN doc_id % 4 = 1 THEN '. Model note: by a promotional' ELSE '' END END AS note FROM a"""
 
 
 def _weights_sql() -> str:

@@ -54,7 +54,7 @@ def post_results(spark: SparkSession, d: str) -> DataFrame:
 def product_names(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.context import with_context
 
-    return with_context(posts(spark, d)).select("doc_id", F.col("_primary.name").alias("primary"), F.col("_primary.mentions").alias("mentions"), F.size("_names").alias("names"))
+    return with_context(posts(spark, d)).select("doc_id", F.col("_primary.name").alias("primary"), F.coalesce(F.col("_primary.mentions"), F.lit(0)).alias("mentions"), F.size("_names").alias("names"))
 
 
 # ---- scoring, on signals drawn from the catalogue by arithmetic --------------------------------
